@@ -1,0 +1,81 @@
+"""Find keys that hold so many events that one task must not process them whole.
+
+The list only steers how work is cut; results are the same for any list. It is bounded by
+`max_keys`, so it can travel as a broadcast; keys beyond the bound are processed uncut.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from driftwatch.schema import MINUTE_US, flat_events, floor_div
+
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 10_000
+SAMPLE_ONE_IN = 16
+MIN_SLICE_US = 1_000
+MAX_SLICE_US = 3_600_000_000
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
+
+@dataclass(frozen=True)
+class HotKey:
+    """A heavy key and the width of the time slices its events are cut into."""
+
+    kind: str
+    key: str
+    slice_us: int
+
+
+def is_small(events: DataFrame) -> bool:
+    """Whether the files behind `events` are too small, by the planner's sizes, to hold a hot key."""
+    leaves = events._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (leaves.apply(i).stats().sizeInBytes().doubleValue() for i in range(leaves.size()))
+    return sum(sizes) <= SMALL_INPUT_BYTES
+
+
+def find_hot_keys(
+    events: DataFrame,
+    kinds: tuple[str, ...] = ("entity_id", "source_ip"),
+    *,
+    hot_rows: int = HOT_ROWS,
+    slice_rows: int | None = None,
+    max_keys: int = MAX_HOT_KEYS,
+    one_in: int = SAMPLE_ONE_IN,
+) -> list[HotKey]:
+    """Keys with more than about `hot_rows` events, from a hash sample of ids and times.
+
+    One job for all kinds. The slice width is set by the busiest minute of the key, so that
+    a burst is cut as finely as it needs.
+    """
+    slice_rows = slice_rows or hot_rows
+    sampled = flat_events(events).select("event_id", "ts_us", *kinds)
+    if one_in > 1:
+        sampled = sampled.filter(F.pmod(F.xxhash64("event_id"), F.lit(one_in)) == 0)
+    per_minute = (
+        sampled.select(
+            floor_div(F.col("ts_us"), MINUTE_US).alias("minute"),
+            F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in kinds])),
+        )
+        .groupBy("kind", "key", "minute")
+        .agg(F.count("*").alias("n"))
+    )
+    found = (
+        per_minute.groupBy("kind", "key")
+        .agg(F.sum("n").alias("n"), F.max("n").alias("peak"))
+        .filter(F.col("n") * one_in > hot_rows)
+        .orderBy(F.col("n").desc(), "kind", "key")
+        .limit(max_keys)
+        .collect()
+    )
+    return [
+        HotKey(
+            row["kind"],
+            row["key"],
+            min(MAX_SLICE_US, max(MIN_SLICE_US, MINUTE_US * slice_rows // (row["peak"] * one_in))),
+        )
+        for row in found
+    ]
