@@ -1,26 +1,29 @@
-"""Clock readings by integer arithmetic on microseconds (independent of the session zone)."""
+"""Clock readings by integer arithmetic on microseconds (independent of the session zone).
 
-from __future__ import annotations
+All functions take and return SQL expression text.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
-from driftwatch.schema import DAY_US, HOUR_US, MINUTE_US, floor_div
+HOUR_US = 3_600_000_000
+MINUTE_US = 60_000_000
+DAY_US = 24 * HOUR_US
 
 
-def hour_of_day(local_us: Column) -> Column:
-    return F.pmod(floor_div(local_us, HOUR_US), F.lit(24)).cast("int")
+def floor_div(value: str, width: int | str) -> str:
+    """Floor division (plain `div` truncates, which differs before 1970)."""
+    return f"(({value}) - pmod({value}, {width})) div {width}"
 
 
-def minute_of_hour(local_us: Column) -> Column:
-    return F.pmod(floor_div(local_us, MINUTE_US), F.lit(60)).cast("int")
+def hour_of_day(local_us: str) -> str:
+    return f"cast(pmod({local_us}, {DAY_US}) div {HOUR_US} AS int)"
 
 
-def weekday(local_us: Column) -> Column:
+def weekday(local_us: str) -> str:
     """Monday is 0; day 0 of the epoch was a Thursday."""
-    return F.pmod(floor_div(local_us, DAY_US) + 3, F.lit(7)).cast("int")
+    return f"cast(pmod({floor_div(local_us, DAY_US)} + 3, 7) AS int)"
 
 
-def fractional_hour(local_us: Column) -> Column:
+def fractional_hour(local_us: str) -> str:
     """Hour plus minutes as a fraction; seconds are dropped."""
-    return hour_of_day(local_us) + minute_of_hour(local_us) / F.lit(60.0)
+    return f"({hour_of_day(local_us)} + (pmod({local_us}, {HOUR_US}) div {MINUTE_US}) / 60D)"

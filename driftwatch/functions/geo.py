@@ -1,26 +1,28 @@
-"""Great-circle distance and implied travel speed as column expressions."""
+"""Great-circle distance and implied travel speed as SQL expressions.
 
-from __future__ import annotations
+Expressions are text, so they fit `selectExpr`, `F.expr` and `spark.sql` alike; arguments are
+column names or any other expressions.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 EARTH_RADIUS_KM = 6371.0
 
 
-def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    phi1, phi2 = F.radians(lat1), F.radians(lat2)
-    half_dphi = (phi2 - phi1) / 2.0
-    half_dlambda = (F.radians(lon2) - F.radians(lon1)) / 2.0
-    chord = F.pow(F.sin(half_dphi), 2) + F.cos(phi1) * F.cos(phi2) * F.pow(F.sin(half_dlambda), 2)
+def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
     # rounding may push the chord of antipodes a hair past 1, where asin is undefined
-    return F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(F.least(F.lit(1.0), F.sqrt(chord)))
+    return (
+        f"{2 * EARTH_RADIUS_KM}D * asin(least(1D, sqrt("
+        f"pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
+        f"cos(radians({lat1})) * cos(radians({lat2})) * "
+        f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))))"
+    )
 
 
-def speed_kmh(distance_km: Column, elapsed_us: Column, *, strict: bool = False) -> Column:
+def speed_kmh(distance_km: str, elapsed_us: str, *, strict: bool = False) -> str:
     """Speed over an elapsed time; a non-positive time gives 0, or an error when `strict`."""
-    hours = elapsed_us / F.lit(3_600_000_000.0)
-    otherwise = (
-        F.raise_error(F.lit("elapsed time must be positive")).cast("double") if strict else F.lit(0.0)
+    otherwise = "cast(raise_error('elapsed time must be positive') AS double)" if strict else "0D"
+    return (
+        f"CASE WHEN {elapsed_us} > 0 THEN {distance_km} / ({elapsed_us} / 3600000000D) "
+        f"ELSE {otherwise} END"
     )
-    return F.when(elapsed_us > 0, distance_km / hours).otherwise(otherwise)

@@ -1,26 +1,28 @@
-"""Text helpers for reasons, summaries and intake."""
+"""Text helpers for reasons, summaries and intake, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+def quote(text: str) -> str:
+    """SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def whole(value: Column) -> Column:
+
+def whole(value: str) -> str:
     """A number without decimals, halves rounded to even."""
-    return F.bround(value, 0).cast("decimal(38,0)").cast("string")
+    return f"cast(cast(bround({value}, 0) AS decimal(38,0)) AS string)"
 
 
-def present(*items: Column) -> Column:
+def present(*items: str) -> str:
     """Array of the non-null items, in the given order."""
-    return F.array_compact(F.array(*items))
+    return f"array_compact(array({', '.join(items)}))"
 
 
-def strip(value: Column) -> Column:
+def strip(value: str) -> str:
     """Remove leading and trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+    return rf"regexp_replace({value}, r'(?U)^\s+|\s+$', '')"
 
 
-def drop_control(value: Column) -> Column:
+def drop_control(value: str) -> str:
     """Remove control characters other than tab, line feed and carriage return."""
-    return F.regexp_replace(value, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    return rf"regexp_replace({value}, r'[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '')"

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.operators.evaluate import is_attack, ratio, truth
+from driftwatch.operators.rank import PIVOTS, TOP_K_LIMIT, value_at
 
-TOP_K_LIMIT = 100_000  # rows a single task may rank
-PIVOTS = 64
+_KEY = ("unusable", "descending", "event_id")
 
 
 def check_budget(scored: DataFrame, budget_fraction: float) -> int:
@@ -30,90 +30,59 @@ def check_budget(scored: DataFrame, budget_fraction: float) -> int:
     return total
 
 
-def _rank_key() -> Column:
+def _ranked(scored: DataFrame) -> DataFrame:
     """Ascending key of the ranking: highest score first, then event id; NaN and null last."""
     score = F.col("risk_score").cast("double")
     usable = score.isNotNull() & ~F.isnan(score)
-    return F.struct(
-        F.when(usable, F.lit(0)).otherwise(F.lit(1)).alias("last"),
-        F.when(usable, -score).otherwise(F.lit(0.0)).alias("score"),
-        F.col("event_id").alias("event_id"),
+    return scored.withColumns(
+        {
+            "unusable": F.when(usable, F.lit(0)).otherwise(F.lit(1)),
+            "descending": F.when(usable, -score).otherwise(F.lit(0.0)),
+        }
     )
 
 
-def _literal(key) -> Column:
-    return F.struct(
-        F.lit(key["last"]).alias("last"),
-        F.lit(key["score"]).cast("double").alias("score"),
-        F.lit(key["event_id"]).alias("event_id"),
-    )
+def _in_top(ranked: DataFrame, k: int, total: int, limit: int, pivots: int) -> Column:
+    last = value_at(ranked, _KEY, k, total, limit=limit, pivots=pivots)
+    cut = F.struct(*[F.lit(v).alias(c) for v, c in zip(last, _KEY)])
+    return F.struct(*_KEY) <= cut
 
 
-def _key_at(scored: DataFrame, rank: int, top_k_limit: int, pivots: int) -> Column:
-    """The ranking key at 1-based `rank`, by narrowing the interval that contains it."""
-    keys = scored.select(_rank_key().alias("key"))
-    below, inside = 0, None  # keys up to the interval; bounds of the interval
-    remaining = keys
-    while True:
-        # pivots come from a hash order of the ids, so every retry sees the same ones
-        picked = (
-            remaining.orderBy(F.xxhash64("key.event_id", F.lit(below))).limit(pivots).collect()
-        )
-        cuts = sorted({(r["key"]["last"], r["key"]["score"], r["key"]["event_id"]) for r in picked})
-        named = [dict(zip(("last", "score", "event_id"), c)) for c in cuts]
-        place = F.size(
-            F.filter(F.array(*[_literal(c) for c in named]), lambda cut: cut < F.col("key"))
-        )
-        counts = {r["place"]: r["n"] for r in remaining.groupBy(place.alias("place")).agg(F.count("*").alias("n")).collect()}
-        at, seen = 0, below
-        while seen + counts.get(at, 0) < rank:
-            seen += counts.get(at, 0)
-            at += 1
-        below = seen
-        if at > 0:
-            remaining = remaining.filter(F.col("key") > _literal(named[at - 1]))
-        if at < len(named):
-            remaining = remaining.filter(F.col("key") <= _literal(named[at]))
-        inside = counts.get(at, 0)
-        if inside <= top_k_limit:
-            last = (
-                remaining.orderBy("key").limit(rank - below).agg(F.max("key").alias("key")).first()["key"]
-            )
-            return _literal(last)
-
-
-def top_alerts(
-    scored: DataFrame, k: int, *, top_k_limit: int = TOP_K_LIMIT, pivots: int = PIVOTS
-) -> DataFrame:
+def top_alerts(scored: DataFrame, k: int, *, limit: int = TOP_K_LIMIT, pivots: int = PIVOTS) -> DataFrame:
     """The k highest-ranked rows (score descending, then event id ascending)."""
-    if k <= top_k_limit:
-        return scored.orderBy(_rank_key()).limit(k)
-    return scored.filter(_rank_key() <= _key_at(scored, k, top_k_limit, pivots))
+    ranked = _ranked(scored)
+    if k <= limit:
+        top = ranked.orderBy(*_KEY).limit(k)
+    else:
+        total = scored.count()
+        top = ranked if k >= total else ranked.filter(_in_top(ranked, k, total, limit, pivots))
+    return top.drop("unusable", "descending")
 
 
 def alert_budget(
     scored: DataFrame,
     budget_fraction: float = 0.01,
     *,
-    top_k_limit: int = TOP_K_LIMIT,
+    limit: int = TOP_K_LIMIT,
     pivots: int = PIVOTS,
 ) -> DataFrame:
     """One row: how many attacks the top fraction of events contains.
 
-    Counts the rows once to size the budget; pass a stored table of scores rather than the
-    plan that computes them when it is expensive.
+    Passes over the scores: one to count, one (or a few, for a budget beyond `limit`) to find
+    the cut, one to aggregate. Pass a stored table of scores when computing them is expensive.
     """
     total = check_budget(scored, budget_fraction)
     k = max(1, math.ceil(total * budget_fraction))
-    slim = scored.select("event_id", "risk_score", "label")
-    whole = slim.agg(F.count_if(is_attack()).alias("total_attacks"))
-    top = top_alerts(slim, k, top_k_limit=top_k_limit, pivots=pivots).agg(
-        F.count_if(is_attack()).alias("true_alerts"),
-        F.sort_array(F.collect_set(F.when(is_attack(), truth()))).alias("attack_types_surfaced"),
+    ranked = _ranked(scored.select("event_id", "risk_score", "label"))
+    hit = _in_top(ranked, k, total, limit, pivots) & is_attack()
+    found = ranked.agg(
+        F.count_if(is_attack()).alias("total_attacks"),
+        F.count_if(hit).alias("true_alerts"),
+        F.sort_array(F.collect_set(F.when(hit, truth()))).alias("attack_types_surfaced"),
     )
     attacks, hits = F.col("total_attacks"), F.col("true_alerts")
     alerts, events = F.lit(k).cast("bigint"), F.lit(total).cast("bigint")
-    return whole.join(top).select(  # one row each
+    return found.select(
         events.alias("total_events"),
         attacks.alias("total_attacks"),
         F.lit(float(budget_fraction)).alias("budget_fraction"),

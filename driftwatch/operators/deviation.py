@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from driftwatch.functions.clock import fractional_hour
 from driftwatch.operators.profiles import DEVICE_KEY, Baseline
@@ -24,37 +23,28 @@ def require_known(events: DataFrame, statistics: DataFrame) -> None:
         raise ValueError(f"missing behavioral profile for {missing[0]['entity_id']}")
 
 
-def _per_spread(deviation: str, spread: str) -> Column:
-    return F.when(F.col(spread) > 0, F.col(deviation) / F.col(spread)).otherwise(F.lit(0.0))
-
-
-def _numeric_deviations(rows: DataFrame) -> DataFrame:
-    apart = F.abs(fractional_hour(F.col("local_us")) - F.col("mean_hour"))
-    return rows.withColumns(
-        {
-            "hour_deviation": F.least(apart, F.lit(24.0) - apart),
-            "session_duration_deviation": F.abs(
-                F.col("session_duration_seconds") - F.col("mean_session_duration")
-            ),
-        }
-    ).withColumns(
-        {
-            "hour_deviation_zscore": _per_spread("hour_deviation", "hour_std"),
-            "session_duration_deviation_zscore": _per_spread(
-                "session_duration_deviation", "session_duration_std"
-            ),
-        }
-    )
+def _spread(deviation: str, spread: str) -> str:
+    return f"CASE WHEN {spread} > 0 THEN {deviation} / {spread} ELSE 0D END"
+
 
+_APART = f"abs({fractional_hour('local_us')} - mean_hour)"
+_HOURS = f"least({_APART}, 24D - {_APART})"
+_SESSION = "abs(session_duration_seconds - mean_session_duration)"
+_DEVIATIONS = {
+    "hour_deviation": _HOURS,
+    "hour_deviation_zscore": _spread(_HOURS, "hour_std"),
+    "session_duration_deviation": _SESSION,
+    "session_duration_deviation_zscore": _spread(_SESSION, "session_duration_std"),
+}
+_PRINT = f"struct({', '.join(DEVICE_KEY)})"
 
-def _seen(rows: DataFrame, known: DataFrame, on: list[str], flag: str) -> DataFrame:
-    """Left join that only adds a flag; null-safe, since device parts may be absent."""
-    marked = known.select(*[F.col(c).alias(f"_{c}") for c in on], F.lit(True).alias(flag))
-    condition = None
-    for c in on:
-        same = F.col(c).eqNullSafe(F.col(f"_{c}")) if c in DEVICE_KEY[1:] else F.col(c) == F.col(f"_{c}")
-        condition = same if condition is None else condition & same
-    return rows.join(marked, condition, "left").drop(*[f"_{c}" for c in on])
+
+def _finish(rows: DataFrame, keep: list[str], flags: dict[str, str]) -> DataFrame:
+    return rows.selectExpr(
+        *keep,
+        *[f"{text} AS {name}" for name, text in _DEVIATIONS.items()],
+        *[f"cast({text} AS int) AS {name}" for name, text in flags.items()],
+    )
 
 
 def deviation_features(events: DataFrame, baseline: Baseline) -> DataFrame:
@@ -64,54 +54,41 @@ def deviation_features(events: DataFrame, baseline: Baseline) -> DataFrame:
     optimizer broadcasts small sides and splits heavy keys. Events without a baseline are
     left to `unknown_entities`.
     """
-    rows = flat_events(events).join(
-        baseline.statistics.select("entity_id", *_STATISTICS), "entity_id"
-    )
-    rows = _seen(rows, baseline.source_ips, ["entity_id", "source_ip"], "_ip_known")
-    rows = _seen(rows, baseline.resources, ["entity_id", "resource_accessed"], "_resource_known")
-    rows = _seen(
-        rows,
-        baseline.devices.select("entity_id", "fingerprint_id").distinct(),
-        ["entity_id", "fingerprint_id"],
-        "_device_known",
+    flat = flat_events(events)
+    # a device print is one struct key: absent parts compare equal inside it
+    prints = baseline.devices.selectExpr("entity_id", f"{_PRINT} AS print", "true AS print_known")
+    ids = baseline.devices.select("entity_id", "fingerprint_id").distinct()
+    rows = (
+        flat.selectExpr("*", f"{_PRINT} AS print")
+        .join(baseline.statistics.select("entity_id", *_STATISTICS), "entity_id")
+        .join(baseline.source_ips.selectExpr("*", "true AS ip_known"), ["entity_id", "source_ip"], "left")
+        .join(
+            baseline.resources.selectExpr("*", "true AS resource_known"),
+            ["entity_id", "resource_accessed"],
+            "left",
+        )
+        .join(ids.selectExpr("*", "true AS device_known"), ["entity_id", "fingerprint_id"], "left")
+        .join(prints, ["entity_id", "print"], "left")
     )
-    rows = _seen(rows, baseline.devices, ["entity_id", *DEVICE_KEY], "_print_known")
-    new_device = F.col("_device_known").isNull()
     flags = {
-        "is_new_ip": F.col("_ip_known").isNull(),
-        "is_new_resource": F.col("_resource_known").isNull(),
-        "is_new_device": new_device,
-        "device_fingerprint_mismatch": ~new_device & F.col("_print_known").isNull(),
+        "is_new_ip": "ip_known IS NULL",
+        "is_new_resource": "resource_known IS NULL",
+        "is_new_device": "device_known IS NULL",
+        "device_fingerprint_mismatch": "device_known IS NOT NULL AND print_known IS NULL",
     }
-    return (
-        _numeric_deviations(rows)
-        .withColumns({name: flag.cast("int") for name, flag in flags.items()})
-        .drop("_ip_known", "_resource_known", "_device_known", "_print_known", *_STATISTICS)
-    )
+    return _finish(rows, flat.columns, flags)
 
 
 def deviation_features_from_arrays(events: DataFrame, profiles: DataFrame) -> DataFrame:
     """Same result from `profiles_with_sets`, in one join; see `fits_arrays` for its bound."""
+    flat = flat_events(events)
     sets = ("known_source_ips", "known_resources", "known_devices")
-    rows = flat_events(events).join(
-        profiles.select("entity_id", *_STATISTICS, *sets), "entity_id"
-    )
-
-    def same_print(d: Column) -> Column:
-        same = d["fingerprint_id"] == F.col("fingerprint_id")
-        for part in DEVICE_KEY[1:]:
-            same = same & d[part].eqNullSafe(F.col(part))
-        return same
-
-    device_known = F.exists("known_devices", lambda d: d["fingerprint_id"] == F.col("fingerprint_id"))
+    rows = flat.join(profiles.select("entity_id", *_STATISTICS, *sets), "entity_id")
+    same_id = "exists(known_devices, d -> d.fingerprint_id = fingerprint_id)"
     flags = {
-        "is_new_ip": ~F.array_contains("known_source_ips", F.col("source_ip")),
-        "is_new_resource": ~F.array_contains("known_resources", F.col("resource_accessed")),
-        "is_new_device": ~device_known,
-        "device_fingerprint_mismatch": device_known & ~F.exists("known_devices", same_print),
+        "is_new_ip": "NOT array_contains(known_source_ips, source_ip)",
+        "is_new_resource": "NOT array_contains(known_resources, resource_accessed)",
+        "is_new_device": f"NOT {same_id}",
+        "device_fingerprint_mismatch": f"{same_id} AND NOT exists(known_devices, d -> d = {_PRINT})",
     }
-    return (
-        _numeric_deviations(rows)
-        .withColumns({name: flag.cast("int") for name, flag in flags.items()})
-        .drop(*sets, *_STATISTICS)
-    )
+    return _finish(rows, flat.columns, flags)

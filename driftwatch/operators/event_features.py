@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from driftwatch.functions import clock
 from driftwatch.schema import flat_events
 
 
-def event_columns() -> dict[str, Column]:
-    """Feature columns of one flat event row."""
-    local = F.col("local_us")
-    return {
-        "hour_of_day": clock.hour_of_day(local),
-        "day_of_week": clock.weekday(local),
-        "is_weekend": (clock.weekday(local) >= 5).cast("int"),
-        "auth_failed": (F.col("outcome") == "failure").cast("int"),
-    }
+# feature columns of one flat event row
+EVENT_COLUMNS = {
+    "hour_of_day": clock.hour_of_day("local_us"),
+    "day_of_week": clock.weekday("local_us"),
+    "is_weekend": f"cast({clock.weekday('local_us')} >= 5 AS int)",
+    "auth_failed": "cast(outcome = 'failure' AS int)",
+}
 
 
 def event_features(events: DataFrame) -> DataFrame:
     """Identity, clock, outcome, session, place and device columns of every event."""
-    return flat_events(events).select(
+    return flat_events(events).selectExpr(
         "event_id",
         "entity_id",
         "ts_us",
-        *[column.alias(name) for name, column in event_columns().items()],
+        *[f"{text} AS {name}" for name, text in EVENT_COLUMNS.items()],
         "session_duration_seconds",
         "command_count",
         "latitude",
@@ -43,22 +40,20 @@ def event_features(events: DataFrame) -> DataFrame:
 
 def export_events(events: DataFrame) -> DataFrame:
     """Event table with text timestamps and nested fields as JSON, for text sinks."""
-    iso = F.date_format(
-        F.timestamp_micros(F.unix_micros("timestamp")).cast("timestamp_ntz"),
-        "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'",
-    )
-    return events.select(
+    # a zone-free timestamp prints the same in every session zone
+    utc = "timestampadd(MICROSECOND, unix_micros(timestamp), TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+    return events.selectExpr(
         "event_id",
         "entity_id",
         "entity_type",
-        iso.alias("timestamp"),
+        f"date_format({utc}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS timestamp",
         "source_ip",
-        F.to_json("geo_location").alias("geo_location"),
+        "to_json(geo_location) AS geo_location",
         "resource_accessed",
         "auth_method",
         "outcome",
         "session_duration_seconds",
-        F.to_json("command_sequence").alias("command_sequence"),
-        F.to_json("device_fingerprint").alias("device_fingerprint"),
+        "to_json(command_sequence) AS command_sequence",
+        "to_json(device_fingerprint) AS device_fingerprint",
         "label",
     )

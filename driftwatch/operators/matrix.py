@@ -13,7 +13,7 @@ from driftwatch.operators.deviation import (
     deviation_features_from_arrays,
     require_known,
 )
-from driftwatch.operators.event_features import event_columns
+from driftwatch.operators.event_features import EVENT_COLUMNS
 from driftwatch.operators.profiles import Baseline
 from driftwatch.operators.sequence import window_features
 from driftwatch.operators.skew import HotKey
@@ -48,30 +48,36 @@ def feature_matrix(
         rows = deviation_features(rows, baseline)
     else:
         rows = deviation_features_from_arrays(rows, baseline)
-    return model_columns(rows.withColumns(event_columns()))
+    return model_columns(rows)
 
 
 def model_columns(rows: DataFrame) -> DataFrame:
-    return rows.select(*IDENTITY, *[F.col(c).cast("double").alias(c) for c in MODEL_FEATURES])
+    """Identity and features, as doubles, of rows that carry all derived columns."""
+    values = [f"cast({EVENT_COLUMNS.get(c, c)} AS double) AS {c}" for c in MODEL_FEATURES]
+    return rows.selectExpr(*IDENTITY, *values)
 
 
-def check_matrix(matrix: DataFrame) -> None:
-    """Exact feature columns in order, all numeric, no missing value (one aggregate)."""
+def check_columns(matrix: DataFrame) -> None:
+    """The model features in their order, all numeric."""
     features = [c for c in matrix.columns if c not in IDENTITY]
     if features != list(MODEL_FEATURES):
         raise ValueError("feature matrix columns do not match the model features")
     for field in matrix.schema:
         if field.name in MODEL_FEATURES and not isinstance(field.dataType, T.NumericType):
             raise ValueError("feature matrix must contain only numeric values")
-    if missing_values(matrix).first()["rows_with_missing"]:
+
+
+def check_values(matrix: DataFrame) -> int:
+    """No missing value (one aggregate); returns the number of rows."""
+    found = missing_values(matrix).first()
+    if found["rows_with_missing"]:
         raise ValueError("feature matrix contains missing values")
+    return found["n_rows"]
 
 
 def missing_values(matrix: DataFrame) -> DataFrame:
     """Row count and number of rows with a null or NaN feature."""
-    missing = F.lit(False)
-    for c in MODEL_FEATURES:
-        missing = missing | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    missing = " OR ".join(f"{c} IS NULL OR isnan({c})" for c in MODEL_FEATURES)
     return matrix.agg(
-        F.count("*").alias("n_rows"), F.count_if(missing).alias("rows_with_missing")
+        F.expr("count(*)").alias("n_rows"), F.expr(f"count_if({missing})").alias("rows_with_missing")
     )

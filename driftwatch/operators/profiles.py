@@ -4,50 +4,49 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.functions.clock import fractional_hour
 from driftwatch.schema import flat_events
 
 DEVICE_KEY = ("fingerprint_id", "operating_system", "browser", "device_type")
-SET_COLUMNS = ("known_source_ips", "known_resources", "known_auth_methods", "known_devices")
 
 
 def normal_events(events: DataFrame) -> DataFrame:
     """Events fit for learning: unlabelled or labelled normal."""
-    return events.filter(F.col("label").isNull() | (F.col("label") == "normal"))
-
-
-def _statistics() -> dict[str, Column]:
-    hour = fractional_hour(F.col("local_us"))
-    session = F.col("session_duration_seconds").cast("double")
-    return {
-        "event_count": F.count("*"),
-        "mean_hour": F.avg(hour),
-        "hour_std": F.stddev_pop(hour),
-        "mean_session_duration": F.avg(session),
-        "session_duration_std": F.stddev_pop(session),
-        "authentication_failure_rate": F.avg((F.col("outcome") == "failure").cast("double")),
-    }
-
-
-def _valid() -> Column:
-    return (
-        F.col("mean_hour").between(0.0, 23.0)
-        & (F.col("event_count") > 0)
-        & (F.col("hour_std") >= 0)
-        & (F.col("mean_session_duration") >= 0)
-        & (F.col("session_duration_std") >= 0)
-        & F.col("authentication_failure_rate").between(0.0, 1.0)
-    )
+    return events.filter("label IS NULL OR label = 'normal'")
+
+
+_STATISTICS = {
+    "event_count": "count(*)",
+    "mean_hour": f"avg({fractional_hour('local_us')})",
+    "hour_std": f"stddev_pop({fractional_hour('local_us')})",
+    "mean_session_duration": "avg(cast(session_duration_seconds AS double))",
+    "session_duration_std": "stddev_pop(cast(session_duration_seconds AS double))",
+    "authentication_failure_rate": "avg(cast(outcome = 'failure' AS double))",
+}
+_SETS = {
+    "known_source_ips": "sort_array(collect_set(source_ip))",
+    "known_resources": "sort_array(collect_set(resource_accessed))",
+    "known_auth_methods": "sort_array(collect_set(auth_method))",
+    "known_devices": f"sort_array(collect_set(struct({', '.join(DEVICE_KEY)})))",
+}
+_VALID = (
+    "mean_hour BETWEEN 0 AND 23 AND hour_std >= 0 AND mean_session_duration >= 0 "
+    "AND session_duration_std >= 0 AND authentication_failure_rate BETWEEN 0 AND 1"
+)
+
+
+def _profile(events: DataFrame, columns: dict[str, str]) -> DataFrame:
+    flat = flat_events(normal_events(events))
+    found = flat.groupBy("entity_id").agg(*[F.expr(c).alias(n) for n, c in columns.items()])
+    return found.selectExpr("*", f"{_VALID} AS profile_valid")
 
 
 def profile_statistics(events: DataFrame) -> DataFrame:
     """One row per entity; partial aggregation keeps a heavy entity cheap."""
-    flat = flat_events(normal_events(events))
-    stats = flat.groupBy("entity_id").agg(*[c.alias(n) for n, c in _statistics().items()])
-    return stats.withColumn("profile_valid", _valid())
+    return _profile(events, _STATISTICS)
 
 
 def known_values(events: DataFrame, *columns: str) -> DataFrame:
@@ -61,16 +60,7 @@ def profiles_with_sets(events: DataFrame) -> DataFrame:
     An array must fit a row: meant for entities with modest sets. `fits_arrays` tells whether
     a baseline qualifies; the row-per-value tables of `known_values` serve any size.
     """
-    flat = flat_events(normal_events(events))
-    sets = {
-        "known_source_ips": F.sort_array(F.collect_set("source_ip")),
-        "known_resources": F.sort_array(F.collect_set("resource_accessed")),
-        "known_auth_methods": F.sort_array(F.collect_set("auth_method")),
-        "known_devices": F.sort_array(F.collect_set(F.struct(*DEVICE_KEY))),
-    }
-    columns = {**_statistics(), **sets}
-    grouped = flat.groupBy("entity_id").agg(*[c.alias(n) for n, c in columns.items()])
-    return grouped.withColumn("profile_valid", _valid())
+    return _profile(events, {**_STATISTICS, **_SETS})
 
 
 @dataclass(frozen=True)
@@ -103,15 +93,15 @@ def learn_baseline(events: DataFrame, *, check: bool = False) -> Baseline:
 
 def profile_sets(baseline: Baseline) -> DataFrame:
     """All known values as (entity_id, kind, value) rows; devices as their four parts."""
-    device = F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("")) for c in DEVICE_KEY])
+    device = "concat_ws('|', " + ", ".join(f"coalesce({c}, '')" for c in DEVICE_KEY) + ")"
     kinds = (
-        ("source_ip", baseline.source_ips, F.col("source_ip")),
-        ("resource", baseline.resources, F.col("resource_accessed")),
-        ("auth_method", baseline.auth_methods, F.col("auth_method")),
+        ("source_ip", baseline.source_ips, "source_ip"),
+        ("resource", baseline.resources, "resource_accessed"),
+        ("auth_method", baseline.auth_methods, "auth_method"),
         ("device", baseline.devices, device),
     )
     tables = [
-        table.select("entity_id", F.lit(kind).alias("kind"), value.alias("value"))
+        table.selectExpr("entity_id", f"'{kind}' AS kind", f"{value} AS value")
         for kind, table, value in kinds
     ]
     out = tables[0]

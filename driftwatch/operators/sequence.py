@@ -16,19 +16,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from driftwatch.functions.clock import MINUTE_US, floor_div
 from driftwatch.functions.geo import haversine_km, speed_kmh
 from driftwatch.operators.skew import HotKey, find_hot_keys, is_small
-from driftwatch.schema import MINUTE_US, flat_events, floor_div
+from driftwatch.schema import flat_events
 
 TEN_MINUTES = 10 * MINUTE_US
 THIRTY_MINUTES = 30 * MINUTE_US
 
-_PLACE = "struct<ts_us:bigint,latitude:double,longitude:double>"
 _DELTAS = ("d_events", "d_failed", "d_unique")
+_FAILED = "cast(outcome = 'failure' AS bigint)"
+_PLACE = "struct(ts_us, latitude, longitude)"
+_NO_PLACE = "cast(NULL AS struct<ts_us:bigint,latitude:double,longitude:double>)"
+_UP_TO = "ORDER BY point_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_EARLIER = "ORDER BY point_us RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
 
 @dataclass(frozen=True)
@@ -38,205 +42,181 @@ class Trail:
     key: str
     value: str  # distinct values of this column are counted
     distinct_us: int
-    counts: bool = False  # also count events and failures over ten minutes
-    previous: bool = False  # also find the latest strictly earlier event
+    result: str  # name of the distinct count
+    full: bool = False  # also count events and failures, and find the previous event
 
 
-ENTITY_TRAIL = Trail("entity_id", "resource_accessed", THIRTY_MINUTES, counts=True, previous=True)
-ADDRESS_TRAIL = Trail("source_ip", "entity_id", TEN_MINUTES)
+ENTITY_TRAIL = Trail("entity_id", "resource_accessed", THIRTY_MINUTES, "unique_resources_30m", full=True)
+ADDRESS_TRAIL = Trail("source_ip", "entity_id", TEN_MINUTES, "source_ip_entity_fanout_10m")
 
 
-def _one_if(condition: Column) -> Column:
-    return F.when(condition, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-
-
-def _failed() -> Column:
-    return _one_if(F.col("outcome") == "failure")
+def _point(at: str, events: str, failed: str, unique: str, own: bool) -> str:
+    """A change of the balances at a time; the `own` one also carries the event."""
+    return (
+        f"struct({at} AS point_us, cast({events} AS bigint) AS d_events, "
+        f"cast({failed} AS bigint) AS d_failed, cast({unique} AS bigint) AS d_unique, {own} AS own)"
+    )
 
 
-def _payload(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c != "contributes"]
+def _points(*points: str) -> str:
+    return f"inline(array_compact(array({', '.join(points)})))"
 
 
 def _whole_points(rows: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
     """Points of keys that fit a task: everything after the one shuffle is local to it."""
-    rows = rows.repartition(trail.key)
-    ts = F.col("ts_us")
-    same_value = W.partitionBy(trail.key, "contributes", trail.value).orderBy("ts_us")
-    before, after = F.lag("ts_us").over(same_value), F.lead("ts_us").over(same_value)
-    marked = rows.withColumns(
-        {
-            "enters": F.col("contributes") & (before.isNull() | (ts - before > trail.distinct_us)),
-            "leaves": F.col("contributes") & (after.isNull() | (after - ts > trail.distinct_us)),
-        }
-    )
+    m = trail.distinct_us
+    same_value = f"OVER (PARTITION BY {trail.key}, contributes, {trail.value} ORDER BY ts_us)"
+    marks = [
+        f"contributes AND coalesce(ts_us - lag(ts_us) {same_value} > {m}, true) AS enters",
+        f"contributes AND coalesce(lead(ts_us) {same_value} - ts_us > {m}, true) AS leaves",
+    ]
     if history_only:
-        seen = F.max(F.when(F.col("contributes"), ts)).over(
-            W.partitionBy(trail.key, trail.value)
-            .orderBy("ts_us")
-            .rangeBetween(W.unboundedPreceding, W.currentRow)
+        marks.append(
+            f"coalesce(ts_us - max(IF(contributes, ts_us, NULL)) OVER (PARTITION BY {trail.key}, "
+            f"{trail.value} ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= {m}, "
+            "false) AS value_active"
         )
-        marked = marked.withColumn("value_active", F.coalesce(ts - seen <= trail.distinct_us, F.lit(False)))
-    adds = _one_if(F.col("contributes"))
-    points = [_point(ts, adds, adds * _failed(), _one_if(F.col("enters")), own=True)]
-    if trail.counts:
-        gone = _point(ts + TEN_MINUTES + 1, -adds, -adds * _failed(), F.lit(0), own=False)
-        points.append(F.when(F.col("contributes"), gone))
-    gone = _point(ts + trail.distinct_us + 1, F.lit(0), F.lit(0), F.lit(-1), own=False)
-    points.append(F.when(F.col("leaves"), gone))
+    marked = rows.repartition(trail.key).selectExpr("*", *marks)
+    adds = "cast(contributes AS int)"
+    points = [
+        _point("ts_us", adds, f"{adds} * {_FAILED}", "cast(enters AS int)", True),
+        f"IF(leaves, {_point(f'ts_us + {m + 1}', '0', '0', '-1', False)}, NULL)",
+    ]
+    if trail.full:
+        gone = _point(f"ts_us + {TEN_MINUTES + 1}", "-1", f"-{_FAILED}", "0", False)
+        points.append(f"IF(contributes, {gone}, NULL)")
     payload = [c for c in marked.columns if c not in ("enters", "leaves", trail.key)]
-    exploded = marked.select("*", F.inline(F.array_compact(F.array(*points))))
-    return exploded.select(
+    return marked.selectExpr("*", _points(*points)).selectExpr(
         trail.key,
-        F.lit(0).cast("bigint").alias("slice"),
+        "0L AS slice",
         "point_us",
         "own",
         *_DELTAS,
-        _place(F.col("own") & F.col("contributes")).alias("place"),
-        *[F.when(F.col("own"), F.col(c)).alias(c) for c in payload],
-    )
-
-
-def _point(at: Column, events: Column, failed: Column, unique: Column, *, own: bool) -> Column:
-    return F.struct(
-        at.alias("point_us"),
-        events.cast("bigint").alias("d_events"),
-        failed.cast("bigint").alias("d_failed"),
-        unique.cast("bigint").alias("d_unique"),
-        F.lit(own).alias("own"),
+        f"IF(own AND contributes, {_PLACE}, NULL) AS place",
+        *[f"IF(own, {c}, NULL) AS {c}" for c in payload],
     )
 
 
-def _place(condition: Column) -> Column:
-    return F.when(condition, F.struct("ts_us", "latitude", "longitude")).cast(_PLACE)
-
-
 def _stretches(rows: DataFrame, trail: Trail) -> DataFrame:
     """Balance changes of the distinct count of hot keys: a value enters, a value leaves.
 
     Occurrences closer than the window belong to one stretch, so a (value, window) pair is
     first reduced to its earliest and latest time, before any shuffle.
     """
+    m = trail.distinct_us
     runs = (
         rows.filter("contributes")
-        .groupBy(trail.key, "slice_us", trail.value, floor_div(F.col("ts_us"), trail.distinct_us).alias("run"))
+        .groupBy(trail.key, "slice_us", trail.value, F.expr(floor_div("ts_us", m)).alias("run"))
         .agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
     )
-    along = W.partitionBy(trail.key, trail.value).orderBy("run")
-    gap_before = F.col("first_us") - F.lag("last_us").over(along)
-    gap_after = F.lead("first_us").over(along) - F.col("last_us")
-    enters = F.when(
-        F.coalesce(gap_before > trail.distinct_us, F.lit(True)),
-        _point(F.col("first_us"), F.lit(0), F.lit(0), F.lit(1), own=False),
-    )
-    leaves = F.when(
-        F.coalesce(gap_after > trail.distinct_us, F.lit(True)),
-        _point(F.col("last_us") + trail.distinct_us + 1, F.lit(0), F.lit(0), F.lit(-1), own=False),
+    along = f"OVER (PARTITION BY {trail.key}, {trail.value} ORDER BY run)"
+    marked = runs.selectExpr(
+        "*",
+        f"coalesce(first_us - lag(last_us) {along} > {m}, true) AS enters",
+        f"coalesce(lead(first_us) {along} - last_us > {m}, true) AS leaves",
     )
-    return runs.select(
-        trail.key, "slice_us", trail.value, F.inline(F.array_compact(F.array(enters, leaves)))
+    enter = _point("first_us", "0", "0", "1", False)
+    leave = _point(f"last_us + {m + 1}", "0", "0", "-1", False)
+    return marked.selectExpr(
+        trail.key,
+        "slice_us",
+        trail.value,
+        _points(f"IF(enters, {enter}, NULL)", f"IF(leaves, {leave}, NULL)"),
     )
 
 
-def _with_carry(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add to every slice one row holding the balance and the last place of earlier slices."""
-    earlier = W.partitionBy(*keys).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    latest = F.min(
-        F.when(
-            F.col("place").isNotNull(),
-            F.struct((-F.col("ts_us")).alias("age"), F.col("seq").alias("seq"), F.col("place").alias("place")),
-        )
-    )
+def _sliced(points: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Cut points into slices and add to every slice one row holding what came before it.
+
+    The row carries the balances and the last place of the earlier slices; it sits one
+    microsecond before the slice, so every event of the slice sees it.
+    """
+    points = points.selectExpr("*", f"{floor_div('point_us', 'slice_us')} AS slice")
+    last = "min(IF(place IS NULL, NULL, struct(-ts_us AS age, seq AS seq, place AS place)))"
     totals = points.groupBy(*keys, "slice", "slice_us").agg(
-        *[F.sum(d).alias(d) for d in _DELTAS], latest.alias("latest")
+        *[F.sum(d).alias(d) for d in _DELTAS], F.expr(last).alias("latest")
     )
-    carried = totals.select(
+    before = (
+        f"OVER (PARTITION BY {', '.join(keys)} ORDER BY slice "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    carried = totals.selectExpr(
         *keys,
         "slice",
         "slice_us",
-        (F.col("slice") * F.col("slice_us") - 1).alias("point_us"),
-        F.lit(False).alias("own"),
-        *[F.coalesce(F.sum(d).over(earlier), F.lit(0)).alias(d) for d in _DELTAS],
-        F.last("latest.place", ignorenulls=True).over(earlier).alias("place"),
+        "slice * slice_us - 1 AS point_us",
+        "false AS own",
+        *[f"coalesce(sum({d}) {before}, 0L) AS {d}" for d in _DELTAS],
+        f"last(latest.place, true) {before} AS place",
     )
     return points.unionByName(carried, allowMissingColumns=True)
 
 
-def _sliced(points: DataFrame) -> DataFrame:
-    return points.withColumn(
-        "slice",
-        F.call_function("div", F.col("point_us") - F.pmod("point_us", "slice_us"), F.col("slice_us")),
-    )
-
-
-def _own_points(rows: DataFrame) -> DataFrame:
-    adds = _one_if(F.col("contributes"))
-    return rows.select(
+def _own_points(rows: DataFrame, *, counted: bool) -> DataFrame:
+    adds = "cast(contributes AS bigint)" if counted else "0L"
+    return rows.selectExpr(
         "*",
-        F.col("ts_us").alias("point_us"),
-        F.lit(True).alias("own"),
-        adds.alias("d_events"),
-        (adds * _failed()).alias("d_failed"),
-        F.lit(0).cast("bigint").alias("d_unique"),
-        _place(F.col("contributes")).alias("place"),
+        "ts_us AS point_us",
+        "true AS own",
+        f"{adds} AS d_events",
+        f"{adds} * {_FAILED} AS d_failed",
+        "0L AS d_unique",
+        f"IF(contributes, {_PLACE}, NULL) AS place" if counted else f"{_NO_PLACE} AS place",
     )
 
 
 def _sliced_points(rows: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
-    """Points of hot keys, cut into slices; `rows` carries `slice_us` of its key."""
+    """Points of hot keys, cut into slices; `rows` carries the `slice_us` of its key."""
     stretches = _stretches(rows, trail)
     if history_only:
         # is the row's own value in the window? the balance of that single value says so
         keys = (trail.key, trail.value)
-        quiet = {d: F.lit(0).cast("bigint") for d in _DELTAS}
-        asked = _own_points(rows).withColumns({**quiet, "place": F.lit(None).cast(_PLACE)})
-        one_value = _with_carry(_sliced(asked.unionByName(stretches, allowMissingColumns=True)), keys)
-        running = (
-            W.partitionBy(*keys, "slice").orderBy("point_us").rangeBetween(W.unboundedPreceding, W.currentRow)
-        )
+        asked = _own_points(rows, counted=False).unionByName(stretches, allowMissingColumns=True)
+        active = f"sum(d_unique) OVER (PARTITION BY {', '.join(keys)}, slice {_UP_TO}) > 0"
         rows = (
-            one_value.withColumn("value_active", F.sum("d_unique").over(running) > 0)
+            _sliced(asked, keys)
+            .selectExpr(*rows.columns, "own", f"{active} AS value_active")
             .filter("own")
-            .select(*rows.columns, "value_active")
+            .drop("own")
         )
-    pieces = _own_points(rows)
-    if trail.counts:
-        gone = rows.filter("contributes").select(
+    pieces = _own_points(rows, counted=True)
+    if trail.full:
+        gone = rows.filter("contributes").selectExpr(
             trail.key,
             "slice_us",
-            (F.col("ts_us") + TEN_MINUTES + 1).alias("point_us"),
-            F.lit(False).alias("own"),
-            F.lit(-1).cast("bigint").alias("d_events"),
-            (-_failed()).alias("d_failed"),
-            F.lit(0).cast("bigint").alias("d_unique"),
+            f"ts_us + {TEN_MINUTES + 1} AS point_us",
+            "false AS own",
+            "-1L AS d_events",
+            f"-{_FAILED} AS d_failed",
+            "0L AS d_unique",
         )
         pieces = pieces.unionByName(gone, allowMissingColumns=True)
     pieces = pieces.unionByName(stretches.drop(trail.value), allowMissingColumns=True)
-    return _with_carry(_sliced(pieces), (trail.key,)).drop("slice_us")
+    return _sliced(pieces, (trail.key,)).drop("slice_us")
 
 
 def _balances(points: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
     """Run the balances along every (key, slice) and keep the wanted events."""
-    group = (trail.key, "slice")
-    upto = W.partitionBy(*group).orderBy("point_us").rangeBetween(W.unboundedPreceding, W.currentRow)
-    found: dict[str, Column] = {"unique_in_window": F.sum("d_unique").over(upto)}
+    group = f"PARTITION BY {trail.key}, slice"
+    # an event that does not contribute still counts itself
+    alone = "IF(contributes, 0, 1)"
+    unique = f"sum(d_unique) OVER ({group} {_UP_TO})"
     if history_only:
-        found["unique_in_window"] += _one_if(~F.col("value_active"))
-    if trail.counts:
-        own = _one_if(~F.col("contributes"))
-        found["events_10m"] = F.sum("d_events").over(upto) + own
-        found["failed_logins_10m"] = F.sum("d_failed").over(upto) + own * _failed()
-    if trail.previous:
+        unique += " + IF(value_active, 0, 1)"
+    found = [f"{unique} AS {trail.result}"]
+    if trail.full:
         # of events that share a timestamp the first in arrival order stands for all
-        peers = W.partitionBy(*group, "point_us", F.col("place").isNull()).orderBy("seq")
-        points = points.withColumn("place", F.when(F.row_number().over(peers) == 1, F.col("place")))
-        earlier = W.partitionBy(*group).orderBy("point_us").rangeBetween(W.unboundedPreceding, -1)
-        found["previous"] = F.max("place").over(earlier)
-    return (
-        points.withColumns(found)
-        .filter(F.col("own") & F.col("wanted"))
-        .drop("slice", "point_us", "own", "place", "value_active", *_DELTAS)
-    )
+        first = f"row_number() OVER ({group}, point_us, place IS NULL ORDER BY seq) = 1"
+        others = [c for c in points.columns if c != "place"]
+        points = points.selectExpr(*others, f"IF({first}, place, NULL) AS place")
+        found += [
+            f"sum(d_events) OVER ({group} {_UP_TO}) + {alone} AS events_10m",
+            f"sum(d_failed) OVER ({group} {_UP_TO}) + {alone} * {_FAILED} AS failed_logins_10m",
+            f"max(place) OVER ({group} {_EARLIER}) AS previous",
+        ]
+    inner = ("slice", "point_us", "own", "place", "value_active", *_DELTAS)
+    kept = [c for c in points.columns if c not in inner]
+    return points.selectExpr(*kept, "own", *found).filter("own AND wanted").drop("own")
 
 
 def _follow(rows: DataFrame, trail: Trail, hot: Sequence[HotKey], history_only: bool) -> DataFrame:
@@ -269,42 +249,27 @@ def window_features(
     if mode == "history_only" and history is None:
         raise ValueError("history_only needs a history")
     history_only = mode == "history_only"
-    rows = flat_events(events).withColumns(
-        {"wanted": F.lit(True), "contributes": F.lit(not history_only)}
-    )
+    flat = flat_events(events)
+    rows = flat.selectExpr("*", "true AS wanted", f"{not history_only} AS contributes")
     if history is not None:
-        seen = flat_events(history).withColumns({"wanted": F.lit(False), "contributes": F.lit(True)})
+        seen = flat_events(history).selectExpr("*", "false AS wanted", "true AS contributes")
         rows = rows.unionByName(seen)
     if hot == "auto":
         hot = [] if is_small(rows) else find_hot_keys(rows)
 
-    by_entity = _follow(rows, ENTITY_TRAIL, hot, history_only).withColumnRenamed(
-        "unique_in_window", "unique_resources_30m"
-    )
+    by_entity = _follow(rows, ENTITY_TRAIL, hot, history_only)
     if history is not None:
         # the history must reach the address step as well, without entity results
-        by_entity = by_entity.unionByName(rows.filter(~F.col("wanted")), allowMissingColumns=True)
+        by_entity = by_entity.unionByName(rows.filter("NOT wanted"), allowMissingColumns=True)
     both = _follow(by_entity, ADDRESS_TRAIL, hot, history_only)
-    distance = F.when(
-        F.col("previous").isNotNull(),
-        haversine_km(
-            F.col("previous.latitude"), F.col("previous.longitude"), F.col("latitude"), F.col("longitude")
-        ),
-    ).otherwise(F.lit(0.0))
-    return (
-        both.withColumnRenamed("unique_in_window", "source_ip_entity_fanout_10m")
-        .withColumns(
-            {
-                "resource_access_velocity_30m": F.col("unique_resources_30m") / F.lit(30.0),
-                "distance_from_previous_km": distance,
-            }
-        )
-        .withColumn(
-            "implied_speed_kmh",
-            F.coalesce(
-                speed_kmh(F.col("distance_from_previous_km"), F.col("ts_us") - F.col("previous.ts_us")),
-                F.lit(0.0),
-            ),
-        )
-        .drop("previous", "wanted", "contributes")
+    distance = haversine_km("previous.latitude", "previous.longitude", "latitude", "longitude")
+    return both.selectExpr(
+        *flat.columns,
+        "events_10m",
+        "failed_logins_10m",
+        "unique_resources_30m",
+        "unique_resources_30m / 30D AS resource_access_velocity_30m",
+        "source_ip_entity_fanout_10m",
+        f"coalesce({distance}, 0D) AS distance_from_previous_km",
+        f"{speed_kmh('distance_from_previous_km', '(ts_us - previous.ts_us)')} AS implied_speed_kmh",
     )

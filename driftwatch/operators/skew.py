@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.schema import MINUTE_US, flat_events, floor_div
+from driftwatch.functions.clock import MINUTE_US
+from driftwatch.schema import flat_events
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 10_000
@@ -33,8 +34,8 @@ class HotKey:
 def is_small(events: DataFrame) -> bool:
     """Whether the files behind `events` are too small, by the planner's sizes, to hold a hot key."""
     leaves = events._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = (leaves.apply(i).stats().sizeInBytes().doubleValue() for i in range(leaves.size()))
-    return sum(sizes) <= SMALL_INPUT_BYTES
+    sizes = (leaves.apply(i).stats().sizeInBytes() for i in range(leaves.size()))
+    return sum(int(size) for size in sizes) <= SMALL_INPUT_BYTES
 
 
 def find_hot_keys(
@@ -54,19 +55,15 @@ def find_hot_keys(
     slice_rows = slice_rows or hot_rows
     sampled = flat_events(events).select("event_id", "ts_us", *kinds)
     if one_in > 1:
-        sampled = sampled.filter(F.pmod(F.xxhash64("event_id"), F.lit(one_in)) == 0)
-    per_minute = (
-        sampled.select(
-            floor_div(F.col("ts_us"), MINUTE_US).alias("minute"),
-            F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in kinds])),
-        )
-        .groupBy("kind", "key", "minute")
-        .agg(F.count("*").alias("n"))
-    )
+        sampled = sampled.filter(f"pmod(xxhash64(event_id), {one_in}) = 0")
+    tagged = ", ".join(f"struct('{kind}' AS kind, {kind} AS key)" for kind in kinds)
     found = (
-        per_minute.groupBy("kind", "key")
-        .agg(F.sum("n").alias("n"), F.max("n").alias("peak"))
-        .filter(F.col("n") * one_in > hot_rows)
+        sampled.selectExpr(f"ts_us div {MINUTE_US} AS minute", f"inline(array({tagged}))")
+        .groupBy("kind", "key", "minute")
+        .count()
+        .groupBy("kind", "key")
+        .agg(F.sum("count").alias("n"), F.max("count").alias("peak"))
+        .filter(f"n * {one_in} > {hot_rows}")
         .orderBy(F.col("n").desc(), "kind", "key")
         .limit(max_keys)
         .collect()

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from driftwatch.functions.clock import MINUTE_US
+
 # Enumerations and feature order of the data model.
 ENTITY_TYPES = ("user", "service_account", "edge_device")
 AUTH_METHODS = ("password", "sso", "mfa", "api_key", "certificate", "ssh_key")
@@ -83,10 +84,6 @@ EVENT_SCHEMA = T.StructType(
     ]
 )
 
-HOUR_US = 3_600_000_000
-MINUTE_US = 60_000_000
-DAY_US = 24 * HOUR_US
-
 # Flat working columns every operator reads. `seq` orders events that share a timestamp.
 FLAT_COLUMNS = (
     "event_id",
@@ -118,35 +115,27 @@ def flat_events(events: DataFrame) -> DataFrame:
     """
     if set(FLAT_COLUMNS) <= set(events.columns):
         return events
-    ts_us = F.unix_micros("timestamp")
-    local_us = ts_us
+    local_us = "unix_micros(timestamp)"
     if "tz_offset_minutes" in events.columns:
-        offset = F.coalesce(F.col("tz_offset_minutes"), F.lit(0)).cast("bigint")
-        local_us = ts_us + offset * F.lit(MINUTE_US)
+        local_us += f" + coalesce(cast(tz_offset_minutes AS bigint), 0) * {MINUTE_US}"
     seq = "ingest_seq" if "ingest_seq" in events.columns else "event_id"
-    return events.select(
+    return events.selectExpr(
         "event_id",
         "entity_id",
-        ts_us.alias("ts_us"),
-        local_us.alias("local_us"),
-        F.col(seq).alias("seq"),
+        "unix_micros(timestamp) AS ts_us",
+        f"{local_us} AS local_us",
+        f"{seq} AS seq",
         "source_ip",
         "resource_accessed",
         "auth_method",
         "outcome",
         "session_duration_seconds",
-        F.coalesce(F.size("command_sequence"), F.lit(0)).alias("command_count"),
-        F.col("geo_location.latitude").alias("latitude"),
-        F.col("geo_location.longitude").alias("longitude"),
-        F.col("device_fingerprint.fingerprint_id").alias("fingerprint_id"),
-        F.col("device_fingerprint.operating_system").alias("operating_system"),
-        F.col("device_fingerprint.browser").alias("browser"),
-        F.col("device_fingerprint.device_type").alias("device_type"),
+        "coalesce(size(command_sequence), 0) AS command_count",
+        "geo_location.latitude",
+        "geo_location.longitude",
+        "device_fingerprint.fingerprint_id",
+        "device_fingerprint.operating_system",
+        "device_fingerprint.browser",
+        "device_fingerprint.device_type",
         "label",
     )
-
-
-def floor_div(value: Column, width_us: int) -> Column:
-    """Floor division of a microsecond column (correct before 1970 as well)."""
-    width = F.lit(width_us).cast("bigint")
-    return F.call_function("div", value - F.pmod(value, width), width)

@@ -8,9 +8,8 @@ and 7-9 the scoring period.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from driftwatch.schema import DAY_US, HOUR_US
+from driftwatch.functions.clock import DAY_US, HOUR_US
 
 EPOCH_US = 1_704_067_200_000_000  # 2024-01-01T00:00:00Z
 SOURCE_DAY_US = 259_200_000_000  # three source days become one synthetic day
@@ -23,90 +22,58 @@ SCORE_DAYS = (7, 9)
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested `security_events` plus `day`, `ingest_seq` and the source `user_id`."""
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(
-        F.col("n_nationkey").cast("bigint").alias("nk"), "n_name"
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr(
+        "cast(n_nationkey AS bigint) AS nk", "n_name"
     )
-    source = spark.read.parquet(f"{sf_dir}/events.parquet").select(
-        F.col("event_id").alias("n"),
+    source = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id AS n",
         "user_id",
         "event_type",
         "value",
-        F.get_json_object("props", "$.k").cast("bigint").alias("k"),
-        (
-            F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))")
-        ).alias("off"),
+        "cast(get_json_object(props, '$.k') AS bigint) AS k",
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts AS timestamp_ntz)) AS off",
+        "(event_id * 7919 + 13) % 101 AS h",
+        f"off div {SOURCE_DAY_US} AS day",
+        f"(off % {SOURCE_DAY_US}) div {SQUEEZE} AS w",
+        "user_id div 15 AS g",
+        "day >= 7 AS late",
+        "CASE WHEN late AND h IN (5, 6) THEN (user_id + 11) % 25 ELSE user_id % 25 END AS nk",
     )
-    base = source.select(
-        "*",
-        F.expr("(n * 7919 + 13) % 101").alias("h"),
-        F.expr(f"off div {SOURCE_DAY_US}").alias("day"),
-        F.expr(f"(off % {SOURCE_DAY_US}) div {SQUEEZE}").alias("w"),
-        F.expr("user_id div 15").alias("g"),
-    )
-    attack = base.withColumns(
-        {
-            "late": F.col("day") >= 7,
-            "nk": F.expr("CASE WHEN day >= 7 AND h IN (5, 6) THEN (user_id + 11) % 25 ELSE user_id % 25 END"),
-        }
-    ).join(nation, "nk", "left")
-    entity = F.concat(F.lit("USER_"), F.lpad(F.col("user_id").cast("string"), 5, "0"))
-    ts_us = F.expr(
-        f"{EPOCH_US} + day * {DAY_US} + (9 + g % 5 + IF(h = 0, 11, 0)) * {HOUR_US} + w"
-    )
-    return attack.select(
-        F.concat(F.lit("EVENT_"), F.lpad(F.col("n").cast("string"), 10, "0")).alias("event_id"),
-        entity.alias("entity_id"),
-        F.expr("CASE user_id % 10 WHEN 0 THEN 'service_account' WHEN 1 THEN 'edge_device' ELSE 'user' END").alias(
-            "entity_type"
-        ),
-        F.timestamp_micros(ts_us).alias("timestamp"),
-        F.expr("concat('10.', g div 250, '.', g % 250, '.', k % 25 + 1)").alias("source_ip"),
-        F.struct(
-            F.expr("upper(substr(n_name, 1, 2))").alias("country_code"),
-            F.col("n_name").alias("city"),
-            F.expr("cast((nk * 7) % 120 - 60 AS double)").alias("latitude"),
-            F.expr("cast((nk * 29) % 360 - 180 AS double)").alias("longitude"),
-        ).alias("geo_location"),
-        F.expr(
-            "CASE WHEN late AND h BETWEEN 90 AND 97 THEN concat('vault-', k % 4) "
-            "ELSE concat('res-', (n * 31 + k) % IF(user_id % 4 = 0, 12, 4)) END"
-        ).alias("resource_accessed"),
-        F.expr(
-            "CASE n % 6 WHEN 0 THEN 'password' WHEN 1 THEN 'sso' WHEN 2 THEN 'mfa' "
-            "WHEN 3 THEN 'api_key' WHEN 4 THEN 'certificate' ELSE 'ssh_key' END"
-        ).alias("auth_method"),
-        F.expr(
-            "CASE WHEN event_type = 'error' OR (user_id % 7 = 0 AND late) THEN 'failure' "
-            "WHEN event_type = 'signup' AND k % 10 = 0 THEN 'denied' ELSE 'success' END"
-        ).alias("outcome"),
-        F.expr("cast(least(86400, floor(value * 60) * IF(h = 1, 40, 1)) AS int)").alias(
-            "session_duration_seconds"
-        ),
-        F.expr("slice(array('GET /profile', 'GET /projects', 'POST /run'), 1, cast(k % 4 AS int))").alias(
-            "command_sequence"
-        ),
-        F.struct(
-            F.when(F.expr("late AND h = 3"), F.lit("unknown_device"))
-            .otherwise(F.concat(entity, F.lit("_DEVICE_"), F.expr("n % 3 + 1").cast("string")))
-            .alias("fingerprint_id"),
-            F.expr("IF(late AND h = 2, 'Android', 'macOS')").alias("operating_system"),
-            F.lit("Firefox").alias("browser"),
-            F.lit("laptop").alias("device_type"),
-        ).alias("device_fingerprint"),
-        F.expr(
-            "CASE WHEN h = 50 THEN NULL WHEN late AND h = 2 THEN 'device_spoofing' "
-            "WHEN late AND h IN (5, 6) THEN 'impossible_travel' "
-            "WHEN late AND user_id % 7 = 0 THEN 'brute_force' "
-            "WHEN late AND h BETWEEN 90 AND 97 THEN 'lateral_movement' ELSE 'normal' END"
-        ).alias("label"),
-        F.col("day").cast("int").alias("day"),
-        F.col("n").alias("ingest_seq"),
+    entity = "concat('USER_', lpad(cast(user_id AS string), 5, '0'))"
+    return source.join(nation, "nk", "left").selectExpr(
+        "concat('EVENT_', lpad(cast(n AS string), 10, '0')) AS event_id",
+        f"{entity} AS entity_id",
+        "CASE user_id % 10 WHEN 0 THEN 'service_account' WHEN 1 THEN 'edge_device' ELSE 'user' END AS entity_type",
+        f"timestamp_micros({EPOCH_US} + day * {DAY_US} + (9 + g % 5 + IF(h = 0, 11, 0)) * {HOUR_US} + w) "
+        "AS timestamp",
+        "concat('10.', g div 250, '.', g % 250, '.', k % 25 + 1) AS source_ip",
+        "named_struct('country_code', upper(substr(n_name, 1, 2)), 'city', n_name, "
+        "'latitude', cast((nk * 7) % 120 - 60 AS double), "
+        "'longitude', cast((nk * 29) % 360 - 180 AS double)) AS geo_location",
+        "CASE WHEN late AND h BETWEEN 90 AND 97 THEN concat('vault-', k % 4) "
+        "ELSE concat('res-', (n * 31 + k) % IF(user_id % 4 = 0, 12, 4)) END AS resource_accessed",
+        "CASE n % 6 WHEN 0 THEN 'password' WHEN 1 THEN 'sso' WHEN 2 THEN 'mfa' "
+        "WHEN 3 THEN 'api_key' WHEN 4 THEN 'certificate' ELSE 'ssh_key' END AS auth_method",
+        "CASE WHEN event_type = 'error' OR (user_id % 7 = 0 AND late) THEN 'failure' "
+        "WHEN event_type = 'signup' AND k % 10 = 0 THEN 'denied' ELSE 'success' END AS outcome",
+        "cast(least(86400, floor(value * 60) * IF(h = 1, 40, 1)) AS int) AS session_duration_seconds",
+        "slice(array('GET /profile', 'GET /projects', 'POST /run'), 1, cast(k % 4 AS int)) AS command_sequence",
+        f"named_struct('fingerprint_id', CASE WHEN late AND h = 3 THEN 'unknown_device' "
+        f"ELSE concat({entity}, '_DEVICE_', n % 3 + 1) END, "
+        "'operating_system', IF(late AND h = 2, 'Android', 'macOS'), "
+        "'browser', 'Firefox', 'device_type', 'laptop') AS device_fingerprint",
+        "CASE WHEN h = 50 THEN NULL WHEN late AND h = 2 THEN 'device_spoofing' "
+        "WHEN late AND h IN (5, 6) THEN 'impossible_travel' "
+        "WHEN late AND user_id % 7 = 0 THEN 'brute_force' "
+        "WHEN late AND h BETWEEN 90 AND 97 THEN 'lateral_movement' ELSE 'normal' END AS label",
+        "cast(day AS int) AS day",
+        "n AS ingest_seq",
         "user_id",
     )
 
 
 def split(events: DataFrame, days: tuple[int, int]) -> DataFrame:
-    return events.filter(F.col("day").between(*days))
+    return events.filter(f"day BETWEEN {days[0]} AND {days[1]}")
 
 
 def profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
