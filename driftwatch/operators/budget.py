@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.operators.evaluate import is_attack, ratio, truth
+from driftwatch.operators.evaluate import IS_ATTACK, TRUTH, ratio
 from driftwatch.operators.rank import PIVOTS, TOP_K_LIMIT, value_at
 
 _KEY = ("unusable", "descending", "event_id")
@@ -32,13 +32,11 @@ def check_budget(scored: DataFrame, budget_fraction: float) -> int:
 
 def _ranked(scored: DataFrame) -> DataFrame:
     """Ascending key of the ranking: highest score first, then event id; NaN and null last."""
-    score = F.col("risk_score").cast("double")
-    usable = score.isNotNull() & ~F.isnan(score)
-    return scored.withColumns(
-        {
-            "unusable": F.when(usable, F.lit(0)).otherwise(F.lit(1)),
-            "descending": F.when(usable, -score).otherwise(F.lit(0.0)),
-        }
+    unusable = "(risk_score IS NULL OR isnan(cast(risk_score AS double)))"
+    return scored.selectExpr(
+        "*",
+        f"cast({unusable} AS int) AS unusable",
+        f"IF({unusable}, 0D, -cast(risk_score AS double)) AS descending",
     )
 
 
@@ -74,23 +72,22 @@ def alert_budget(
     total = check_budget(scored, budget_fraction)
     k = max(1, math.ceil(total * budget_fraction))
     ranked = _ranked(scored.select("event_id", "risk_score", "label"))
-    hit = _in_top(ranked, k, total, limit, pivots) & is_attack()
-    found = ranked.agg(
-        F.count_if(is_attack()).alias("total_attacks"),
-        F.count_if(hit).alias("true_alerts"),
-        F.sort_array(F.collect_set(F.when(hit, truth()))).alias("attack_types_surfaced"),
+    marked = ranked.select("*", _in_top(ranked, k, total, limit, pivots).alias("in_top"))
+    hit = f"in_top AND {IS_ATTACK}"
+    found = marked.agg(
+        F.expr(f"count_if({IS_ATTACK})").alias("total_attacks"),
+        F.expr(f"count_if({hit})").alias("true_alerts"),
+        F.expr(f"sort_array(collect_set(IF({hit}, {TRUTH}, NULL)))").alias("attack_types_surfaced"),
     )
-    attacks, hits = F.col("total_attacks"), F.col("true_alerts")
-    alerts, events = F.lit(k).cast("bigint"), F.lit(total).cast("bigint")
-    return found.select(
-        events.alias("total_events"),
-        attacks.alias("total_attacks"),
-        F.lit(float(budget_fraction)).alias("budget_fraction"),
-        alerts.alias("alert_count"),
-        hits.alias("true_alerts"),
-        (alerts - hits).alias("false_alerts"),
-        (hits / alerts).alias("precision_at_budget"),
-        ratio(hits, attacks).alias("attack_recall_at_budget"),
-        ratio(alerts - hits, events - attacks).alias("false_positive_rate"),
+    return found.selectExpr(
+        f"{total}L AS total_events",
+        "total_attacks",
+        f"{float(budget_fraction)!r}D AS budget_fraction",
+        f"{k}L AS alert_count",
+        "true_alerts",
+        f"{k}L - true_alerts AS false_alerts",
+        f"true_alerts / {k}D AS precision_at_budget",
+        f"{ratio('true_alerts', 'total_attacks')} AS attack_recall_at_budget",
+        f"{ratio('false_alerts', f'{total} - total_attacks')} AS false_positive_rate",
         "attack_types_surfaced",
     )

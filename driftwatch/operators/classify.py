@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from driftwatch.functions.text import present, whole
+from driftwatch.functions.text import present, quote, whole
 from driftwatch.operators.risk import feature
 
 # Attack types in tie order, and the least score that names one.
@@ -23,8 +19,8 @@ MIN_CONFIDENCE = 0.40
 # End of fixed values.
 
 
-def signatures(df: DataFrame) -> dict[str, list[tuple[float, Column, Column | None]]]:
-    """Weight, condition and wording of every sign, per attack type.
+def signatures(df: DataFrame) -> dict[str, list[tuple[float, str, str | None]]]:
+    """Weight, condition and wording of every sign, per attack type (SQL expressions).
 
     Weights are doubles added in this order, so that equal sums tie exactly.
     """
@@ -33,36 +29,52 @@ def signatures(df: DataFrame) -> dict[str, list[tuple[float, Column, Column | No
     fanout = feature(df, "source_ip_entity_fanout_10m")
     speed = feature(df, "implied_speed_kmh")
     distance = feature(df, "distance_from_previous_km")
-    mismatch = feature(df, "device_fingerprint_mismatch") >= 1
+    mismatch = feature(df, "device_fingerprint_mismatch")
+    new_device = feature(df, "is_new_device")
+    new_resource = feature(df, "is_new_resource")
     resources = feature(df, "unique_resources_30m")
-    say = F.lit
+    velocity = feature(df, "resource_access_velocity_30m")
     return {
         "brute_force": [
-            (0.65, failed >= 5, F.concat(whole(failed), say(" failed logins occurred within 10 minutes"))),
-            (0.20, events >= 6, F.concat(whole(events), say(" events occurred within 10 minutes"))),
+            (0.65, f"{failed} >= 5", f"concat({whole(failed)}, ' failed logins occurred within 10 minutes')"),
+            (0.20, f"{events} >= 6", f"concat({whole(events)}, ' events occurred within 10 minutes')"),
         ],
         "credential_stuffing": [
-            (0.70, fanout >= 4,
-             F.concat(say("Source IP accessed "), whole(fanout), say(" entities within 10 minutes"))),
-            (0.20, (fanout >= 4) & (failed >= 1),
-             say("Multi-entity activity included authentication failures")),
+            (
+                0.70,
+                f"{fanout} >= 4",
+                f"concat('Source IP accessed ', {whole(fanout)}, ' entities within 10 minutes')",
+            ),
+            (
+                0.20,
+                f"{fanout} >= 4 AND {failed} >= 1",
+                quote("Multi-entity activity included authentication failures"),
+            ),
         ],
         "impossible_travel": [
-            (0.75, speed >= 1000, F.concat(say("Travel would require "), whole(speed), say(" km/h"))),
-            (0.20, distance >= 3000,
-             F.concat(say("Consecutive activity occurred "), whole(distance), say(" km apart"))),
+            (0.75, f"{speed} >= 1000", f"concat('Travel would require ', {whole(speed)}, ' km/h')"),
+            (
+                0.20,
+                f"{distance} >= 3000",
+                f"concat('Consecutive activity occurred ', {whole(distance)}, ' km apart')",
+            ),
         ],
         "lateral_movement": [
-            (0.40, resources >= 4,
-             F.concat(whole(resources), say(" unique resources were accessed within 30 minutes"))),
-            (0.30, feature(df, "resource_access_velocity_30m") >= 0.15,
-             say("Resource access velocity was unusually high")),
-            (0.20, feature(df, "is_new_resource") >= 1,
-             say("Entity accessed a resource outside its behavioral baseline")),
+            (
+                0.40,
+                f"{resources} >= 4",
+                f"concat({whole(resources)}, ' unique resources were accessed within 30 minutes')",
+            ),
+            (0.30, f"{velocity} >= 0.15D", quote("Resource access velocity was unusually high")),
+            (
+                0.20,
+                f"{new_resource} >= 1",
+                quote("Entity accessed a resource outside its behavioral baseline"),
+            ),
         ],
         "device_spoofing": [
-            (0.80, mismatch, say("Known device ID presented a different fingerprint")),
-            (0.10, mismatch & (feature(df, "is_new_device") >= 1), None),
+            (0.80, f"{mismatch} >= 1", quote("Known device ID presented a different fingerprint")),
+            (0.10, f"{mismatch} >= 1 AND {new_device} >= 1", None),
         ],
     }
 
@@ -74,29 +86,23 @@ def classify(df: DataFrame) -> DataFrame:
     """
     found = signatures(df)
     scores = {
-        kind: reduce(add, [F.when(c, F.lit(w)).otherwise(F.lit(0.0)) for w, c, _ in found[kind]])
+        kind: " + ".join(f"IF({when}, {weight}D, 0D)" for weight, when, _ in found[kind])
         for kind in ATTACK_TYPES
     }
-    df = df.withColumns({f"_{kind}": score for kind, score in scores.items()})
-    best = F.greatest(*[F.col(f"_{kind}") for kind in ATTACK_TYPES])
-    df = df.withColumn("_best", best)
-
-    suspicious = F.col("is_suspicious")
-    named = F.when(~suspicious, F.lit("normal")).when(F.col("_best") < MIN_CONFIDENCE, F.lit("unknown"))
-    for kind in ATTACK_TYPES:
-        named = named.when(F.col(f"_{kind}") == F.col("_best"), F.lit(kind))
-    df = df.withColumn("anomaly_type", named)
-
-    nothing = F.array().cast("array<string>")
-    signs = F
-    for kind in ATTACK_TYPES:
-        texts = [F.when(c, text) for _, c, text in found[kind] if text is not None]
-        signs = signs.when(F.col("anomaly_type") == kind, present(*texts))
-    return df.withColumns(
-        {
-            "classification_confidence": F.when(
-                suspicious, F.least(F.col("_best"), F.lit(1.0))
-            ).otherwise(F.lit(1.0)),
-            "classification_evidence": signs.otherwise(nothing),
-        }
-    ).drop("_best", *[f"_{kind}" for kind in ATTACK_TYPES])
+    texts = {
+        kind: present(*[f"IF({when}, {text}, NULL)" for _, when, text in found[kind] if text])
+        for kind in ATTACK_TYPES
+    }
+    # the first type that reaches the best score wins a tie
+    named = " ".join(f"WHEN score_{kind} = best THEN '{kind}'" for kind in ATTACK_TYPES)
+    shown = " ".join(f"WHEN '{kind}' THEN {texts[kind]}" for kind in ATTACK_TYPES)
+    inner = ["best", *[f"score_{kind}" for kind in ATTACK_TYPES]]
+    return df.selectExpr(
+        "*",
+        *[f"{score} AS score_{kind}" for kind, score in scores.items()],
+        f"greatest({', '.join(inner[1:])}) AS best",
+        f"CASE WHEN NOT is_suspicious THEN 'normal' WHEN best < {MIN_CONFIDENCE}D THEN 'unknown' "
+        f"{named} END AS anomaly_type",
+        "IF(is_suspicious, least(best, 1D), 1D) AS classification_confidence",
+        f"CASE anomaly_type {shown} ELSE cast(array() AS array<string>) END AS classification_evidence",
+    ).drop(*inner)

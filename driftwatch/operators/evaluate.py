@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# The label of ordinary events, and the name an absent label goes by.
 NORMAL = "normal"
-MISSING_LABEL = "None"  # an absent label counts as an attack type of this name
+MISSING_LABEL = "None"
+# End of fixed values.
 
+# an absent label counts as an attack type of its own
+TRUTH = f"coalesce(label, '{MISSING_LABEL}')"
+IS_ATTACK = f"({TRUTH} <> '{NORMAL}')"
 
-def truth() -> Column:
-    return F.coalesce(F.col("label"), F.lit(MISSING_LABEL))
 
-
-def is_attack() -> Column:
-    return truth() != NORMAL
-
-
-def ratio(numerator: Column, denominator: Column) -> Column:
+def ratio(numerator: str, denominator: str) -> str:
     """Quotient, 0 where the denominator is 0."""
-    return F.when(denominator == 0, F.lit(0.0)).otherwise(numerator / denominator)
+    return f"IF(({denominator}) = 0, 0D, ({numerator}) / ({denominator}))"
 
 
 def require_rows(df: DataFrame, what: str) -> None:
@@ -29,25 +27,18 @@ def require_rows(df: DataFrame, what: str) -> None:
 
 def detector_metrics(scored: DataFrame, predicted: str = "ml_flagged") -> DataFrame:
     """One row of counts and rates for a boolean decision column (one aggregation)."""
-    hit, attack = F.col(predicted), is_attack()
     counts = scored.agg(
-        F.count_if(hit & attack).alias("true_positives"),
-        F.count_if(hit & ~attack).alias("false_positives"),
-        F.count_if(~hit & ~attack).alias("true_negatives"),
-        F.count_if(~hit & attack).alias("false_negatives"),
+        F.expr(f"count_if({predicted} AND {IS_ATTACK})").alias("true_positives"),
+        F.expr(f"count_if({predicted} AND NOT {IS_ATTACK})").alias("false_positives"),
+        F.expr(f"count_if(NOT {predicted} AND NOT {IS_ATTACK})").alias("true_negatives"),
+        F.expr(f"count_if(NOT {predicted} AND {IS_ATTACK})").alias("false_negatives"),
     )
-    tp, fp, tn, fn = (
-        F.col(c) for c in ("true_positives", "false_positives", "true_negatives", "false_negatives")
-    )
-    return counts.withColumns(
-        {
-            "precision": ratio(tp, tp + fp),
-            "recall": ratio(tp, tp + fn),
-            "false_positive_rate": ratio(fp, fp + tn),
-        }
-    ).withColumn(
-        "f1_score",
-        ratio(2.0 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")),
+    return counts.selectExpr(
+        "*",
+        f"{ratio('true_positives', 'true_positives + false_positives')} AS precision",
+        f"{ratio('true_positives', 'true_positives + false_negatives')} AS recall",
+        f"{ratio('false_positives', 'false_positives + true_negatives')} AS false_positive_rate",
+        f"{ratio('2D * precision * recall', 'precision + recall')} AS f1_score",
     )
 
 
@@ -56,41 +47,40 @@ def attack_metrics(
 ) -> DataFrame:
     """Total, detected, rate and mean score per attack type, sorted by name."""
     return (
-        scored.filter(is_attack())
-        .groupBy(truth().alias("attack_type"))
+        scored.filter(IS_ATTACK)
+        .groupBy(F.expr(TRUTH).alias("attack_type"))
         .agg(
             F.count("*").alias("total"),
-            F.count_if(F.col(predicted)).alias("detected"),
+            F.expr(f"count_if({predicted})").alias("detected"),
             F.avg(score).alias("mean_anomaly_score"),
         )
-        .withColumn("detection_rate", ratio(F.col("detected"), F.col("total")))
+        .selectExpr("*", f"{ratio('detected', 'total')} AS detection_rate")
         .orderBy("attack_type")
     )
 
 
 def classification_accuracy(classified: DataFrame, expected: str, actual: str = "anomaly_type") -> DataFrame:
     """Accuracy per expected class, and over all rows under the name `overall`."""
-    correct = F.col(expected) == F.col(actual)
     return (
-        classified.select(F.col(expected).alias("expected"), correct.alias("correct"))
+        classified.selectExpr(f"{expected} AS expected", f"{expected} = {actual} AS hit")
         .rollup("expected")
         .agg(
-            F.grouping("expected").alias("whole"),
+            F.grouping("expected").alias("overall"),
             F.count("*").alias("total"),
-            F.count_if("correct").alias("correct"),
+            F.expr("count_if(hit)").alias("correct"),
         )
-        .select(
-            F.when(F.col("whole") == 1, F.lit("overall")).otherwise(F.col("expected")).alias("expected"),
+        .selectExpr(
+            "IF(overall = 1, 'overall', expected) AS expected",
             "total",
             "correct",
-            ratio(F.col("correct"), F.col("total")).alias("accuracy"),
+            f"{ratio('correct', 'total')} AS accuracy",
         )
     )
 
 
 def label_rate(events: DataFrame) -> DataFrame:
     """Number of events and the share that is not labelled normal (absent labels included)."""
-    malicious = F.count_if(is_attack())
-    return events.agg(
-        F.count("*").alias("total_events"), malicious.alias("malicious_events")
-    ).withColumn("anomaly_rate", ratio(F.col("malicious_events"), F.col("total_events")))
+    counts = events.agg(
+        F.count("*").alias("total_events"), F.expr(f"count_if({IS_ATTACK})").alias("malicious_events")
+    )
+    return counts.selectExpr("*", f"{ratio('malicious_events', 'total_events')} AS anomaly_rate")

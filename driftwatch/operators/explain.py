@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from driftwatch.functions.text import whole
+from driftwatch.functions.text import quote, whole
 from driftwatch.operators.risk import ALERT_SEVERITY, bucket, evidence
 
 # Output columns and summary endings.
@@ -34,26 +33,16 @@ ENDINGS = {
 # End of fixed values.
 
 
-def summary() -> Column:
-    severity = F.col("severity")
-    verb = F.when(severity == "low", F.lit("observed")).otherwise(F.lit("detected"))
-    ending = F
-    for name in ("critical", "high", "medium"):
-        ending = ending.when(severity == name, F.lit(ENDINGS[name]))
-    return F.concat(
-        F.upper(severity),
-        F.lit(" risk activity "),
-        verb,
-        F.lit(" with a risk score of "),
-        whole(F.col("risk_score")),
-        F.lit("/100. "),
-        ending.otherwise(F.lit(ENDINGS["low"])),
-    )
+_ENDING = " ".join(f"WHEN '{name}' THEN {quote(text)}" for name, text in ENDINGS.items())
+_SUMMARY = (
+    "concat(upper(severity), ' risk activity ', IF(severity = 'low', 'observed', 'detected'), "
+    f"' with a risk score of ', {whole('risk_score')}, '/100. ', CASE severity {_ENDING} END)"
+)
 
 
 def explain(scored: DataFrame) -> DataFrame:
     """Add the one-sentence `summary` to scored events."""
-    return scored.withColumn("summary", summary())
+    return scored.selectExpr("*", f"{_SUMMARY} AS summary")
 
 
 def assessments(classified: DataFrame) -> DataFrame:
@@ -61,20 +50,16 @@ def assessments(classified: DataFrame) -> DataFrame:
     return explain(classified).select(*ASSESSMENT_COLUMNS)
 
 
-def alerts(classified: DataFrame, *, created_at: Column | None = None) -> DataFrame:
+def alerts(classified: DataFrame, *, created_at: str = "current_timestamp()") -> DataFrame:
     """Open alert records of suspicious events, on the alert severity scale."""
-    risk = F.struct(
-        F.col("risk_score").alias("score"),
-        F.col("classification_confidence").alias("confidence"),
-        bucket(F.col("risk_score"), ALERT_SEVERITY).alias("severity"),
-    )
-    return classified.filter("is_suspicious").select(
-        F.substring(F.sha2("event_id", 256), 1, 32).alias("alert_id"),
+    severity = bucket("risk_score", ALERT_SEVERITY)
+    return classified.filter("is_suspicious").selectExpr(
+        "substr(sha2(event_id, 256), 1, 32) AS alert_id",
         "event_id",
         "entity_id",
-        risk.alias("risk"),
-        F.col("anomaly_type").alias("classification"),
-        evidence(classified).alias("evidence"),
-        F.lit("open").alias("status"),
-        (created_at if created_at is not None else F.current_timestamp()).alias("created_at"),
+        f"struct(risk_score AS score, classification_confidence AS confidence, {severity} AS severity) AS risk",
+        "anomaly_type AS classification",
+        f"{evidence(classified)} AS evidence",
+        "'open' AS status",
+        f"{created_at} AS created_at",
     )

@@ -25,6 +25,7 @@ from driftwatch.schema import MODEL_FEATURES
 MAX_SAMPLE = 256
 POOL_ROWS = 1_000_000
 MARGIN = 1.5
+CONSTANT = 1e-7  # a feature that varies less than this within a node is not split on
 _EULER = 0.5772156649
 
 FOREST_SCHEMA = T.StructType(
@@ -84,7 +85,7 @@ def _grow(seed: int, height: int, features: tuple[str, ...]):
             members, depth, node = open_nodes.pop(0)
             part = x[members]
             low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (None, None)
-            usable = np.flatnonzero(high > low) if len(part) > 1 else []
+            usable = np.flatnonzero(high > low + CONSTANT) if len(part) > 1 else []
             if depth >= height or len(usable) == 0:
                 nodes.append((tree, node, None, None, None, None, len(members), depth))
                 continue

@@ -3,13 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from driftwatch.functions.text import present, whole
+from driftwatch.functions.text import present, quote, whole
 
 # Points, thresholds and wording of the score.
 BEHAVIOURAL_CAP = 80.0
@@ -29,21 +26,21 @@ ML_REASON = "Isolation Forest classified the event as statistically anomalous"
 
 @dataclass(frozen=True)
 class Rule:
+    """One behavioural rule; `when` and `text` are SQL expressions."""
+
     signal: str
     points: float
-    when: Column
-    text: Column
+    when: str
+    text: str
 
 
-def feature(df: DataFrame, name: str) -> Column:
+def feature(df: DataFrame, name: str) -> str:
     """A feature column as double; 0 where the table lacks it or it is null."""
-    if name not in df.columns:
-        return F.lit(0.0)
-    return F.coalesce(F.col(name).cast("double"), F.lit(0.0))
+    return f"coalesce(cast({name} AS double), 0D)" if name in df.columns else "0D"
 
 
-def count_feature(df: DataFrame, name: str) -> Column:
-    return feature(df, name).cast("bigint")
+def count_feature(df: DataFrame, name: str) -> str:
+    return f"cast({feature(df, name)} AS bigint)"
 
 
 def rules(df: DataFrame) -> list[Rule]:
@@ -51,105 +48,126 @@ def rules(df: DataFrame) -> list[Rule]:
     failed = count_feature(df, "failed_logins_10m")
     speed = feature(df, "implied_speed_kmh")
     distance = feature(df, "distance_from_previous_km")
+    mismatch = count_feature(df, "device_fingerprint_mismatch")
     fanout = count_feature(df, "source_ip_entity_fanout_10m")
     resources = count_feature(df, "unique_resources_30m")
-    say = F.lit
+    new_resource = count_feature(df, "is_new_resource")
+    velocity = feature(df, "resource_access_velocity_30m")
+    hour_z = feature(df, "hour_deviation_zscore")
+    session_z = feature(df, "session_duration_deviation_zscore")
+    burst = f"concat({failed}, ' failed logins occurred within 10 minutes')"
     return [
-        Rule("failed_logins_10m", 35.0, failed >= 10,
-             F.concat(failed.cast("string"), say(" failed logins occurred within 10 minutes"))),
-        Rule("failed_logins_10m", 20.0, failed.between(5, 9),
-             F.concat(failed.cast("string"), say(" failed logins occurred within 10 minutes"))),
-        Rule("implied_speed_kmh", 45.0, speed >= 1000,
-             F.concat(say("Travel between consecutive events would require "), whole(speed), say(" km/h"))),
-        Rule("implied_speed_kmh", 25.0, (speed >= 500) & (speed < 1000),
-             F.concat(say("Unusually high travel speed of "), whole(speed), say(" km/h"))),
-        Rule("distance_from_previous_km", 10.0, distance >= 3000,
-             F.concat(say("Consecutive activity occurred "), whole(distance), say(" km apart"))),
-        Rule("device_fingerprint_mismatch", 40.0, count_feature(df, "device_fingerprint_mismatch") == 1,
-             say("Known device identifier presented an unexpected fingerprint")),
-        Rule("source_ip_entity_fanout_10m", 35.0, fanout >= 5,
-             F.concat(say("A single source IP accessed "), fanout.cast("string"),
-                      say(" entities within 10 minutes"))),
-        Rule("source_ip_entity_fanout_10m", 20.0, fanout.between(3, 4),
-             say("Source IP accessed multiple entities within a short period")),
-        Rule("unique_resources_30m", 30.0, (resources >= 5) & (count_feature(df, "is_new_resource") == 1),
-             say("Entity rapidly accessed multiple resources including an unfamiliar resource")),
-        Rule("resource_access_velocity_30m", 10.0, feature(df, "resource_access_velocity_30m") >= 0.20,
-             say("Resource access velocity is unusually high")),
-        Rule("hour_deviation_zscore", 10.0, feature(df, "hour_deviation_zscore") >= 3,
-             say("Activity occurred far outside the entity's typical access hours")),
-        Rule("session_duration_deviation_zscore", 10.0,
-             feature(df, "session_duration_deviation_zscore") >= 3,
-             say("Session duration strongly deviates from the entity's normal behavior")),
+        Rule("failed_logins_10m", 35.0, f"{failed} >= 10", burst),
+        Rule("failed_logins_10m", 20.0, f"{failed} BETWEEN 5 AND 9", burst),
+        Rule(
+            "implied_speed_kmh",
+            45.0,
+            f"{speed} >= 1000D",
+            f"concat('Travel between consecutive events would require ', {whole(speed)}, ' km/h')",
+        ),
+        Rule(
+            "implied_speed_kmh",
+            25.0,
+            f"{speed} >= 500D AND {speed} < 1000D",
+            f"concat('Unusually high travel speed of ', {whole(speed)}, ' km/h')",
+        ),
+        Rule(
+            "distance_from_previous_km",
+            10.0,
+            f"{distance} >= 3000D",
+            f"concat('Consecutive activity occurred ', {whole(distance)}, ' km apart')",
+        ),
+        Rule(
+            "device_fingerprint_mismatch",
+            40.0,
+            f"{mismatch} = 1",
+            quote("Known device identifier presented an unexpected fingerprint"),
+        ),
+        Rule(
+            "source_ip_entity_fanout_10m",
+            35.0,
+            f"{fanout} >= 5",
+            f"concat('A single source IP accessed ', {fanout}, ' entities within 10 minutes')",
+        ),
+        Rule(
+            "source_ip_entity_fanout_10m",
+            20.0,
+            f"{fanout} BETWEEN 3 AND 4",
+            quote("Source IP accessed multiple entities within a short period"),
+        ),
+        Rule(
+            "unique_resources_30m",
+            30.0,
+            f"{resources} >= 5 AND {new_resource} = 1",
+            quote("Entity rapidly accessed multiple resources including an unfamiliar resource"),
+        ),
+        Rule(
+            "resource_access_velocity_30m",
+            10.0,
+            f"{velocity} >= 0.20D",
+            quote("Resource access velocity is unusually high"),
+        ),
+        Rule(
+            "hour_deviation_zscore",
+            10.0,
+            f"{hour_z} >= 3D",
+            quote("Activity occurred far outside the entity's typical access hours"),
+        ),
+        Rule(
+            "session_duration_deviation_zscore",
+            10.0,
+            f"{session_z} >= 3D",
+            quote("Session duration strongly deviates from the entity's normal behavior"),
+        ),
     ]
 
 
-def bucket(score: Column, scale: tuple[tuple[float, str], ...]) -> Column:
+def bucket(score: str, scale: tuple[tuple[float, str], ...]) -> str:
     """Severity of a score on one of the two scales."""
-    named = F
-    for bound, name in scale:
-        named = named.when(score >= bound, F.lit(name))
-    return named.otherwise(F.lit("low"))
+    steps = " ".join(f"WHEN {score} >= {bound}D THEN '{name}'" for bound, name in scale)
+    return f"CASE {steps} ELSE 'low' END"
 
 
-def ml_points() -> Column:
-    score = F.col("ml_anomaly_score")
-    flagged = F.least(
-        F.lit(ML_BASE) + F.greatest(score, F.lit(0.0)) * F.lit(ML_SCALE), F.lit(ML_CAP)
-    )
-    near = F.when(score >= ML_NEAR_SCORE, F.lit(ML_NEAR_POINTS)).otherwise(F.lit(0.0))
-    return F.when(F.col("ml_flagged"), flagged).otherwise(near)
+_ML_POINTS = (
+    f"CASE WHEN ml_flagged THEN least({ML_BASE}D + greatest(ml_anomaly_score, 0D) * {ML_SCALE}D, {ML_CAP}D) "
+    f"WHEN ml_anomaly_score >= {ML_NEAR_SCORE}D THEN {ML_NEAR_POINTS}D ELSE 0D END"
+)
 
 
-def evidence(df: DataFrame) -> Column:
+def evidence(df: DataFrame) -> str:
     """Every signal that fired, with its points and wording (needs `ml_contribution`)."""
 
-    def item(signal: str, points: Column, text: Column) -> Column:
-        return F.struct(signal_name(signal), points.alias("contribution"), text.alias("description"))
-
-    def signal_name(signal: str) -> Column:
-        return F.lit(signal).alias("signal")
+    def item(when: str, signal: str, points: str, text: str) -> str:
+        return (
+            f"IF({when}, struct('{signal}' AS signal, {points} AS contribution, "
+            f"{text} AS description), NULL)"
+        )
 
-    fired = [F.when(r.when, item(r.signal, F.lit(r.points), r.text)) for r in rules(df)]
-    forest = F.when(
-        F.col("ml_flagged"), item("ml_anomaly_score", F.col("ml_contribution"), F.lit(ML_REASON))
+    return present(
+        *[item(r.when, r.signal, f"{r.points}D", r.text) for r in rules(df)],
+        item("ml_flagged", "ml_anomaly_score", "ml_contribution", quote(ML_REASON)),
     )
-    return present(*fired, forest)
 
 
 def risk_scores(df: DataFrame) -> DataFrame:
     """Add contributions, `risk_score`, `severity`, `is_suspicious` and `reasons`.
 
-    Needs `ml_anomaly_score` and `ml_flagged`. All rules are column expressions of one row,
-    so the step fuses with whatever produced the features.
+    Needs `ml_anomaly_score` and `ml_flagged`. All rules are expressions over one row, so the
+    step fuses with whatever produced the features.
     """
     found = rules(df)
-    points = reduce(add, [F.when(r.when, F.lit(r.points)).otherwise(F.lit(0.0)) for r in found])
+    points = " + ".join(f"IF({r.when}, {r.points}D, 0D)" for r in found)
     said = present(
-        *[F.when(r.when, r.text) for r in found], F.when(F.col("ml_flagged"), F.lit(ML_REASON))
-    )
-    return (
-        df.withColumns(
-            {
-                "behavioral_contribution": F.least(points, F.lit(BEHAVIOURAL_CAP)),
-                "ml_contribution": ml_points(),
-                "reasons": said,
-            }
-        )
-        .withColumns(
-            {
-                "risk_score": F.least(
-                    F.col("behavioral_contribution") + F.col("ml_contribution"), F.lit(TOTAL_CAP)
-                ),
-                "reasons": F.when(F.size("reasons") == 0, F.array(F.lit(NO_REASON))).otherwise(
-                    F.col("reasons")
-                ),
-            }
-        )
-        .withColumns(
-            {
-                "severity": bucket(F.col("risk_score"), SCORE_SEVERITY),
-                "is_suspicious": F.col("risk_score") >= SUSPICIOUS_SCORE,
-            }
-        )
+        *[f"IF({r.when}, {r.text}, NULL)" for r in found], f"IF(ml_flagged, {quote(ML_REASON)}, NULL)"
     )
+    total = f"least(behavioral_contribution + ml_contribution, {TOTAL_CAP}D)"
+    return df.selectExpr(
+        "*",
+        f"least({points}, {BEHAVIOURAL_CAP}D) AS behavioral_contribution",
+        f"{_ML_POINTS} AS ml_contribution",
+        f"{said} AS said",
+        f"{total} AS risk_score",
+        f"{bucket('risk_score', SCORE_SEVERITY)} AS severity",
+        f"risk_score >= {SUSPICIOUS_SCORE}D AS is_suspicious",
+        f"IF(size(said) = 0, array({quote(NO_REASON)}), said) AS reasons",
+    ).drop("said")
