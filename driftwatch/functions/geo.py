@@ -10,13 +10,14 @@ EARTH_RADIUS_KM = 6371.0
 
 
 def haversine_km(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
-    # rounding may push the chord of antipodes a hair past 1, where asin is undefined
-    return (
-        f"{2 * EARTH_RADIUS_KM}D * asin(least(1D, sqrt("
-        f"pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
+    half_chord = (
+        f"sqrt(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + "
         f"cos(radians({lat1})) * cos(radians({lat2})) * "
-        f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))))"
+        f"pow(sin((radians({lon2}) - radians({lon1})) / 2), 2))"
     )
+    # rounding may push the half chord of antipodes a hair past 1, where asin is undefined;
+    # not `least`, which would turn an unknown place into an antipode
+    return f"{2 * EARTH_RADIUS_KM}D * asin(IF({half_chord} > 1D, 1D, {half_chord}))"
 
 
 def speed_kmh(distance_km: str, elapsed_us: str, *, strict: bool = False) -> str:

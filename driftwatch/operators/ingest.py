@@ -324,13 +324,14 @@ def ingest(raw: DataFrame, limits: IngestLimits | None = None, column: str = "ra
         f"IF(guard_problem IS NULL, {broken(_rules())}, {present('guard_problem')}) AS reasons",
         f"{_EVENT} AS candidate",
     )
-    return judged.selectExpr(
-        *raw.columns,
-        "CASE WHEN guard_problem IS NOT NULL THEN 'guard' WHEN size(reasons) > 0 THEN 'schema' END "
-        "AS reject_stage",
-        "reasons",
-        "IF(size(reasons) = 0, candidate, NULL) AS event",
+    stage = "CASE WHEN guard_problem IS NOT NULL THEN 'guard' WHEN size(reasons) > 0 THEN 'schema' END"
+    verdict = (
+        f"struct({stage} AS reject_stage, reasons AS reasons, "
+        "IF(size(reasons) = 0, candidate, NULL) AS event)"
     )
+    # A one-row generator: filters on the verdict stay above it. Pushed down as expressions
+    # they would repeat every rule, and the parsing under it, many times over.
+    return judged.selectExpr(*raw.columns, f"inline(array({verdict}))")
 
 
 def accepted(ingested: DataFrame, *keep: str) -> DataFrame:
