@@ -18,11 +18,14 @@ def present(*items: str) -> str:
     return f"array_compact(array({', '.join(items)}))"
 
 
-def strip(value: str) -> str:
-    """Remove leading and trailing whitespace of any kind (not only spaces)."""
-    return rf"regexp_replace({value}, r'(?U)^\s+|\s+$', '')"
+# Fixed value: the characters Unicode calls white space.
+WHITE_SPACE = (
+    "\\u0009\\u000a\\u000b\\u000c\\u000d\\u0020\\u0085\\u00a0\\u1680"
+    "\\u2000\\u2001\\u2002\\u2003\\u2004\\u2005\\u2006\\u2007\\u2008\\u2009\\u200a"
+    "\\u2028\\u2029\\u202f\\u205f\\u3000"
+)
 
 
-def drop_control(value: str) -> str:
-    """Remove control characters other than tab, line feed and carriage return."""
-    return rf"regexp_replace({value}, r'[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '')"
+def strip(value: str) -> str:
+    """Remove leading and trailing white space of any kind (not only spaces)."""
+    return f"trim(BOTH '{WHITE_SPACE}' FROM {value})"

@@ -2,13 +2,14 @@
 
 Every row keeps the list of rules it breaks instead of raising on the first. Ordinary rows
 are checked by built-in expressions alone; only rows that might break a structural limit,
-hold non-ASCII text or carry an IPv6 address are shown to Python, in Arrow batches.
+hold text to sanitise or carry an unusual address are shown to Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
 import ipaddress
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.functions.text import drop_control, present, quote, strip
+from driftwatch.functions.text import present, quote, strip
 from driftwatch.operators.records import broken, one_of
 from driftwatch.schema import AUTH_METHODS, ENTITY_TYPES, LABELS, OUTCOMES
 
@@ -59,9 +60,13 @@ _WIDENING = 6
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(\\.{_OCTET}){{3}}$"
 _ISO = (
-    r"^(\d{4}-\d{2}-\d{2})(?:[Tt _](\d{2}:\d{2})(:\d{2}(?:\.\d+)?)?"
-    r"\s?(Z|z|[+-]\d{2}:?\d{2})?)?$"
+    r"^\d{4}-\d{2}-\d{2}([Tt _]\d{2}:\d{2}(:\d{2}(\.\d+)?)?\s?([Zz]|[+-]\d{2}:?\d{2})?)?$"
 )
+# Fixed value: characters removed from every text; tab, line feed and return stay.
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
+# In JSON those characters, and all that normalisation can change, show up as one of these.
+_TO_SANITISE = r"[^\x00-\x7E]|\\[ubf]"
+_UNUSUAL_ADDRESS = r"\"source_ip\"\s*:\s*(\"[^\"]*:|[^\"\s])"
 
 
 def _structure_problem(value: Any, limits: IngestLimits) -> str | None:
@@ -82,86 +87,97 @@ def _structure_problem(value: Any, limits: IngestLimits) -> str | None:
     return None
 
 
-def _normalised(value: Any) -> Any:
-    """String values in NFKC form; keys stay as they are."""
+def _sanitised(value: Any) -> Any:
+    """String values in NFKC form without control characters; keys stay as they are."""
     if isinstance(value, str):
-        return unicodedata.normalize("NFKC", value)
+        return _CONTROL.sub("", unicodedata.normalize("NFKC", value))
     if isinstance(value, dict):
-        return {k: _normalised(v) for k, v in value.items()}
+        return {k: _sanitised(v) for k, v in value.items()}
     if isinstance(value, list):
-        return [_normalised(v) for v in value]
+        return [_sanitised(v) for v in value]
     return value
 
 
-def inspect_payload(raw: str, limits: IngestLimits) -> tuple[str | None, str | None]:
-    """(broken limit, normalised JSON) of one payload text."""
+def _canonical_ip(value: Any) -> str | None:
+    """Canonical text of an address given as text or number, else null."""
+    try:
+        return str(ipaddress.ip_address(value))
+    except ValueError:
+        return None
+
+
+def inspect_payload(raw: str, limits: IngestLimits) -> tuple[str | None, str | None, str | None]:
+    """(broken limit, sanitised JSON, canonical address) of one payload text."""
     try:
         parsed = json.loads(raw)
         size = len(json.dumps(parsed, ensure_ascii=False).encode("utf-8"))
         if size > limits.max_payload_bytes:
-            return "payload_bytes", None
+            return "payload_bytes", None, None
         problem = _structure_problem(parsed, limits)
-        return (problem, None) if problem else (None, json.dumps(_normalised(parsed), ensure_ascii=False))
+        if problem:
+            return problem, None, None
+        clean = _sanitised(parsed)
+        address = clean.get("source_ip") if isinstance(clean, dict) else None
+        return None, json.dumps(clean, ensure_ascii=False), _canonical_ip(address)
     except (ValueError, RecursionError):
-        return "not_serializable", None
+        return "not_serializable", None, None
 
 
 def _inspector(limits: IngestLimits):
-    @F.pandas_udf("problem string, body string")
+    columns = ["problem", "body", "address"]
+
+    @F.pandas_udf("problem string, body string, address string")
     def inspect(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        unseen = (None, None, None)
         for batch in batches:
-            found = [(None, None) if raw is None else inspect_payload(raw, limits) for raw in batch]
-            yield pd.DataFrame(found, columns=["problem", "body"], dtype=object)
+            found = [unseen if raw is None else inspect_payload(raw, limits) for raw in batch]
+            yield pd.DataFrame(found, columns=columns, dtype=object)
 
     return inspect
 
 
-def _canonical_ip(text: str | None) -> str | None:
-    """Canonical address text, or null where the text is no address."""
-    if text is None:
-        return None
-    try:
-        return str(ipaddress.ip_address(int(text) if text.isdecimal() else text))
-    except ValueError:
-        return None
-
-
-def _addresses():
-    @F.pandas_udf("string")
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([_canonical_ip(text) for text in batch], dtype=object)
-
-    return parse
-
-
 def guard(raw: DataFrame, limits: IngestLimits | None = None, column: str = "raw") -> DataFrame:
-    """Add `guard_problem` (null when within limits) and `body`, the normalised JSON text."""
+    """Add `guard_problem` (null when within limits), `body`, the sanitised JSON text, and
+    `address`, the canonical form of an unusual source address."""
     limits = limits or IngestLimits()
 
-    def occurrences(characters: str) -> str:
-        return f"(length({column}) - length(translate({column}, '{characters}', '')))"
+    def without(characters: str) -> str:
+        text = column
+        for character in characters:
+            text = f"replace({text}, '{character}', '')"
+        return f"(length({column}) - length({text}))"
 
     # sufficient conditions, cheap to test, for the payload to be within every limit
     plain = (
         f"octet_length({column}) * {_WIDENING} <= {limits.max_payload_bytes} "
         f"AND length({column}) <= {limits.max_string_length} "
-        f"AND {occurrences('{[')} <= {limits.max_nesting_depth} "
-        f"AND {occurrences(',')} < {limits.max_collection_items}"
+        f"AND {without('{[')} <= {limits.max_nesting_depth} "
+        f"AND {without(',')} < {limits.max_collection_items}"
+    )
+    routed = raw.selectExpr(
+        "*",
+        f"IF(({plain}) AND NOT {column} RLIKE r'{_TO_SANITISE}|{_UNUSUAL_ADDRESS}', NULL, {column}) AS shown",
     )
-    ascii_only = rf"NOT {column} RLIKE r'[^\x00-\x7F]' AND instr({column}, '\\u') = 0"
-    routed = raw.selectExpr("*", f"IF(({plain}) AND {ascii_only}, NULL, {column}) AS shown")
     seen = routed.select("*", _inspector(limits)("shown").alias("seen"))
     return seen.selectExpr(
         *raw.columns,
         f"CASE WHEN seen.problem IS NOT NULL THEN seen.problem WHEN try_parse_json({column}) IS NULL "
         "THEN 'not_serializable' END AS guard_problem",
         f"coalesce(seen.body, {column}) AS body",
+        "seen.address AS address",
     )
 
 
-def _text(path: str) -> str:
-    return f"try_variant_get(v, '$.{path}', 'string')"
+# every field as text, whatever its JSON type
+_TEXT_SCHEMA = (
+    ", ".join(f"{f} string" for f in EVENT_FIELDS)
+    .replace("geo_location string", f"geo_location struct<{','.join(f'{f}:string' for f in GEO_FIELDS)}>")
+    .replace(
+        "device_fingerprint string",
+        f"device_fingerprint struct<{','.join(f'{f}:string' for f in DEVICE_FIELDS)}>",
+    )
+    .replace("command_sequence string", "command_sequence array<string>")
+)
 
 
 def _kind(path: str) -> str:
@@ -191,9 +207,9 @@ def _numeric(path: str) -> str:
 
 
 def _clean(path: str) -> str:
-    """Sanitised text of a string field; null for any other type."""
+    """Text of a string field; null for any other type."""
     a = _alias(path)
-    return f"IF(k_{a} = 'STRING', {drop_control(f't_{a}')}, NULL)"
+    return f"IF(k_{a} = 'STRING', t_{a}, NULL)"
 
 
 def _fields_known(column: str, allowed: tuple[str, ...]) -> str:
@@ -204,51 +220,64 @@ def _fields_known(column: str, allowed: tuple[str, ...]) -> str:
 def _parsed(guarded: DataFrame, keep: list[str]) -> DataFrame:
     """Typed and cleaned fields of every body within limits."""
     typed = guarded.selectExpr(
-        "*", "IF(guard_problem IS NULL, try_parse_json(body), NULL) AS v"
+        "*",
+        "IF(guard_problem IS NULL, try_parse_json(body), NULL) AS v",
+        f"IF(guard_problem IS NULL, from_json(body, '{_TEXT_SCHEMA}'), NULL) AS t",
     ).selectExpr(
         *keep,
         "guard_problem",
         "body",
-        "schema_of_variant(v) LIKE 'OBJECT%' AS is_object",
-        *[f"{_text(p)} AS t_{_alias(p)}" for p in _PATHS],
+        "address",
+        "ltrim(body) LIKE '{%' AS is_object",
+        *[f"t.{p} AS t_{_alias(p)}" for p in _PATHS],
         *[f"{_kind(p)} AS k_{_alias(p)}" for p in _PATHS],
         f"{_kind('geo_location')} AS k_geo_location",
         f"{_kind('device_fingerprint')} AS k_device_fingerprint",
         f"{_kind('command_sequence')} AS k_command_sequence",
         "get_json_object(body, '$.geo_location') AS geo_body",
         "get_json_object(body, '$.device_fingerprint') AS device_body",
-        "try_variant_get(v, '$.command_sequence', 'array<string>') AS t_commands",
+        "t.command_sequence AS t_commands",
     )
     stripped = ("event_id", "entity_id", "resource_accessed", *_PATHS[-8:-6], *_PATHS[-4:])
     exact = ("entity_type", "auth_method", "outcome", "label", "source_ip", "timestamp")
-    iso = drop_control("t_timestamp")
-    offset = f"regexp_extract({iso}, r'{_ISO}', 4)"
-    zone = f"IF({offset} IN ('', 'Z', 'z'), '+00:00', regexp_replace({offset}, r'^(...):?(..)$', '$1:$2'))"
-    clock = f"regexp_extract({iso}, r'{_ISO}', 2)"
-    seconds = f"regexp_extract({iso}, r'{_ISO}', 3)"
-    moment = (
-        f"try_cast(concat(regexp_extract({iso}, r'{_ISO}', 1), 'T', IF({clock} = '', '00:00', {clock}), "
-        f"IF({seconds} = '', ':00', {seconds}), {zone}) AS timestamp)"
-    )
-    number = _numeric("timestamp")
-    epoch = f"timestamp_micros(cast(({number}) * IF(abs({number}) > 2e10D, 1000D, 1000000D) AS bigint))"
-    ip, kind_ip = drop_control("t_source_ip"), "k_source_ip"
-    return typed.selectExpr(
-        "*",
+    numeric = ("session_duration_seconds", "geo_location.latitude", "geo_location.longitude", "timestamp")
+    cleaned = typed.selectExpr(
+        *keep,
+        "guard_problem",
+        "body",
+        "address",
+        "is_object",
+        "geo_body",
+        "device_body",
+        "k_command_sequence",
+        "k_geo_location",
+        "k_device_fingerprint",
+        *[f"k_{_alias(p)}" for p in _PATHS],
         *[f"{strip(_clean(p))} AS c_{_alias(p)}" for p in stripped],
         *[f"{_clean(p)} AS c_{_alias(p)}" for p in exact],
-        *[f"{_numeric(p)} AS n_{_alias(p)}" for p in
-          ("session_duration_seconds", "geo_location.latitude", "geo_location.longitude")],
-        f"CASE WHEN k_timestamp = 'STRING' AND {iso} RLIKE r'{_ISO}' THEN {moment} "
-        f"WHEN abs({number}) < 2.5e11D THEN {epoch} END AS c_moment",
-        f"IF(k_timestamp = 'STRING' AND {offset} RLIKE '^[+-]', "
-        f"cast(concat(substr({offset}, 1, 1), '1') AS int) * (cast(substr({offset}, 2, 2) AS int) * 60 "
-        f"+ cast(right({offset}, 2) AS int)), 0) AS tz_offset_minutes",
-        f"CASE WHEN {kind_ip} = 'STRING' AND {ip} RLIKE '{_IPV4}' THEN {ip} END AS plain_ip",
-        f"CASE WHEN {kind_ip} = 'BIGINT' THEN t_source_ip "
-        f"WHEN {kind_ip} = 'STRING' AND instr({ip}, ':') > 0 THEN {ip} END AS other_ip",
-        f"transform(t_commands, c -> {strip(drop_control('c'))}) AS c_commands",
-    ).select("*", _addresses()("other_ip").alias("parsed_ip"))
+        *[f"{_numeric(p)} AS n_{_alias(p)}" for p in numeric],
+        f"transform(t_commands, c -> {strip('c')}) AS c_commands",
+        r"regexp_extract(c_timestamp, r'([Zz]|[+-]\d{2}:?\d{2})$', 1) AS zone",
+    )
+    # a zone-free time is UTC; a bare date is its midnight
+    complete = (
+        "CASE WHEN length(c_timestamp) = 10 THEN concat(c_timestamp, 'T00:00:00Z') "
+        "WHEN zone = '' THEN concat(c_timestamp, 'Z') "
+        "WHEN length(zone) = 5 THEN concat(left(c_timestamp, length(c_timestamp) - 2), ':', right(zone, 2)) "
+        "ELSE c_timestamp END"
+    )
+    # a time without seconds is the start of its minute
+    whole = "IF(substr(complete, 17, 1) = ':', complete, overlay(complete PLACING ':00' FROM 17 FOR 0))"
+    # numbers are seconds, or milliseconds beyond the year 2603
+    epoch = "timestamp_micros(cast(n_timestamp * IF(abs(n_timestamp) > 2e10D, 1000D, 1000000D) AS bigint))"
+    return cleaned.selectExpr("*", f"upper({complete}) AS complete").selectExpr(
+        "*",
+        f"CASE WHEN c_timestamp RLIKE r'{_ISO}' THEN try_cast(replace({whole}, '_', 'T') AS timestamp) "
+        f"WHEN abs(n_timestamp) < 2.5e11D THEN {epoch} END AS c_moment",
+        "IF(zone RLIKE '^[+-]', cast(concat(left(zone, 1), '1') AS int) * "
+        "(cast(substr(zone, 2, 2) AS int) * 60 + cast(right(zone, 2) AS int)), 0) AS tz_offset_minutes",
+        f"IF(c_source_ip RLIKE '{_IPV4}', c_source_ip, address) AS c_address",
+    )
 
 
 def _optional(path: str, ok: str) -> str:
@@ -272,7 +301,7 @@ def _rules() -> dict[str, str]:
         "entity_id": "length(c_entity_id) BETWEEN 3 AND 64",
         "entity_type": one_of("c_entity_type", ENTITY_TYPES),
         "timestamp": "c_moment IS NOT NULL",
-        "source_ip": "coalesce(plain_ip, parsed_ip) IS NOT NULL",
+        "source_ip": "c_address IS NOT NULL",
         "geo_location": "k_geo_location LIKE 'OBJECT%'",
         "country_code": "c_geo_location_country_code RLIKE '^[A-Z]{2}$'",
         "city": _optional("geo_location.city", "length(c_geo_location_city) BETWEEN 1 AND 100"),
@@ -298,7 +327,7 @@ def _rules() -> dict[str, str]:
 
 _EVENT = (
     "struct(c_event_id AS event_id, c_entity_id AS entity_id, c_entity_type AS entity_type, "
-    "c_moment AS timestamp, coalesce(plain_ip, parsed_ip) AS source_ip, "
+    "c_moment AS timestamp, c_address AS source_ip, "
     "struct(c_geo_location_country_code AS country_code, c_geo_location_city AS city, "
     "n_geo_location_latitude AS latitude, n_geo_location_longitude AS longitude) AS geo_location, "
     "c_resource_accessed AS resource_accessed, c_auth_method AS auth_method, c_outcome AS outcome, "
