@@ -19,10 +19,10 @@ from driftwatch.operators.skew import HotKey
 
 @dataclass(frozen=True)
 class Model:
-    """What scoring needs: the baseline tables and the fitted forest."""
+    """What scoring needs: the baseline tables and the fitted forest (or rules alone)."""
 
     baseline: Baseline
-    forest: Forest
+    forest: Forest | None = None
 
 
 def learn(profile_events: DataFrame, training_events: DataFrame, **forest_options) -> Model:
@@ -61,6 +61,8 @@ def score_events(
 ) -> DataFrame:
     """Features, forest score, risk and attack type of every event of a known entity."""
     matrix = feature_matrix(events, model.baseline, history=history, mode=mode, hot=hot)
+    if model.forest is None:
+        return judge(without_forest(matrix))
     return judge(score_forest(matrix, model.forest))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +28,18 @@ from driftwatch.operators.profiles import learn_baseline, profile_sets, profile_
 from driftwatch.operators.records import alert_violations, entity_violations, risk_violations
 from driftwatch.operators.risk import risk_scores
 from driftwatch.operators.sequence import window_features
-from driftwatch.plans.assess import assess, judge, learn, score_events, split_collisions, without_forest
+from driftwatch.plans.assess import Model, assess, learn, score_events, split_collisions, without_forest
 from driftwatch.schema import MODEL_FEATURES
 from driftwatch.sources.payloads import raw_payloads
-from driftwatch.sources.telemetry import profile_events, scoring_events, telemetry, training_events
+from driftwatch.sources.telemetry import (
+    SCORE_DAYS,
+    profile_events,
+    scoring_events,
+    split,
+    telemetry,
+    training_events,
+)
+from driftwatch.streaming.scoring import flush, results, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -243,8 +253,8 @@ def q_explanations(spark, d):
     return explain(_rule_scores(spark, d)).select("event_id", "entity_id", "risk_score", "severity", "summary")
 
 
-def q_rule_assessments(spark, d):
-    return assessments(_judged(spark, d)).selectExpr(
+def _assessment_out(rows: DataFrame) -> DataFrame:
+    return rows.selectExpr(
         "event_id",
         "entity_id",
         "risk_score",
@@ -262,6 +272,10 @@ def q_rule_assessments(spark, d):
     )
 
 
+def q_rule_assessments(spark, d):
+    return _assessment_out(assessments(_judged(spark, d)))
+
+
 def q_alerts(spark, d):
     return alerts(_judged(spark, d)).selectExpr(
         "alert_id",
@@ -423,6 +437,23 @@ def q_assess_full(spark, d):
     return assess(scoring_events(spark, d), _learned(spark, d))
 
 
+# --- streaming --------------------------------------------------------------------------
+
+
+def q_stream_assessments(spark, d):
+    """The rule assessment of the scoring days, computed from a stream of the event table."""
+    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="driftwatch-")
+    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    source = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    events = split(telemetry(spark, d, source), SCORE_DAYS)
+    model = Model(_baseline(spark, d))
+    query = score_stream(events, model, folder, f"{folder}/checkpoint")
+    query.trigger(availableNow=True).start().awaitTermination()
+    flush(spark, model, folder)
+    return _assessment_out(results(spark, folder))
+
+
 QUERIES: dict[str, Query] = {
     name.removeprefix("q_"): query for name, query in list(globals().items()) if name.startswith("q_")
 }

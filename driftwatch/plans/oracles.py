@@ -503,3 +503,5 @@ FROM v WHERE guard IS NOT NULL OR schema_reasons <> ''
 """,
     "deduplicate": T + "SELECT event_id, outcome, seq AS ingest_seq FROM t",
 }
+
+ORACLES["stream_assessments"] = ORACLES["rule_assessments"]

@@ -20,12 +20,17 @@ TRAIN_DAYS = (4, 6)
 SCORE_DAYS = (7, 9)
 
 
-def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nested `security_events` plus `day`, `ingest_seq` and the source `user_id`."""
+def telemetry(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """Nested `security_events` plus `day`, `ingest_seq` and the source `user_id`.
+
+    `source` replaces the event table, for example by a stream of it.
+    """
     nation = spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr(
         "cast(n_nationkey AS bigint) AS nk", "n_name"
     )
-    source = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+    if source is None:
+        source = spark.read.parquet(f"{sf_dir}/events.parquet")
+    source = source.selectExpr(
         "event_id AS n",
         "user_id",
         "event_type",
