@@ -40,25 +40,24 @@ def value_at(
         order = F.xxhash64("key", F.lit(inside))
         picked = left.orderBy(order).limit(pivots).distinct().orderBy("key").collect()
         cuts = [_literal(r["key"], left) for r in picked]
-        place = F.size(F.filter(F.array(*cuts), lambda cut: cut < F.col("key")))
-        groups = (
-            left.groupBy(place.alias("place"))
-            .agg(F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
-            .orderBy("place")
-            .collect()
-        )
+        # even places are the open intervals between pivots, odd ones the ties of a pivot: no
+        # interval keeps a pivot, so each round shrinks the input however heavy the ties are
+        known = F.array(*cuts)
+        lower = F.size(F.filter(known, lambda cut: cut < F.col("key")))
+        place = lower * 2 + F.array_contains(known, F.col("key")).cast("int")
+        groups = left.groupBy(place.alias("place")).count().orderBy("place").collect()
         for group in groups:
-            if rank <= group["n"]:
+            if rank <= group["count"]:
                 break
-            rank -= group["n"]
-        if group["low"] == group["high"]:
-            return group["high"]
-        at = group["place"]
+            rank -= group["count"]
+        at, tied = divmod(group["place"], 2)
+        if tied:
+            return picked[at]["key"]
         if at > 0:
             left = left.filter(F.col("key") > cuts[at - 1])
         if at < len(cuts):
-            left = left.filter(F.col("key") <= cuts[at])
-        inside = group["n"]
+            left = left.filter(F.col("key") < cuts[at])
+        inside = group["count"]
     return left.orderBy("key").limit(rank).agg(F.max("key").alias("key")).first()["key"]
 
 
