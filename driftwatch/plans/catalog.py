@@ -445,7 +445,8 @@ def q_stream_assessments(spark, d):
     base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="driftwatch-")
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
-    source = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    # a glob, since a streaming source takes a plain path for a folder; the table may be a file
+    source = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
     events = split(telemetry(spark, d, source), SCORE_DAYS)
     model = Model(_baseline(spark, d))
     query = score_stream(events, model, folder, f"{folder}/checkpoint")
