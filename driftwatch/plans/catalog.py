@@ -80,7 +80,7 @@ def q_event_features(spark, d):
 
 
 def q_event_export(spark, d):
-    return export_events(telemetry(spark, d)).drop("geo_location", "device_fingerprint").selectExpr("*")
+    return export_events(telemetry(spark, d)).drop("geo_location", "device_fingerprint")
 
 
 def q_profile_stats(spark, d):
