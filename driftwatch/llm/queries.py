@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import mixing, quality, rules, topk, urls, warc
+from driftwatch.llm import jaccard, mixing, quality, rules, topk, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "score", "predicted")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=90)
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_counts(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -53,6 +58,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
+    "op3_jaccard": op3_jaccard,
     "op6_mixing": op6_mixing,
     "op7_urls": op7_urls,
     "op8_rules": op8_rules,
