@@ -1,13 +1,14 @@
 """N-gram Jaccard self-join with a token-group matrix.
 
 1. Texts become sets of word shingles; texts with equal sets are one class, represented by its least id.
-2. By a common order of tokens, rare ones first, two sets at or above the threshold share a token among
-   the first few of each (their prefixes). Only tokens in several prefixes go on.
+2. By a common order of tokens, rare ones first, two sets at or above the threshold share at least
+   ``margin`` tokens among the first n - needed + margin of each (their prefixes). Only tokens in
+   several prefixes go on.
 3. Representatives are partitioned into groups of at most about 64 by the prefix token they share with
    most others and by size. The matrix lists, by token, the groups whose prefixes hold it.
-4. A representative looks up its prefix tokens and gets the groups that may hold a partner. Each group's
-   token union bounds the overlap with any member; only groups whose bound suffices are opened, and
-   their members compared exactly.
+4. A representative looks up its prefix tokens and gets the groups that share enough of them to hold a
+   partner. In these, the union of the members' whole sets bounds the overlap with any member; only
+   groups whose bound suffices are opened, and their members compared exactly.
 5. Links between representatives become components.
 """
 
@@ -79,6 +80,11 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def margin(n):
+    """Tokens that prefixes share at least: a twentieth of the set, which rules out chance and passages."""
+    return n // 20 + 1
+
+
 def representative_sets(texts: DataFrame, size: int, ranks, percent: int | None = None) -> DataFrame:
     """(id, n, tokens) of every row: its renamed tokens in order, packed; with ``percent`` its prefix only."""
 
@@ -90,7 +96,7 @@ def representative_sets(texts: DataFrame, size: int, ranks, percent: int | None
                 rows = []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     own = np.sort(found[a:b])
-                    rows.append((own if percent is None else own[: b - a - needed(b - a, percent) + 1]).view(np.int64))
+                    rows.append((own if percent is None else own[: b - a - needed(b - a, percent) + margin(b - a)]).view(np.int64))
                 sizes = np.diff(bounds)
                 ids = batch.column(0).slice(chunk.first, len(chunk))
                 if percent is None:
@@ -122,9 +128,12 @@ def candidates(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     matrix = placed.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     sizes_fit = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
     asks = placed.withColumnRenamed("gid", "own").join(matrix, "token").where((F.col("gid") >= F.col("own")) & sizes_fit)
-    crowded = members.groupBy("gid").agg(F.count(F.lit(1)).alias("rows"))
-    queries = asks.select("id", "gid", (F.col("own") == F.col("gid")).alias("inside")).distinct()
-    queries = queries.join(crowded, "gid").where(~F.col("inside") | (F.col("rows") > 1)).select("id", "gid")
+    crowded = members.groupBy("gid").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
+    shares = asks.groupBy("id", "gid", "n", (F.col("own") == F.col("gid")).alias("inside")).agg(F.count(F.lit(1)).alias("common"))
+    # at least the smaller margin in common, or the whole overlap needed where a set is smaller than that
+    smaller = F.least(F.col("n"), F.col("least"))
+    least = F.least(F.expr("n div 20 + 1"), F.expr("least div 20 + 1"), F.ceil(smaller * percent / 100))
+    queries = shares.join(crowded, "gid").where((~F.col("inside") | (F.col("rows") > 1)) & (F.col("common") >= least)).select("id", "gid")
     return members.select("id", "gid"), queries
 
 
@@ -218,9 +227,9 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, k
     ranks = spark.sparkContext.broadcast(_bucket_ranks(signed))
     classes = kept(rows.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    texts = named.join(classes.where("rep is not null").select(F.col("rep").alias("id")).distinct(), "id")
-    prefixes = kept(representative_sets(texts.select("id", "text"), size, ranks, percent), "prefixes")
-    members, queries = candidates(prefixes, percent)
+    prefixes = kept(representative_sets(named, size, ranks, percent), "prefixes")  # small, so joined instead of the texts
+    reps = classes.where("rep is not null").select(F.col("rep").alias("id")).distinct()
+    members, queries = candidates(prefixes.where("n > 0").join(reps, "id"), percent)
     found = kept(links(named, members, queries, size, ranks, percent), "links")
     joined = components(found)
     labels = classes.join(joined, classes["rep"] == joined["node"], "left").select(
