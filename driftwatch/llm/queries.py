@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import jaccard, mixing, quality, rules, topk, urls, warc
+from driftwatch.llm import jaccard, mixing, quality, repeats, rules, topk, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_counts(table(spark, sf_dir, "documents"))
     taken = (F.col("size") * F.col("copies")).alias("taken")
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
     "op3_jaccard": op3_jaccard,
+    "op5_repeats": op5_repeats,
     "op6_mixing": op6_mixing,
     "op7_urls": op7_urls,
     "op8_rules": op8_rules,
