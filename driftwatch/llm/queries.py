@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import jaccard, mixing, quality, repeats, rules, topk, urls, warc
+from driftwatch.llm import jaccard, mixing, pieces, quality, repeats, rules, secrets, topk, urls, warc
+
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +36,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trips(table(spark, sf_dir, "documents"), pieces.read_model(PIECE_MODEL))
+
+
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.without_repeats(table(spark, sf_dir, "documents"), texts=False)
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -55,6 +62,17 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *rules.BASE_COLUMNS, "base_failed", "kept")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = secrets.redacted(F.coalesce("text", F.lit("")), F.col("findings"))
+    return found.select(
+        "doc_id",
+        F.size("findings").cast("long").alias("n_candidates"),
+        F.size(F.filter("findings", lambda c: c["secret"])).cast("long").alias("n_secrets"),
+        F.sha2(cut, 256).alias("redacted_sha256"),
+    )
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(rows, rows.where(F.col("vec_id") % topk.QUERY_EVERY == 0))
@@ -64,9 +82,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
     "op3_jaccard": op3_jaccard,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_repeats": op5_repeats,
     "op6_mixing": op6_mixing,
     "op7_urls": op7_urls,
     "op8_rules": op8_rules,
+    "op9_secrets": op9_secrets,
     "op10_topk": op10_topk,
 }
