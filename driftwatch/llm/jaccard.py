@@ -193,9 +193,10 @@ def links(texts: DataFrame, members: DataFrame, queries: DataFrame, size: int, r
     opened = members.join(asked, "gid").select("id", "gid", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("member"))
     asking = queries.join(asked, "gid").select("id", "gid", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.lit(False).alias("member"))
     roles = kept(opened.unionByName(asking), "group-roles")
-    wanted = texts.join(roles.select("id").distinct(), "id")
+    # joined by sorting at every size: the ids of documents with candidates grow with the input
+    wanted = texts.join(roles.select("id").distinct().hint("merge"), "id")
     sets = representative_sets(wanted.select("id", "text"), size, ranks)
-    tasks = roles.join(sets, "id").select("gid", "part", "member", "id", "tokens")
+    tasks = sets.join(roles.hint("merge"), "id").select("gid", "part", "member", "id", "tokens")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [np.frombuffer(t, np.uint64) for t in frame["tokens"]]
