@@ -16,6 +16,7 @@ bucket (step 3), however many documents hold it.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,8 @@ GRAM = 24
 SPAN = WINDOW - GRAM + 1  # grams in a window
 PIECE = 1 << 23  # window starts that are handled at once
 LOW = np.uint64((1 << 24) - 1)
-FLUSH = 4_000_000  # anchors that a task holds before it passes them on
+BUCKET_BYTES = 2 << 20  # a task handles its buckets of texts one by one
+FLUSH = 1_000_000  # anchors that a task holds before it passes them on
 MANY = 0xFFFFFFFF  # instead of a bucket: the task has seen the anchor in several documents
 FIRST_GRAM = 8
 DEPTHS = ((8, 16), (16, 32), (18, 50))  # offset of the pointers used, depth reached
@@ -93,8 +95,11 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
-def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, hashes): the anchors of each bucket's documents that occur in two documents or more."""
+def shared_anchors(docs: DataFrame, parts: int, each: int) -> DataFrame:
+    """(bucket, hashes): the anchors of each bucket's documents that occur in two documents or more.
+
+    Anchors travel by ``parts`` shards, and back by as many groups of ``each`` buckets.
+    """
 
     def emit(hashes: list, owners: list, of: list):
         h, doc, bucket = np.concatenate(hashes), np.concatenate(owners), np.concatenate(of)
@@ -108,10 +113,11 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         rows = []
         # what this task knows to be shared goes straight to its buckets
         direct = np.repeat(many, np.diff(np.append(first, len(h))))
-        for bucket_id, own in split(bucket[direct], h[direct]):
-            rows.append((1, bucket_id, packed(np.unique(own)), b""))
+        own_h, own_b = h[direct], bucket[direct].astype(np.uint32)
+        for group, own in split(bucket[direct] // each, np.arange(len(own_h))):
+            rows.append((1, group, packed(own_h[own]), packed(own_b[own])))
         single = np.where(many, MANY, bucket[first]).astype(np.uint32)
-        shard = (h[first] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        shard = (h[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
         for shard_id, own in split(shard, np.arange(len(first))):
             rows.append((0, shard_id, packed(h[first][own]), packed(single[own])))
         return table(rows)
@@ -143,27 +149,40 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield emit(hashes, owners, of)
 
+    def read(frame: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        columns = ((c, k) for c, k in (("hashes", np.uint64), ("of", np.uint32)))
+        h, of = (np.concatenate([unpacked(x, k) for x in frame.column(c).to_pylist()]) for c, k in columns)
+        order = np.argsort(h, kind="stable")
+        return h[order], of[order]
+
     def meet(frame: pa.Table) -> pa.Table:
         rows = []
         if frame.num_rows:
             kind, own = frame.column("kind")[0].as_py(), frame.column("id")[0].as_py()
-            h = np.concatenate([unpacked(x, np.uint64) for x in frame.column("hashes").to_pylist()])
+            h, of = read(frame)
             if kind:
-                rows.append((own, packed(np.unique(h))))
+                rows.append((own, packed(h), packed(of)))
             else:
-                of = np.concatenate([unpacked(x, np.uint32) for x in frame.column("of").to_pylist()])
-                order = np.argsort(h, kind="stable")
-                h, of = h[order], of[order]
                 first = runs(h)
                 size = np.diff(np.append(first, len(h)))
                 shared = (size > 1) | (of[first] == MANY)
-                back = np.repeat(shared, size) & (of != MANY)
-                rows = [(b, packed(np.unique(x))) for b, x in split(of[back].astype(np.int64), h[back])]
+                back = np.flatnonzero(np.repeat(shared, size) & (of != MANY))
+                rows = [(g, packed(h[x]), packed(of[x])) for g, x in split(of[back] // np.uint32(each), back)]
+        columns = zip(*rows, strict=True) if rows else ([], [], [])
+        kinds = (pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["part", "hashes", "of"])
+
+    def spread(frame: pa.Table) -> pa.Table:
+        rows = []
+        if frame.num_rows:
+            h, of = read(frame)
+            rows = [(b, packed(np.unique(x))) for b, x in split(of, h)]
         columns = zip(*rows, strict=True) if rows else ([], [])
         return pa.table([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.binary()), strict=True)], ["bucket", "hashes"])
 
     entries = docs.select("id", "text", "bucket").mapInArrow(collect, "kind int, id long, hashes binary, of binary")
-    return entries.groupBy("kind", "id").applyInArrow(meet, "bucket long, hashes binary")
+    met = entries.groupBy("kind", "id").applyInArrow(meet, "part long, hashes binary, of binary")
+    return met.groupBy("part").applyInArrow(spread, "bucket long, hashes binary")
 
 
 class Contexts:
@@ -184,7 +203,7 @@ class Contexts:
 
 
 def contexts(texts: pa.Table, hashes: np.ndarray, shards: int) -> list[tuple]:
-    """(shard, keys, anchors, least ids, lengths, bytes) of the bucket's distinct contexts of shared anchors."""
+    """(shard, anchors, least ids, lengths, compressed bytes) of the bucket's distinct contexts of shared anchors."""
     found = []
     for chunk, h, first, last, key, doc in Contexts(texts).chunks:
         shared = np.flatnonzero(np.isin(h, hashes, kind="sort"))
@@ -202,13 +221,14 @@ def contexts(texts: pa.Table, hashes: np.ndarray, shards: int) -> list[tuple]:
     fresh[1:] = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])
     order = order[fresh]
     shard = ((h[order] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
-    order, shard = order[np.argsort(shard, kind="stable")], np.sort(shard)
+    by = np.lexsort((h[order], shard))  # sorted anchors pack well
+    order, shard = order[by], shard[by]
     at = runs(shard)
     out = []
     for own, s in zip(np.split(order, at[1:]) if len(at) else [], shard[at].tolist(), strict=True):
         total = np.cumsum(sizes[own])
         flat = np.repeat(starts[own] - total + sizes[own], sizes[own]) + np.arange(total[-1])
-        out.append((s, packed(key[own]), packed(h[own]), packed(doc[own]), packed(sizes[own].astype(np.uint8)), data[flat].tobytes()))
+        out.append((s, packed(h[own]), packed(doc[own]), packed(sizes[own].astype(np.uint8)), zlib.compress(data[flat], 1)))
     return out
 
 
@@ -220,13 +240,13 @@ def refined_buckets(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     pointers at a later offset, and the pointers it sets serve the next round.
     """
     n = len(data)
-    pointer = np.full(n, -1, np.int64)
+    pointer = np.full(n, -1, np.int32)
 
     def deal(positions: np.ndarray, keys: np.ndarray, base: np.ndarray | None) -> np.ndarray:
         """Set pointers to where each new bucket begins; returns positions that are not alone."""
         order = np.argsort(keys, kind="stable")
         positions, keys = positions[order], keys[order]
-        first = runs(keys)
+        first = runs(keys).astype(np.int32)
         size = np.diff(np.append(first, len(keys)))
         begin = np.repeat(first, size)
         if base is not None:
@@ -239,14 +259,15 @@ def refined_buckets(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     grams = np.zeros(n, np.uint64)
     for j in range(FIRST_GRAM):
         grams[: n - j] |= data[j:].astype(np.uint64) << np.uint64(8 * (FIRST_GRAM - 1 - j))
-    some = np.flatnonzero(left >= FIRST_GRAM)
+    some = np.flatnonzero(left >= FIRST_GRAM).astype(np.int32)
     many = deal(some, grams[some], None)
+    del grams, some
     for offset, depth in DEPTHS:
         deeper = many[left[many] >= depth]
         if not len(deeper):
             break
         own = pointer[deeper].copy()
-        many = deal(deeper, own * np.int64(n + 1) + pointer[deeper + offset], own)
+        many = deal(deeper, own.astype(np.int64) * (n + 1) + pointer[deeper + offset], own)
     return pointer
 
 
@@ -259,12 +280,13 @@ def verdicts(frame: pa.Table) -> pa.Table:
     if not frame.num_rows:
         return schema.empty_table()
     read = lambda name, kind: [unpacked(x, kind) for x in frame.column(name).to_pylist()]
-    parts = read("keys", np.uint64)
+    parts = read("anchors", np.uint64)
     bucket = np.repeat(frame.column("bucket").to_numpy(), [len(p) for p in parts])
-    key, h, doc = np.concatenate(parts), np.concatenate(read("anchors", np.uint64)), np.concatenate(read("ids", np.int64))
+    h, doc = np.concatenate(parts), np.concatenate(read("ids", np.int64))
     sizes = np.concatenate(read("sizes", np.uint8)).astype(np.int64)
-    data = np.concatenate([np.frombuffer(x, np.uint8) for x in frame.column("bytes").to_pylist()])
+    data = np.concatenate([np.frombuffer(zlib.decompress(x), np.uint8) for x in frame.column("bytes").to_pylist()])
     starts = np.cumsum(sizes) - sizes
+    key = span_hashes(prefix_sums(data), starts, starts + sizes)
     order = np.lexsort((key, h))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])
@@ -283,8 +305,8 @@ def verdicts(frame: pa.Table) -> pa.Table:
     if len(open_):
         total = np.cumsum(sizes[one][open_])
         size = sizes[one][open_]
-        flat = np.repeat(starts[one][open_] - total + size, size) + np.arange(total[-1])
-        left = np.repeat(total, size) - np.arange(total[-1])
+        flat = np.repeat((starts[one][open_] - total + size).astype(np.int32), size) + np.arange(total[-1], dtype=np.int32)
+        left = np.repeat(total.astype(np.int32), size) - np.arange(total[-1], dtype=np.int32)
         pointer = refined_buckets(data[flat], left)
         at = np.flatnonzero(left >= WINDOW)
         owner = np.repeat(open_, size)[at]
@@ -367,13 +389,16 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", te
     count as earlier; rows that repeat an id do not remove from each other. ``kept`` holds the remaining
     bytes (a cut may fall within a character); without ``texts`` it is left out. No rows give no rows.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    each = max(1, -(-total // (parts * BUCKET_BYTES)))
+    buckets = each * parts
     named = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     named = named.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)))
-    lists = kept(shared_anchors(named.where("id is not null"), buckets), "shared-anchors")
+    lists = kept(shared_anchors(named.where("id is not null"), parts, each), "shared-anchors")
 
     def send(own: pa.Table, told: pa.Table) -> pa.Table:
-        schema = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in ("keys", "anchors", "ids", "sizes", "bytes")], ("bucket", pa.int64())])
+        schema = pa.schema([("shard", pa.int64()), *[(c, pa.binary()) for c in ("anchors", "ids", "sizes", "bytes")], ("bucket", pa.int64())])
         rows = []
         if own.num_rows and told.num_rows:
             bucket = own.column("bucket")[0].as_py()
@@ -383,7 +408,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", te
         return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     sent = named.groupBy("bucket").cogroup(lists.groupBy("bucket")).applyInArrow(
-        send, "shard long, keys binary, anchors binary, ids binary, sizes binary, bytes binary, bucket long"
+        send, "shard long, anchors binary, ids binary, sizes binary, bytes binary, bucket long"
     )
     told = kept(sent.groupBy("shard").applyInArrow(verdicts, "bucket long, keys binary, anchors binary, masks binary"), "verdicts")
     result = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
