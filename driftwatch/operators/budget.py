@@ -21,12 +21,12 @@ def check_budget(scored: DataFrame, budget_fraction: float) -> int:
     """Guard the arguments; returns the number of rows."""
     missing = sorted({"risk_score", "label"} - set(scored.columns))
     if not 0.0 < budget_fraction <= 1.0:
-        raise ValueError("budget_fraction must be in (0, 1]")
+        raise ValueError("the budget is a share of the rows: above 0, at most 1")
     if missing:
-        raise ValueError("missing required columns: " + ", ".join(missing))
+        raise ValueError("the scored table lacks these columns: " + ", ".join(missing))
     total = scored.count()
     if total == 0:
-        raise ValueError("cannot evaluate an empty result set")
+        raise ValueError("there are no rows to set a budget for")
     return total
 
 

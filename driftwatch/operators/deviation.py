@@ -20,7 +20,7 @@ def require_known(events: DataFrame, statistics: DataFrame) -> None:
     """Strict mode: fail if any event has no baseline."""
     missing = unknown_entities(events, statistics).select("entity_id").take(1)
     if missing:
-        raise ValueError(f"missing behavioral profile for {missing[0]['entity_id']}")
+        raise ValueError(f"no baseline is known for entity {missing[0]['entity_id']}")
 
 
 def _spread(deviation: str, spread: str) -> str:

@@ -23,7 +23,6 @@ from driftwatch.operators.rank import quantile
 from driftwatch.schema import MODEL_FEATURES
 
 MAX_SAMPLE = 256
-POOL_ROWS = 1_000_000
 MARGIN = 1.5
 CONSTANT = 1e-7  # a feature that varies less than this within a node is not split on
 _EULER = 0.5772156649
@@ -53,9 +52,9 @@ def average_path(n: int) -> float:
 
 def check_parameters(contamination: float, n_estimators: int) -> None:
     if not 0.0 < contamination <= 0.5:
-        raise ValueError("contamination must be between 0 and 0.5")
+        raise ValueError("the share of outliers has to lie above 0 and not above 0.5")
     if n_estimators <= 0:
-        raise ValueError("n_estimators must be greater than zero")
+        raise ValueError("a forest needs one tree at least")
 
 
 @dataclass(frozen=True)
@@ -106,17 +105,17 @@ def _grow(seed: int, height: int, features: tuple[str, ...]):
     return grow
 
 
-def draw_samples(matrix: DataFrame, total: int, trees: int, seed: int) -> DataFrame:
+def draw_samples(matrix: DataFrame, total: int, trees: int, seed: int, pool_limit: int | None = None) -> DataFrame:
     """(tree_id, draw, features): at most MAX_SAMPLE rows per tree, the same on every run.
 
-    A uniform pool bounds the work: per-tree draws are hashed only for pool rows.
+    With `pool_limit`, trees draw from a uniform pool of about that many rows instead of all rows.
     """
     pool = matrix
     pool_rows = total
-    if total > POOL_ROWS:
-        share = POOL_ROWS / total
+    if pool_limit is not None and total > pool_limit:
+        share = pool_limit / total
         unit = F.pmod(F.xxhash64("event_id", F.lit(seed)), F.lit(2**31)) / F.lit(float(2**31))
-        pool, pool_rows = matrix.filter(unit < share), POOL_ROWS
+        pool, pool_rows = matrix.filter(unit < share), pool_limit
     keep = min(1.0, MARGIN * MAX_SAMPLE / pool_rows)
     top = F.lit(int(keep * 2**31))
     draws = F.transform(
@@ -142,8 +141,13 @@ def fit_forest(
     contamination: float = 0.01,
     n_estimators: int = 200,
     random_state: int = 42,
+    pool_limit: int | None = None,
 ) -> Forest:
-    """Fit on the feature matrix of normal history (identity columns plus features)."""
+    """Fit on the feature matrix of normal history (identity columns plus features).
+
+    Every row may be drawn for a tree; `pool_limit` bounds the rows drawn from, where hashing all rows
+    once a tree is too much.
+    """
     check_parameters(contamination, n_estimators)
     check_columns(matrix)
     spark = matrix.sparkSession
@@ -151,11 +155,11 @@ def fit_forest(
     try:
         total = check_values(matrix)
         if total == 0:
-            raise ValueError("cannot train detector on empty feature matrix")
+            raise ValueError("no rows to grow a forest from: the matrix is empty")
         sample = min(MAX_SAMPLE, total)
         height = math.ceil(math.log2(max(sample, 2)))
         grown = (
-            draw_samples(matrix, total, n_estimators, random_state)
+            draw_samples(matrix, total, n_estimators, random_state, pool_limit)
             # a fixed count: the data is tiny but growing trees is not, so keep it spread out
             .repartition(min(n_estimators, spark.sparkContext.defaultParallelism), "tree_id")
             .groupBy("tree_id")
@@ -236,7 +240,7 @@ def raw_scores(matrix: DataFrame, forest: Forest) -> DataFrame:
 def score_forest(matrix: DataFrame, forest: Forest) -> DataFrame:
     """Add `ml_anomaly_score` (above 0 is anomalous) and `ml_flagged`."""
     if not forest.is_fitted:
-        raise RuntimeError("detector must be fitted before prediction")
+        raise RuntimeError("this forest has not been grown yet")
     return (
         raw_scores(matrix, forest)
         .withColumn("ml_anomaly_score", F.col("raw_score") - F.lit(forest.threshold))

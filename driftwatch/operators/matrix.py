@@ -40,7 +40,7 @@ def feature_matrix(
     """
     if strict:
         if events.isEmpty():
-            raise ValueError("cannot build feature matrix from empty events")
+            raise ValueError("no events to build features for: the table is empty")
         statistics = baseline.statistics if isinstance(baseline, Baseline) else baseline
         require_known(events, statistics)
     rows = window_features(events, history, mode=mode, hot=hot)
@@ -71,7 +71,7 @@ def check_values(matrix: DataFrame) -> int:
     """No missing value (one aggregate); returns the number of rows."""
     found = missing_values(matrix).first()
     if found["rows_with_missing"]:
-        raise ValueError("feature matrix contains missing values")
+        raise ValueError("some features are missing (null or NaN)")
     return found["n_rows"]
 
 

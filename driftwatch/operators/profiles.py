@@ -78,9 +78,9 @@ def learn_baseline(events: DataFrame, *, check: bool = False) -> Baseline:
     """Baseline tables of `events`. With `check`, refuse input that can teach nothing."""
     if check:
         if events.isEmpty():
-            raise ValueError("cannot build profiles from an empty event table")
+            raise ValueError("no events to learn from: the table is empty")
         if normal_events(events).isEmpty():
-            raise ValueError("no normal events available for profiling")
+            raise ValueError("every event is labelled as an attack, so nothing normal is left to learn")
     flat = flat_events(events)
     return Baseline(
         statistics=profile_statistics(flat),

@@ -442,7 +442,11 @@ def q_assess_full(spark, d):
 
 def q_stream_assessments(spark, d):
     """The rule assessment of the scoring days, computed from a stream of the event table."""
-    base = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="driftwatch-")
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir: stream state needs a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="driftwatch-")
     folder = f"{base}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     # a glob, since a streaming source takes a plain path for a folder; the table may be a file

@@ -1 +1 @@
-"""Readers and writers for event, baseline, model and assessment tables."""
+"""Event tables and payloads that the catalogued queries read."""

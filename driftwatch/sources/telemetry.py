@@ -17,7 +17,7 @@ SQUEEZE = 432  # and its activity happens within ten minutes
 
 PROFILE_DAYS = (0, 3)
 TRAIN_DAYS = (4, 6)
-SCORE_DAYS = (7, 9)
+SCORE_DAYS = (7, 2**31)  # every later day, however long the table
 
 
 def telemetry(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
@@ -38,8 +38,8 @@ def telemetry(spark: SparkSession, sf_dir: str, source: DataFrame | None = None)
         "cast(get_json_object(props, '$.k') AS bigint) AS k",
         "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', cast(ts AS timestamp_ntz)) AS off",
         "(event_id * 7919 + 13) % 101 AS h",
-        f"off div {SOURCE_DAY_US} AS day",
-        f"(off % {SOURCE_DAY_US}) div {SQUEEZE} AS w",
+        f"(off - pmod(off, {SOURCE_DAY_US})) div {SOURCE_DAY_US} AS day",
+        f"pmod(off, {SOURCE_DAY_US}) div {SQUEEZE} AS w",
         "user_id div 15 AS g",
         "day >= 7 AS late",
         "CASE WHEN late AND h IN (5, 6) THEN (user_id + 11) % 25 ELSE user_id % 25 END AS nk",
