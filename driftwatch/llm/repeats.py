@@ -32,7 +32,8 @@ GRAM = 24
 SPAN = WINDOW - GRAM + 1  # grams in a window
 PIECE = 1 << 23  # window starts that are handled at once
 LOW = np.uint64((1 << 24) - 1)
-BUCKET_BYTES = 2 << 20  # a task handles its buckets of texts one by one
+SORT_BYTES = 1 << 19  # contexts whose suffixes are sorted at once
+BUCKET_BYTES = 1 << 20  # a task handles its buckets of texts one by one
 FLUSH = 1_000_000  # anchors that a task holds before it passes them on
 MANY = 0xFFFFFFFF  # instead of a bucket: the task has seen the anchor in several documents
 FIRST_GRAM = 8
@@ -271,6 +272,14 @@ def refined_buckets(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     return pointer
 
 
+def anchor_pieces(h: np.ndarray, sizes: np.ndarray, members: np.ndarray) -> list[np.ndarray]:
+    """Contexts in runs of whole anchors of about SORT_BYTES: only those of one anchor can meet."""
+    first = runs(h)
+    before = (np.cumsum(sizes) - sizes)[first] // SORT_BYTES
+    piece = np.repeat(before, np.diff(np.append(first, len(h))))
+    return np.split(members, runs(piece)[1:]) if len(members) else []
+
+
 def verdicts(frame: pa.Table) -> pa.Table:
     """(bucket, keys, anchors, masks): in which windows of a context an earlier document has the same bytes.
 
@@ -302,14 +311,14 @@ def verdicts(frame: pa.Table) -> pa.Table:
     group = runs(h[one])
     alone = np.repeat(np.diff(np.append(group, len(one))), np.diff(np.append(group, len(one)))) == 1
     open_ = np.flatnonzero(~alone)
-    if len(open_):
-        total = np.cumsum(sizes[one][open_])
-        size = sizes[one][open_]
-        flat = np.repeat((starts[one][open_] - total + size).astype(np.int32), size) + np.arange(total[-1], dtype=np.int32)
+    for some in anchor_pieces(h[one][open_], sizes[one][open_], open_):
+        size = sizes[one][some]
+        total = np.cumsum(size)
+        flat = np.repeat((starts[one][some] - total + size).astype(np.int32), size) + np.arange(total[-1], dtype=np.int32)
         left = np.repeat(total.astype(np.int32), size) - np.arange(total[-1], dtype=np.int32)
         pointer = refined_buckets(data[flat], left)
         at = np.flatnonzero(left >= WINDOW)
-        owner = np.repeat(open_, size)[at]
+        owner = np.repeat(some, size)[at]
         slot = base[owner] + sizes[one][owner] - left[at]
         by = np.argsort(pointer[at], kind="stable")
         first = runs(pointer[at][by])
