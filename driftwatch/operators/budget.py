@@ -1,7 +1,7 @@
 """Ranked alerts under a fixed analyst budget.
 
-The cut is exact at any size: small budgets are one top-k, large ones find the rank's key by
-counting around sampled pivots, so neither a global sort nor a driver-sized list is needed.
+The cut is exact at any size: the rank's key is found by counting around pivots, so neither a
+global sort nor a driver-sized list is needed.
 """
 
 from __future__ import annotations
@@ -12,18 +12,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.operators.evaluate import IS_ATTACK, TRUTH, ratio
-from driftwatch.operators.rank import PIVOTS, TOP_K_LIMIT, value_at
+from driftwatch.operators.rank import PIVOTS, value_at
+from driftwatch.session import stored
 
 _KEY = ("unusable", "descending", "event_id")
 
 
-def check_budget(scored: DataFrame, budget_fraction: float) -> int:
-    """Guard the arguments; returns the number of rows."""
+def check_arguments(scored: DataFrame, budget_fraction: float) -> None:
+    """Guard the fraction and the columns."""
     missing = sorted({"risk_score", "label"} - set(scored.columns))
     if not 0.0 < budget_fraction <= 1.0:
         raise ValueError("the budget is a share of the rows: above 0, at most 1")
     if missing:
         raise ValueError("the scored table lacks these columns: " + ", ".join(missing))
+
+
+def check_budget(scored: DataFrame, budget_fraction: float) -> int:
+    """Guard arguments and rows; returns the number of rows."""
+    check_arguments(scored, budget_fraction)
     total = scored.count()
     if total == 0:
         raise ValueError("there are no rows to set a budget for")
@@ -40,39 +46,34 @@ def _ranked(scored: DataFrame) -> DataFrame:
     )
 
 
-def _in_top(ranked: DataFrame, k: int, total: int, limit: int, pivots: int) -> Column:
-    last = value_at(ranked, _KEY, k, total, limit=limit, pivots=pivots)
+def _in_top(ranked: DataFrame, k: int, total: int, pivots: int) -> Column:
+    last = value_at(ranked, _KEY, k, total, pivots=pivots)
     cut = F.struct(*[F.lit(v).alias(c) for v, c in zip(last, _KEY)])
     return F.struct(*_KEY) <= cut
 
 
-def top_alerts(scored: DataFrame, k: int, *, limit: int = TOP_K_LIMIT, pivots: int = PIVOTS) -> DataFrame:
-    """The k highest-ranked rows (score descending, then event id ascending)."""
-    ranked = _ranked(scored)
-    if k <= limit:
-        top = ranked.orderBy(*_KEY).limit(k)
-    else:
-        total = scored.count()
-        top = ranked if k >= total else ranked.filter(_in_top(ranked, k, total, limit, pivots))
+def top_alerts(scored: DataFrame, k: int, *, pivots: int = PIVOTS) -> DataFrame:
+    """The k highest-ranked rows (score descending, then event id ascending), in no order."""
+    keys = _ranked(stored(scored.select("event_id", "risk_score"), "ranking"))
+    total = keys.count()
+    if k >= total:
+        return scored
+    top = _ranked(scored).filter(_in_top(keys, k, total, pivots))
     return top.drop("unusable", "descending")
 
 
-def alert_budget(
-    scored: DataFrame,
-    budget_fraction: float = 0.01,
-    *,
-    limit: int = TOP_K_LIMIT,
-    pivots: int = PIVOTS,
-) -> DataFrame:
+def alert_budget(scored: DataFrame, budget_fraction: float = 0.01, *, pivots: int = PIVOTS) -> DataFrame:
     """One row: how many attacks the top fraction of events contains.
 
-    Passes over the scores: one to count, one (or a few, for a budget beyond `limit`) to find
-    the cut, one to aggregate. Pass a stored table of scores when computing them is expensive.
+    The scores are computed once, into a table of three columns; counting, the search for the cut and
+    the aggregate read that table.
     """
-    total = check_budget(scored, budget_fraction)
+    check_arguments(scored, budget_fraction)
+    kept = stored(scored.select("event_id", "risk_score", "label"), "budget")
+    total = check_budget(kept, budget_fraction)
     k = max(1, math.ceil(total * budget_fraction))
-    ranked = _ranked(scored.select("event_id", "risk_score", "label"))
-    marked = ranked.select("*", _in_top(ranked, k, total, limit, pivots).alias("in_top"))
+    ranked = _ranked(kept)
+    marked = ranked.select("*", _in_top(ranked, k, total, pivots).alias("in_top"))
     hit = f"in_top AND {IS_ATTACK}"
     found = marked.agg(
         F.expr(f"count_if({IS_ATTACK})").alias("total_attacks"),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +14,6 @@ from driftwatch.operators.deviation import (
 from driftwatch.operators.event_features import EVENT_COLUMNS
 from driftwatch.operators.profiles import Baseline
 from driftwatch.operators.sequence import window_features
-from driftwatch.operators.skew import HotKey
 from driftwatch.schema import MODEL_FEATURES
 
 IDENTITY = ("event_id", "entity_id", "ts_us", "label")
@@ -29,7 +26,6 @@ def feature_matrix(
     history: DataFrame | None = None,
     mode: str = "joint",
     strict: bool = False,
-    hot: Sequence[HotKey] | str = "auto",
 ) -> DataFrame:
     """Identity, label and the model features of every event that has a baseline.
 
@@ -43,7 +39,7 @@ def feature_matrix(
             raise ValueError("no events to build features for: the table is empty")
         statistics = baseline.statistics if isinstance(baseline, Baseline) else baseline
         require_known(events, statistics)
-    rows = window_features(events, history, mode=mode, hot=hot)
+    rows = window_features(events, history, mode=mode)
     if isinstance(baseline, Baseline):
         rows = deviation_features(rows, baseline)
     else:

@@ -1,8 +1,7 @@
-"""The value at a rank of an ordering, exact at any size.
+"""The value at a rank of an ordering, exact at any size, by one path.
 
-Short inputs are sorted within one bounded top-k. Long ones are narrowed first: rows are
-counted between a few pivots, the interval holding the rank is kept, and so on. Nothing
-larger than the pivots or the top-k limit ever reaches one task or the driver.
+Rows are counted between a few pivots, the interval holding the rank is kept, and so on until
+the rank falls on a pivot. Nothing larger than the pivots ever reaches one task or the driver.
 """
 
 from __future__ import annotations
@@ -12,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
-TOP_K_LIMIT = 100_000  # rows a single task may sort
 PIVOTS = 64
 
 
@@ -27,18 +25,20 @@ def value_at(
     rank: int,
     total: int,
     *,
-    limit: int = TOP_K_LIMIT,
     pivots: int = PIVOTS,
 ) -> Row:
-    """Values of `columns` in the row at 1-based `rank`, in ascending order of the columns."""
+    """Values of `columns` in the row at 1-based `rank`, in ascending order of the columns.
+
+    Every round takes a few of the rows left as pivots and drops at least these, so it ends; a stored
+    table as input spares computing the rows again in each.
+    """
     if not 1 <= rank <= total:
         raise ValueError("rank out of range")
     left = df.select(F.struct(*columns).alias("key"))
     inside = total
-    while min(rank, inside) > limit:
-        # hash order makes a retried task pick the same pivots
-        order = F.xxhash64("key", F.lit(inside))
-        picked = left.orderBy(order).limit(pivots).distinct().orderBy("key").collect()
+    while True:
+        # any pivots give the exact value; random rows halve best, also among heavy ties
+        picked = left.orderBy(F.rand(inside)).limit(pivots).distinct().orderBy("key").collect()
         cuts = [_literal(r["key"], left) for r in picked]
         # even places are the open intervals between pivots, odd ones the ties of a pivot: no
         # interval keeps a pivot, so each round shrinks the input however heavy the ties are
@@ -58,7 +58,6 @@ def value_at(
         if at < len(cuts):
             left = left.filter(F.col("key") < cuts[at])
         inside = group["count"]
-    return left.orderBy("key").limit(rank).agg(F.max("key").alias("key")).first()["key"]
 
 
 def quantile(df: DataFrame, column: str, q: float, total: int, **bounds: int) -> float:
@@ -68,5 +67,9 @@ def quantile(df: DataFrame, column: str, q: float, total: int, **bounds: int) ->
     low = value_at(df, [column], lower + 1, total, **bounds)[0]
     if position == lower:
         return float(low)
-    high = value_at(df, [column], lower + 2, total, **bounds)[0]
+    # the next rank holds the same value again or the least greater one
+    upto, above = df.agg(
+        F.count_if(F.col(column) <= low), F.min(F.when(F.col(column) > low, F.col(column)))
+    ).first()
+    high = low if upto >= lower + 2 else above
     return float(low) + (float(high) - float(low)) * (position - lower)

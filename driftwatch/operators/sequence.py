@@ -6,27 +6,34 @@ running balance: an event adds at its own time and takes back one microsecond af
 leaves the window, so one ordered pass yields the exact count at every time. A distinct
 count works the same way on the stretches during which a value stays in the window.
 
-Cost: one shuffle by entity and one by address. Keys found to be hot (see `skew`) are cut
-into time slices; each slice starts from the balance carried over from the earlier ones,
-which is computed from pre-aggregated slice totals.
+Every key is cut into time blocks as long as its longest window. An event is also shown to
+the next block, in a copy without payload, so a block holds all its windows need and a key
+of any size spreads over as many tasks as it has blocks. Only the previous event can lie
+further back: one row per key and block carries it, pre-aggregated.
+
+Cost: one shuffle by entity and block, and one by address and block if fan-out is wanted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.functions.clock import MINUTE_US, floor_div
 from driftwatch.functions.geo import haversine_km, speed_kmh
-from driftwatch.operators.skew import HotKey, find_hot_keys, is_small
 from driftwatch.schema import flat_events
 
 TEN_MINUTES = 10 * MINUTE_US
 THIRTY_MINUTES = 30 * MINUTE_US
 
+COUNTS = ("events_10m", "failed_logins_10m", "unique_resources_30m", "resource_access_velocity_30m")
+FAN_OUT = "source_ip_entity_fanout_10m"
+TRAVEL = ("distance_from_previous_km", "implied_speed_kmh")
+WINDOW_COLUMNS = (*COUNTS, FAN_OUT, *TRAVEL)
+
 _DELTAS = ("d_events", "d_failed", "d_unique")
 _FAILED = "cast(outcome = 'failure' AS bigint)"
 _PLACE = "struct(ts_us, latitude, longitude)"
@@ -41,163 +48,101 @@ class Trail:
 
     key: str
     value: str  # distinct values of this column are counted
-    distinct_us: int
+    block_us: int  # the longest window: also the width of a block
     result: str  # name of the distinct count
-    full: bool = False  # also count events and failures, and find the previous event
+    full: bool = False  # also count events and failures
+    travel: bool = False  # also find the previous event
 
 
 ENTITY_TRAIL = Trail("entity_id", "resource_accessed", THIRTY_MINUTES, "unique_resources_30m", full=True)
-ADDRESS_TRAIL = Trail("source_ip", "entity_id", TEN_MINUTES, "source_ip_entity_fanout_10m")
+ADDRESS_TRAIL = Trail("source_ip", "entity_id", TEN_MINUTES, FAN_OUT)
 
 
-def _point(at: str, events: str, failed: str, unique: str, own: bool) -> str:
-    """A change of the balances at a time; the `own` one also carries the event."""
+def _point(at: str, events: str, failed: str, unique: str, here: str) -> str:
+    """A change of the balances at a time; `here` tells whether it stands for the row itself."""
     return (
         f"struct({at} AS point_us, cast({events} AS bigint) AS d_events, "
-        f"cast({failed} AS bigint) AS d_failed, cast({unique} AS bigint) AS d_unique, {own} AS own)"
+        f"cast({failed} AS bigint) AS d_failed, cast({unique} AS bigint) AS d_unique, {here} AS here)"
     )
 
 
-def _points(*points: str) -> str:
-    return f"inline(array_compact(array({', '.join(points)})))"
+def _in_blocks(rows: DataFrame, trail: Trail) -> DataFrame:
+    """Every row in its block, and once more, unpaid, in the next if it counts there."""
+    needed = (trail.key, trail.value, "ts_us", "outcome", "contributes")
+
+    def part(own: str) -> str:
+        block = f"{floor_div('ts_us', trail.block_us)}{'' if own == 'true' else ' + 1'}"
+        kinds = dict(rows.dtypes)
+        kept = [
+            f"{c} AS {c}" if own == "true" or c in needed else f"cast(NULL AS {kinds[c]}) AS {c}"
+            for c in rows.columns
+        ]
+        place = f"IF(contributes, {_PLACE}, NULL)" if own == "true" and trail.travel else _NO_PLACE
+        return f"struct({', '.join(kept)}, {block} AS block, {own} AS own, {place} AS place)"
+
+    again = f"IF(contributes, {part('false')}, NULL)"
+    return rows.selectExpr(f"inline(array_compact(array({part('true')}, {again})))")
+
+
+def _carried(rows: DataFrame, trail: Trail) -> DataFrame:
+    """Per key and block the last place before the block, as a row just ahead of it.
+
+    Of events that share a timestamp the first in arrival order stands for all.
+    """
+    block = floor_div("ts_us", trail.block_us)
+    last = f"min(IF(contributes, struct(-ts_us AS age, seq AS seq, {_PLACE} AS place), NULL))"
+    ends = rows.groupBy(trail.key, F.expr(block).alias("block")).agg(F.expr(last).alias("latest"))
+    before = (
+        f"OVER (PARTITION BY {trail.key} ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    )
+    return ends.selectExpr(
+        trail.key,
+        "block",
+        f"block * {trail.block_us} - 1 AS ts_us",
+        "false AS own",
+        "false AS contributes",
+        f"last(latest.place, true) {before} AS place",
+    ).filter("place IS NOT NULL")
 
 
-def _whole_points(rows: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
-    """Points of keys that fit a task: everything after the one shuffle is local to it."""
-    m = trail.distinct_us
-    same_value = f"OVER (PARTITION BY {trail.key}, contributes, {trail.value} ORDER BY ts_us)"
+def _points(blocks: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
+    """Balance changes of every row, from marks that are local to the key and block."""
+    m = trail.block_us
+    group = f"{trail.key}, block"
+    same_value = f"OVER (PARTITION BY {group}, contributes, {trail.value} ORDER BY ts_us)"
     marks = [
         f"contributes AND coalesce(ts_us - lag(ts_us) {same_value} > {m}, true) AS enters",
         f"contributes AND coalesce(lead(ts_us) {same_value} - ts_us > {m}, true) AS leaves",
     ]
     if history_only:
         marks.append(
-            f"coalesce(ts_us - max(IF(contributes, ts_us, NULL)) OVER (PARTITION BY {trail.key}, "
+            f"coalesce(ts_us - max(IF(contributes, ts_us, NULL)) OVER (PARTITION BY {group}, "
             f"{trail.value} ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= {m}, "
             "false) AS value_active"
         )
-    marked = rows.repartition(trail.key).selectExpr("*", *marks)
+    marked = blocks.selectExpr("*", *marks)
     adds = "cast(contributes AS int)"
     points = [
-        _point("ts_us", adds, f"{adds} * {_FAILED}", "cast(enters AS int)", True),
-        f"IF(leaves, {_point(f'ts_us + {m + 1}', '0', '0', '-1', False)}, NULL)",
+        _point("ts_us", adds, f"{adds} * {_FAILED}", "cast(enters AS int)", "true"),
+        f"IF(leaves, {_point(f'ts_us + {m + 1}', '0', '0', '-1', 'false')}, NULL)",
     ]
     if trail.full:
-        gone = _point(f"ts_us + {TEN_MINUTES + 1}", "-1", f"-{_FAILED}", "0", False)
+        gone = _point(f"ts_us + {TEN_MINUTES + 1}", "-1", f"-{_FAILED}", "0", "false")
         points.append(f"IF(contributes, {gone}, NULL)")
-    payload = [c for c in marked.columns if c not in ("enters", "leaves", trail.key)]
-    return marked.selectExpr("*", _points(*points)).selectExpr(
+    payload = [c for c in marked.columns if c not in ("enters", "leaves", "own", trail.key, "block")]
+    return marked.selectExpr("*", f"inline(array_compact(array({', '.join(points)})))").selectExpr(
         trail.key,
-        "0L AS slice",
+        "block",
         "point_us",
-        "own",
+        "here AND own AS own",
         *_DELTAS,
-        f"IF(own AND contributes, {_PLACE}, NULL) AS place",
-        *[f"IF(own, {c}, NULL) AS {c}" for c in payload],
-    )
-
-
-def _stretches(rows: DataFrame, trail: Trail) -> DataFrame:
-    """Balance changes of the distinct count of hot keys: a value enters, a value leaves.
-
-    Occurrences closer than the window belong to one stretch, so a (value, window) pair is
-    first reduced to its earliest and latest time, before any shuffle.
-    """
-    m = trail.distinct_us
-    runs = (
-        rows.filter("contributes")
-        .groupBy(trail.key, "slice_us", trail.value, F.expr(floor_div("ts_us", m)).alias("run"))
-        .agg(F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
-    )
-    along = f"OVER (PARTITION BY {trail.key}, {trail.value} ORDER BY run)"
-    marked = runs.selectExpr(
-        "*",
-        f"coalesce(first_us - lag(last_us) {along} > {m}, true) AS enters",
-        f"coalesce(lead(first_us) {along} - last_us > {m}, true) AS leaves",
-    )
-    enter = _point("first_us", "0", "0", "1", False)
-    leave = _point(f"last_us + {m + 1}", "0", "0", "-1", False)
-    return marked.selectExpr(
-        trail.key,
-        "slice_us",
-        trail.value,
-        _points(f"IF(enters, {enter}, NULL)", f"IF(leaves, {leave}, NULL)"),
+        *[f"IF(here, {c}, NULL) AS {c}" for c in payload],
     )
 
 
-def _sliced(points: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cut points into slices and add to every slice one row holding what came before it.
-
-    The row carries the balances and the last place of the earlier slices; it sits one
-    microsecond before the slice, so every event of the slice sees it.
-    """
-    points = points.selectExpr("*", f"{floor_div('point_us', 'slice_us')} AS slice")
-    last = "min(IF(place IS NULL, NULL, struct(-ts_us AS age, seq AS seq, place AS place)))"
-    totals = points.groupBy(*keys, "slice", "slice_us").agg(
-        *[F.sum(d).alias(d) for d in _DELTAS], F.expr(last).alias("latest")
-    )
-    before = (
-        f"OVER (PARTITION BY {', '.join(keys)} ORDER BY slice "
-        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    )
-    carried = totals.selectExpr(
-        *keys,
-        "slice",
-        "slice_us",
-        "slice * slice_us - 1 AS point_us",
-        "false AS own",
-        *[f"coalesce(sum({d}) {before}, 0L) AS {d}" for d in _DELTAS],
-        f"last(latest.place, true) {before} AS place",
-    )
-    return points.unionByName(carried, allowMissingColumns=True)
-
-
-def _own_points(rows: DataFrame, *, counted: bool) -> DataFrame:
-    adds = "cast(contributes AS bigint)" if counted else "0L"
-    return rows.selectExpr(
-        "*",
-        "ts_us AS point_us",
-        "true AS own",
-        f"{adds} AS d_events",
-        f"{adds} * {_FAILED} AS d_failed",
-        "0L AS d_unique",
-        f"IF(contributes, {_PLACE}, NULL) AS place" if counted else f"{_NO_PLACE} AS place",
-    )
-
-
-def _sliced_points(rows: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
-    """Points of hot keys, cut into slices; `rows` carries the `slice_us` of its key."""
-    stretches = _stretches(rows, trail)
-    if history_only:
-        # is the row's own value in the window? the balance of that single value says so
-        keys = (trail.key, trail.value)
-        asked = _own_points(rows, counted=False).unionByName(stretches, allowMissingColumns=True)
-        active = f"sum(d_unique) OVER (PARTITION BY {', '.join(keys)}, slice {_UP_TO}) > 0"
-        rows = (
-            _sliced(asked, keys)
-            .selectExpr(*rows.columns, "own", f"{active} AS value_active")
-            .filter("own")
-            .drop("own")
-        )
-    pieces = _own_points(rows, counted=True)
-    if trail.full:
-        gone = rows.filter("contributes").selectExpr(
-            trail.key,
-            "slice_us",
-            f"ts_us + {TEN_MINUTES + 1} AS point_us",
-            "false AS own",
-            "-1L AS d_events",
-            f"-{_FAILED} AS d_failed",
-            "0L AS d_unique",
-        )
-        pieces = pieces.unionByName(gone, allowMissingColumns=True)
-    pieces = pieces.unionByName(stretches.drop(trail.value), allowMissingColumns=True)
-    return _sliced(pieces, (trail.key,)).drop("slice_us")
-
-
 def _balances(points: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
-    """Run the balances along every (key, slice) and keep the wanted events."""
-    group = f"PARTITION BY {trail.key}, slice"
+    """Run the balances along every key and block and keep the rows themselves."""
+    group = f"PARTITION BY {trail.key}, block"
     # an event that does not contribute still counts itself
     alone = "IF(contributes, 0, 1)"
     unique = f"sum(d_unique) OVER ({group} {_UP_TO})"
@@ -205,31 +150,27 @@ def _balances(points: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
         unique += " + IF(value_active, 0, 1)"
     found = [f"{unique} AS {trail.result}"]
     if trail.full:
-        # of events that share a timestamp the first in arrival order stands for all
-        first = f"row_number() OVER ({group}, point_us, place IS NULL ORDER BY seq) = 1"
-        others = [c for c in points.columns if c != "place"]
-        points = points.selectExpr(*others, f"IF({first}, place, NULL) AS place")
         found += [
             f"sum(d_events) OVER ({group} {_UP_TO}) + {alone} AS events_10m",
             f"sum(d_failed) OVER ({group} {_UP_TO}) + {alone} * {_FAILED} AS failed_logins_10m",
-            f"max(place) OVER ({group} {_EARLIER}) AS previous",
         ]
-    inner = ("slice", "point_us", "own", "place", "value_active", *_DELTAS)
+    if trail.travel:
+        first = f"row_number() OVER ({group}, point_us, place IS NULL ORDER BY seq) = 1"
+        others = [c for c in points.columns if c != "place"]
+        points = points.selectExpr(*others, f"IF({first}, place, NULL) AS place")
+        found.append(f"max(place) OVER ({group} {_EARLIER}) AS previous")
+    inner = ("block", "point_us", "own", "place", "value_active", *_DELTAS)
     kept = [c for c in points.columns if c not in inner]
     return points.selectExpr(*kept, "own", *found).filter("own AND wanted").drop("own")
 
 
-def _follow(rows: DataFrame, trail: Trail, hot: Sequence[HotKey], history_only: bool) -> DataFrame:
-    slices = [(h.key, h.slice_us) for h in hot if h.kind == trail.key]
-    if not slices:
-        return _balances(_whole_points(rows, trail, history_only), trail, history_only)
-    # at most MAX_HOT_KEYS rows by construction of the list
-    listed = F.broadcast(
-        rows.sparkSession.createDataFrame(slices, f"{trail.key} string, slice_us bigint")
-    )
-    usual = _whole_points(rows.join(listed, trail.key, "left_anti"), trail, history_only)
-    heavy = _sliced_points(rows.join(listed, trail.key), trail, history_only)
-    return _balances(usual, trail, history_only).unionByName(_balances(heavy, trail, history_only))
+def _follow(rows: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
+    blocks = _in_blocks(rows, trail)
+    if trail.travel:
+        blocks = blocks.unionByName(_carried(rows, trail), allowMissingColumns=True)
+    # the one shuffle: all windows after it are local to the key and block
+    blocks = blocks.repartition(trail.key, "block")
+    return _balances(_points(blocks, trail, history_only), trail, history_only)
 
 
 def window_features(
@@ -237,39 +178,45 @@ def window_features(
     history: DataFrame | None = None,
     *,
     mode: str = "joint",
-    hot: Sequence[HotKey] | str = "auto",
+    columns: Sequence[str] = WINDOW_COLUMNS,
 ) -> DataFrame:
-    """Flat events plus counts, distinct counts, fan-out and travel.
+    """Flat events plus the wanted ones of counts, distinct counts, fan-out and travel.
 
     `history` rows are seen but not returned. In mode `joint` the events also see each
     other; in mode `history_only` each event sees the history and itself, nothing else.
+    Only what the wanted `columns` need is computed.
     """
     if mode not in ("joint", "history_only"):
         raise ValueError(f"unknown mode: {mode}")
     if mode == "history_only" and history is None:
         raise ValueError("history_only needs a history")
+    unknown = sorted(set(columns) - set(WINDOW_COLUMNS))
+    if unknown:
+        raise ValueError(f"unknown window columns: {', '.join(unknown)}")
     history_only = mode == "history_only"
     flat = flat_events(events)
     rows = flat.selectExpr("*", "true AS wanted", f"{not history_only} AS contributes")
     if history is not None:
         seen = flat_events(history).selectExpr("*", "false AS wanted", "true AS contributes")
         rows = rows.unionByName(seen)
-    if hot == "auto":
-        hot = [] if is_small(rows) else find_hot_keys(rows)
 
-    by_entity = _follow(rows, ENTITY_TRAIL, hot, history_only)
-    if history is not None:
-        # the history must reach the address step as well, without entity results
-        by_entity = by_entity.unionByName(rows.filter("NOT wanted"), allowMissingColumns=True)
-    both = _follow(by_entity, ADDRESS_TRAIL, hot, history_only)
+    travel = any(c in columns for c in TRAVEL)
+    found = rows
+    if travel or any(c in columns for c in COUNTS):
+        found = _follow(rows, replace(ENTITY_TRAIL, travel=travel), history_only)
+    if FAN_OUT in columns:
+        if history is not None and found is not rows:
+            # the history must reach the address step as well, without entity results
+            found = found.unionByName(rows.filter("NOT wanted"), allowMissingColumns=True)
+        found = _follow(found, ADDRESS_TRAIL, history_only)
+    elif found is rows:
+        found = rows.filter("wanted")
     distance = haversine_km("previous.latitude", "previous.longitude", "latitude", "longitude")
-    return both.selectExpr(
-        *flat.columns,
-        "events_10m",
-        "failed_logins_10m",
-        "unique_resources_30m",
-        "unique_resources_30m / 30D AS resource_access_velocity_30m",
-        "source_ip_entity_fanout_10m",
-        f"coalesce({distance}, 0D) AS distance_from_previous_km",
-        f"{speed_kmh('distance_from_previous_km', '(ts_us - previous.ts_us)')} AS implied_speed_kmh",
+    texts = {
+        "resource_access_velocity_30m": "unique_resources_30m / 30D",
+        "distance_from_previous_km": f"coalesce({distance}, 0D)",
+        "implied_speed_kmh": speed_kmh(f"coalesce({distance}, 0D)", "(ts_us - previous.ts_us)"),
+    }
+    return found.selectExpr(
+        *flat.columns, *[f"{texts.get(c, c)} AS {c}" for c in WINDOW_COLUMNS if c in columns]
     )

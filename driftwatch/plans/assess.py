@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.operators.classify import classify
+from driftwatch.operators.deviation import unknown_entities
 from driftwatch.operators.explain import assessments
 from driftwatch.operators.forest import Forest, fit_forest, score_forest
 from driftwatch.operators.matrix import feature_matrix
 from driftwatch.operators.profiles import Baseline, learn_baseline
 from driftwatch.operators.risk import risk_scores
-from driftwatch.operators.skew import HotKey
 
 
 @dataclass(frozen=True)
@@ -57,10 +56,9 @@ def score_events(
     *,
     history: DataFrame | None = None,
     mode: str = "joint",
-    hot: Sequence[HotKey] | str = "auto",
 ) -> DataFrame:
     """Features, forest score, risk and attack type of every event of a known entity."""
-    matrix = feature_matrix(events, model.baseline, history=history, mode=mode, hot=hot)
+    matrix = feature_matrix(events, model.baseline, history=history, mode=mode)
     if model.forest is None:
         return judge(without_forest(matrix))
     return judge(score_forest(matrix, model.forest))
@@ -69,3 +67,8 @@ def score_events(
 def assess(events: DataFrame, model: Model, **options) -> DataFrame:
     """The 14-column assessment of every event of a known entity."""
     return assessments(score_events(events, model, **options))
+
+
+def unassessed(events: DataFrame, model: Model) -> DataFrame:
+    """The events that `assess` has no output for: their entity has no baseline."""
+    return unknown_entities(events, model.baseline.statistics)

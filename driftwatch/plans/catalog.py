@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from driftwatch.functions.geo import haversine_km, speed_kmh
 from driftwatch.operators.budget import alert_budget, top_alerts
 from driftwatch.operators.classify import classify
-from driftwatch.operators.deviation import deviation_features, unknown_entities
+from driftwatch.operators.deviation import deviation_features
 from driftwatch.operators.evaluate import (
     attack_metrics,
     classification_accuracy,
@@ -26,10 +25,22 @@ from driftwatch.operators.ingest import accepted, deduplicate, ingest, quarantin
 from driftwatch.operators.matrix import feature_matrix, missing_values
 from driftwatch.operators.profiles import learn_baseline, profile_sets, profile_statistics, set_sizes
 from driftwatch.operators.records import alert_violations, entity_violations, risk_violations
+from driftwatch.operators.rank import quantile
 from driftwatch.operators.risk import risk_scores
-from driftwatch.operators.sequence import window_features
-from driftwatch.plans.assess import Model, assess, learn, score_events, split_collisions, without_forest
+from driftwatch.operators.sequence import COUNTS, FAN_OUT, TRAVEL, window_features
+from driftwatch.plans.assess import (
+    Model,
+    assess,
+    judge,
+    learn,
+    score_events,
+    split_collisions,
+    unassessed,
+    without_forest,
+)
 from driftwatch.schema import MODEL_FEATURES
+from driftwatch.session import shared_folder, stored
+from driftwatch.sources.models import load_model, save_model
 from driftwatch.sources.payloads import raw_payloads
 from driftwatch.sources.telemetry import (
     SCORE_DAYS,
@@ -80,7 +91,7 @@ def q_event_features(spark, d):
 
 
 def q_event_export(spark, d):
-    return export_events(telemetry(spark, d)).drop("geo_location", "device_fingerprint")
+    return export_events(telemetry(spark, d))
 
 
 def q_profile_stats(spark, d):
@@ -121,22 +132,21 @@ def q_deviation_features(spark, d):
 
 
 def q_unknown_entities(spark, d):
-    # entities first seen after the first profile day have no baseline yet
-    first_day = profile_events(spark, d).filter("day = 0")
-    return unknown_entities(scoring_events(spark, d), profile_statistics(first_day)).select(
-        "event_id", "entity_id"
-    )
+    """Events that cannot be scored when no edge device was learnt."""
+    learnt = learn_baseline(profile_events(spark, d).filter("entity_type <> 'edge_device'"))
+    return unassessed(scoring_events(spark, d), Model(learnt)).select("event_id", "entity_id")
 
 
 # --- windows ----------------------------------------------------------------------------
 
 
 def q_window_counts(spark, d):
-    return window_features(telemetry(spark, d)).select("event_id", "events_10m", "failed_logins_10m")
+    found = window_features(telemetry(spark, d), columns=COUNTS[:2])
+    return found.select("event_id", "events_10m", "failed_logins_10m")
 
 
 def q_window_distinct(spark, d):
-    return window_features(telemetry(spark, d)).selectExpr(
+    return window_features(telemetry(spark, d), columns=(*COUNTS[2:], FAN_OUT)).selectExpr(
         "event_id",
         "unique_resources_30m",
         *_rounded("resource_access_velocity_30m"),
@@ -145,7 +155,7 @@ def q_window_distinct(spark, d):
 
 
 def q_travel_features(spark, d):
-    return window_features(telemetry(spark, d)).selectExpr(
+    return window_features(telemetry(spark, d), columns=TRAVEL).selectExpr(
         "event_id", "round(distance_from_previous_km, 4) AS distance_from_previous_km",
         "round(implied_speed_kmh, 3) AS implied_speed_kmh",
     )
@@ -276,6 +286,37 @@ def q_rule_assessments(spark, d):
     return _assessment_out(assessments(_judged(spark, d)))
 
 
+def q_risk_with_verdict(spark, d):
+    """Rules and a forest verdict together; the verdict is a fixed function of one feature."""
+    verdict = {"ml_anomaly_score": F.expr("(events_10m - 6) / 40D"), "ml_flagged": F.expr("events_10m > 6")}
+    return judge(_matrix(spark, d).withColumns(verdict)).selectExpr(
+        "event_id",
+        "behavioral_contribution",
+        *_rounded("ml_contribution", "risk_score"),
+        "severity",
+        "is_suspicious",
+        _joined("reasons"),
+        "anomaly_type",
+    )
+
+
+def q_score_quantiles(spark, d):
+    """Interpolated quantiles of the risk score, as the forest threshold takes them."""
+    scores = stored(_rule_scores(spark, d).select("risk_score"), "scores")
+    total = scores.count()
+    found = [(q, quantile(scores, "risk_score", q, total)) for q in (0.5, 0.9, 0.99)]
+    return spark.createDataFrame(found, "q double, risk_score double").selectExpr("q", *_rounded("risk_score"))
+
+
+def q_assess_history(spark, d):
+    """Each scoring event against the first seven days, by a rule model stored and loaded again."""
+    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    save_model(Model(_baseline(spark, d)), folder)
+    model = load_model(spark, folder)
+    history = split(telemetry(spark, d), (0, 6))
+    return _assessment_out(assess(scoring_events(spark, d), model, history=history, mode="history_only"))
+
+
 def q_alerts(spark, d):
     return alerts(_judged(spark, d)).selectExpr(
         "alert_id",
@@ -376,8 +417,8 @@ def q_alert_budget(spark, d):
 
 
 def q_alert_budget_wide(spark, d):
-    """A budget beyond the top-k bound, so the cut is found by counting around pivots."""
-    return _budget_out(alert_budget(_rule_scores(spark, d), 0.07, limit=64, pivots=16))
+    """A wider budget, its cut found with fewer pivots and so in more rounds."""
+    return _budget_out(alert_budget(_rule_scores(spark, d), 0.07, pivots=16))
 
 
 def q_top_alerts(spark, d):
@@ -442,12 +483,7 @@ def q_assess_full(spark, d):
 
 def q_stream_assessments(spark, d):
     """The rule assessment of the scoring days, computed from a stream of the event table."""
-    base = spark.conf.get("spark.checkpoint.dir", "")
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir: stream state needs a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="driftwatch-")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     # a glob, since a streaming source takes a plain path for a folder; the table may be a file
     source = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")

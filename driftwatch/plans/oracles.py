@@ -20,7 +20,7 @@ t AS (
     CASE user_id % 10 WHEN 0 THEN 'service_account' WHEN 1 THEN 'edge_device' ELSE 'user' END AS entity_type,
     1704067200000000 + day * 86400000000 + (9 + g % 5 + CASE WHEN h = 0 THEN 11 ELSE 0 END) * 3600000000 + w AS ts_us,
     '10.' || (g // 250) || '.' || (g % 250) || '.' || (k % 25 + 1) AS source_ip,
-    upper(substr(n_name, 1, 2)) AS country_code,
+    upper(substr(n_name, 1, 2)) AS country_code, n_name AS city,
     CAST((nk * 7) % 120 - 60 AS DOUBLE) AS latitude, CAST((nk * 29) % 360 - 180 AS DOUBLE) AS longitude,
     CASE WHEN day >= 7 AND h BETWEEN 90 AND 97 THEN 'vault-' || (k % 4)
          ELSE 'res-' || ((n * 31 + k) % CASE WHEN user_id % 4 = 0 THEN 12 ELSE 4 END) END AS resource_accessed,
@@ -349,7 +349,11 @@ SELECT event_id, entity_id, ts_us, hour_of_day, day_of_week,
 SELECT event_id, entity_id, entity_type, {_ISO} AS timestamp, source_ip, resource_accessed, auth_method, outcome,
   session_duration_seconds,
   CASE command_count WHEN 0 THEN '[]' WHEN 1 THEN '["GET /profile"]' WHEN 2 THEN '["GET /profile","GET /projects"]'
-    ELSE '["GET /profile","GET /projects","POST /run"]' END AS command_sequence, label
+    ELSE '["GET /profile","GET /projects","POST /run"]' END AS command_sequence, label,
+  '{{"country_code":"' || country_code || '","city":"' || city || '","latitude":' || latitude || ',"longitude":' || longitude
+    || '}}' AS geo_location,
+  '{{"fingerprint_id":"' || fingerprint_id || '","operating_system":"' || operating_system || '","browser":"' || browser
+    || '","device_type":"' || device_type || '"}}' AS device_fingerprint
 FROM t
 """,
     "profile_stats": T + """
@@ -382,7 +386,7 @@ FROM dev
 """,
     "unknown_entities": T + """
 SELECT event_id, entity_id FROM s
-WHERE entity_id NOT IN (SELECT entity_id FROM p WHERE day = 0)
+WHERE entity_id NOT IN (SELECT entity_id FROM p WHERE entity_type <> 'edge_device')
 """,
     "window_counts": T + windows("t") + "SELECT event_id, events_10m, failed_logins_10m FROM win",
     "window_distinct": T + windows("t") + """
@@ -415,8 +419,12 @@ f AS (SELECT *, CASE WHEN day_of_week >= 5 THEN 1 ELSE 0 END AS is_weekend,
 SELECT event_id, entity_id FROM s WHERE event_id IN (SELECT event_id FROM t WHERE outcome = 'failure')
 """,
     "missing_values": FEATURES + """
-SELECT count(*) AS n_rows, count(*) FILTER (WHERE hour_deviation_zscore IS NULL OR implied_speed_kmh IS NULL
-  OR latitude IS NULL OR session_duration_seconds IS NULL OR events_10m IS NULL) AS rows_with_missing FROM f
+SELECT count(*) AS n_rows, count(*) FILTER (WHERE (hour_of_day + day_of_week + is_weekend + auth_failed
+  + session_duration_seconds + command_count + latitude + longitude + is_new_ip + is_new_resource + is_new_device
+  + device_fingerprint_mismatch + hour_deviation + hour_deviation_zscore + session_duration_deviation
+  + session_duration_deviation_zscore + events_10m + failed_logins_10m + unique_resources_30m
+  + resource_access_velocity_30m + source_ip_entity_fanout_10m + distance_from_previous_km + implied_speed_kmh)
+  IS NULL) AS rows_with_missing FROM f
 """,
     "risk_scores": RISK + """
 SELECT event_id, behavioral_contribution, ml_contribution, risk_score, severity, is_suspicious FROM r
@@ -504,4 +512,43 @@ FROM v WHERE guard IS NOT NULL OR schema_reasons <> ''
     "deduplicate": T + "SELECT event_id, outcome, seq AS ingest_seq FROM t",
 }
 
+_HISTORY = (
+    T
+    + _HW.replace("t WHERE outcome = 'success'", "t WHERE day <= 6").replace("s WHERE outcome <> 'success'", "s")
+    + DEV.replace("{rows}", "hwin")
+    + """,
+f AS (SELECT *, CASE WHEN day_of_week >= 5 THEN 1 ELSE 0 END AS is_weekend,
+        CASE WHEN outcome = 'failure' THEN 1 ELSE 0 END AS auth_failed FROM dev)
+"""
+)
+ORACLES["assess_history"] = ORACLES["rule_assessments"].replace(FEATURES, _HISTORY)
+# The verdict flags more than 6 events in 10 minutes; its score is a fortieth of the excess.
+_POINTS = "least(p1 + p2 + p3 + p4 + p5 + p6 + p7 + p8 + p9, 80.0::DOUBLE)"
+_VERDICT = CLASS
+for _old, _new in (
+    (
+        "0.0::DOUBLE AS ml_contribution",
+        "CASE WHEN events_10m > 6 THEN least(10.0::DOUBLE + (events_10m - 6) * 2.5::DOUBLE, 20.0::DOUBLE) "
+        "WHEN events_10m >= 5 THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS ml_contribution",
+    ),
+    (f"{_POINTS} AS risk_score", f"least({_POINTS} + ml_contribution, 100.0::DOUBLE) AS risk_score"),
+    ("WHEN behavioral_contribution >=", "WHEN risk_score >="),
+    ("behavioral_contribution >= 30 AS is_suspicious", "risk_score >= 30 AS is_suspicious"),
+    (
+        "CASE WHEN p1 + p2 + p3 + p4 + p5 + p6 + p7 + p8 + p9 = 0\n",
+        "CASE WHEN events_10m > 6 THEN 'Isolation Forest classified the event as statistically anomalous' END,\n"
+        "      CASE WHEN events_10m <= 6 AND p1 + p2 + p3 + p4 + p5 + p6 + p7 + p8 + p9 = 0\n",
+    ),
+):
+    _VERDICT = _VERDICT.replace(_old, _new)
+ORACLES["risk_with_verdict"] = _VERDICT + """
+SELECT event_id, behavioral_contribution, round(ml_contribution, 6) AS ml_contribution,
+  round(risk_score, 6) AS risk_score, severity, is_suspicious, reasons, anomaly_type FROM c
+"""
+ORACLES["score_quantiles"] = RISK + """
+SELECT q, round(risk_score, 6) AS risk_score FROM (
+  SELECT 0.5::DOUBLE AS q, quantile_cont(risk_score, 0.5) AS risk_score FROM r
+  UNION ALL SELECT 0.9::DOUBLE, quantile_cont(risk_score, 0.9) FROM r
+  UNION ALL SELECT 0.99::DOUBLE, quantile_cont(risk_score, 0.99) FROM r)
+"""
 ORACLES["stream_assessments"] = ORACLES["rule_assessments"]

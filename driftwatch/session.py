@@ -1,10 +1,12 @@
-"""Session settings: scale-neutral defaults, and a local session for tests and benchmarks."""
+"""Session settings, a local session for tests and benchmarks, and tables in the shared folder."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,3 +31,24 @@ def local_session(cores: int | str | None = None, app: str = "driftwatch") -> Sp
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; in local mode without one, a temporary folder.
+
+    A cluster without the setting is refused: its executors share no temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", "")
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="driftwatch-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a table of its own in the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

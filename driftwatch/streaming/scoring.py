@@ -4,7 +4,7 @@ Events wait until the watermark (latest event time minus the allowed lateness) h
 them and are then scored in event-time order, so a late but allowed event never changes a
 result that is already out. Each micro-batch scores the events the watermark has just
 passed, against the half hour before them and the last event of each entity. State lives in
-tables under one folder, so hot keys are cut as in batch, nothing has to fit a state store
+tables under one folder, so keys are cut into blocks as in batch, nothing has to fit a state store
 row, and a lost executor or driver only repeats a micro-batch: every output of a batch is
 its own folder, replaced when the batch runs again.
 

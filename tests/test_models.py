@@ -88,13 +88,13 @@ def test_rank_narrowing_is_exact(spark):
     values = sorted(rng.choice([1.0, 2.0, rng.random()]) for _ in range(500))
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
     for rank in (1, 2, 250, 499, 500):
-        assert value_at(df, ["v"], rank, 500, limit=10, pivots=4)[0] == values[rank - 1]
-    assert quantile(df, "v", 0.5, 500, limit=10, pivots=4) == (values[249] + values[250]) / 2
+        assert value_at(df, ["v"], rank, 500, pivots=4)[0] == values[rank - 1]
+    assert quantile(df, "v", 0.5, 500, pivots=4) == (values[249] + values[250]) / 2
 
 
 def test_one_value_everywhere_ends(spark):
     df = spark.range(1000).selectExpr("7D AS v")
-    assert value_at(df, ["v"], 600, 1000, limit=10, pivots=4)[0] == 7.0
+    assert value_at(df, ["v"], 600, 1000, pivots=4)[0] == 7.0
 
 
 def test_budget_cuts_ties_by_id_and_ranks_unusable_scores_last(spark):
@@ -110,14 +110,15 @@ def test_budget_cuts_ties_by_id_and_ranks_unusable_scores_last(spark):
     assert alert_budget(df, 1e-9).first()["alert_count"] == 1
 
 
-def test_budget_beyond_the_limit_equals_the_short_way(spark):
+@pytest.mark.parametrize("pivots", [4, 64])
+def test_budget_equals_sorting_at_any_number_of_pivots(spark, pivots):
     rng = random.Random(5)
     rows = [(rng.choice([0, 0, 0, 35, 35, rng.random() * 100, float("nan")]), None) for _ in range(400)]
+    ranking = sorted(range(400), key=lambda i: (rows[i][0] != rows[i][0], -rows[i][0] if rows[i][0] == rows[i][0] else 0, i))
     df = scored(spark, rows)
-    wide = {r["event_id"] for r in top_alerts(df, 150, limit=10, pivots=4).collect()}
-    short = {r["event_id"] for r in top_alerts(df, 150).collect()}
-    assert wide == short and len(short) == 150
-    assert alert_budget(df, 0.3, limit=10, pivots=4).first() == alert_budget(df, 0.3).first()
+    for k in (1, 150, 399, 400):
+        assert {r["event_id"] for r in top_alerts(df, k, pivots=pivots).collect()} == {f"E{i:04d}" for i in ranking[:k]}
+    assert alert_budget(df, 0.3, pivots=pivots).first()["true_alerts"] == 120
 
 
 @pytest.mark.parametrize("fraction", [0.0, -3.0, 1.0001, 25.0])

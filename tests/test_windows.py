@@ -1,11 +1,10 @@
-"""Window features against brute force, edge cases, and cutting of hot keys."""
+"""Window features against brute force, edge cases, and cutting of keys into blocks."""
 
 import random
 
 import pytest
 
 from driftwatch.operators.sequence import window_features
-from driftwatch.operators.skew import HotKey, find_hot_keys
 from driftwatch.schema import FLAT_COLUMNS
 
 MINUTE = 60_000_000
@@ -84,30 +83,19 @@ def random_events(seed, n, start=0):
     ]
 
 
-HOT = [
-    HotKey("entity_id", "a", 7 * MINUTE),
-    HotKey("entity_id", "b", 45 * MINUTE),
-    HotKey("source_ip", "x", 3 * MINUTE),
-    HotKey("source_ip", "y", 1_000),
-]
-
-
-@pytest.mark.parametrize("hot", [[], HOT], ids=["whole", "cut"])
-def test_joint_equals_brute_force(spark, hot):
+def test_joint_equals_brute_force(spark):
     events = random_events(1, 150)
-    assert measured(features(spark, events, hot=hot)) == brute(events)
+    assert measured(features(spark, events)) == brute(events)
 
 
-@pytest.mark.parametrize("hot", [[], HOT], ids=["whole", "cut"])
-def test_joint_with_history_equals_brute_force(spark, hot):
+def test_joint_with_history_equals_brute_force(spark):
     events, history = random_events(2, 80), random_events(3, 80, start=1000)
-    assert measured(features(spark, events, history, hot=hot)) == brute(events, history)
+    assert measured(features(spark, events, history)) == brute(events, history)
 
 
-@pytest.mark.parametrize("hot", [[], HOT], ids=["whole", "cut"])
-def test_history_only_equals_brute_force(spark, hot):
+def test_history_only_equals_brute_force(spark):
     events, history = random_events(4, 80), random_events(5, 80, start=1000)
-    found = features(spark, events, history, mode="history_only", hot=hot)
+    found = features(spark, events, history, mode="history_only")
     assert measured(found) == brute(events, history, joint=False)
 
 
@@ -150,10 +138,39 @@ def test_modes_are_checked(spark):
         features(spark, [event(1)], mode="history_only")
 
 
-def test_hot_keys_are_found_by_volume(spark):
-    events = [event(i, entity="big" if i % 2 else f"e{i}", minute=i / 10, ip=f"i{i}") for i in range(400)]
-    found = find_hot_keys(table(spark, events), hot_rows=100, one_in=1)
-    assert [(h.kind, h.key) for h in found] == [("entity_id", "big")]
-    assert found[0].slice_us >= MINUTE
-    cut = features(spark, events, hot=found)
-    assert measured(cut) == measured(features(spark, events, hot=[]))
+def test_one_hot_key_over_many_blocks_equals_brute_force(spark):
+    rng = random.Random(6)
+    events = [
+        event(
+            i,
+            minute=rng.choice([30 * rng.randrange(12), 10 * rng.randrange(36), rng.uniform(0, 360)]),
+            us=rng.choice([-1, 0, 1]),
+            resource=f"r{rng.randrange(40)}",
+            outcome=rng.choice(["success", "failure"]),
+            place=(float(rng.randrange(3)), 0.0),
+        )
+        for i in range(300)
+    ]
+    assert measured(features(spark, events)) == brute(events)
+
+
+def test_previous_event_many_blocks_back(spark):
+    far = [event(1, place=(0.0, 0.0)), event(2, minute=-5000, place=(0.0, 10.0)), event(3, minute=9000, place=(0.0, 90.0))]
+    found = features(spark, far)["EVENT_0003"]
+    assert found["distance_from_previous_km"] == pytest.approx(10007.5, abs=0.1)
+
+
+@pytest.mark.parametrize("columns", [NAMES[:2], NAMES[2:3], NAMES[3:], ("implied_speed_kmh",), ()])
+def test_only_wanted_columns_are_computed(spark, columns):
+    events, history = random_events(7, 60), random_events(8, 60, start=1000)
+    whole, part = features(spark, events, history), features(spark, events, history, columns=columns)
+    assert {k: [r[c] for c in columns] for k, r in part.items()} == {k: [r[c] for c in columns] for k, r in whole.items()}
+    assert not (set(NAMES) - set(columns)) & set(next(iter(part.values())).asDict())
+    with pytest.raises(ValueError):
+        window_features(table(spark, events), columns=["other"])
+
+
+def test_counts_need_one_shuffle(spark):
+    plan = window_features(table(spark, random_events(9, 5)), columns=("events_10m",))
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange") == 1
