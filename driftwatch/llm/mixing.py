@@ -97,6 +97,7 @@ def mix_counts(
     docs = docs.drop(*added)
     sized = docs.withColumn("size", word_count(F.col(text)))
     sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
+    sizes = kept(sizes, "mix-sizes")  # one row a source; read several times
     targets = source_targets(sizes, weights, most_repeats).withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     extra = (unit_hash(F.col(key), seed) < rate - F.floor(rate)).cast("long")
