@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftwatch.llm.scratch import kept, least_keys
 from driftwatch.llm.words import Chunk, chunks, mixed, words_of
 
 TERMS = 2048
@@ -130,11 +131,11 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return found
 
 
-def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most ``sample_rows`` rows of ``labelled`` (text, quality), chosen by hash of the text.
+def fit(docs: DataFrame, labelled: DataFrame, text: str = "text") -> Model:
+    """Learn from all rows of ``labelled`` (text, quality), a bounded sample such as ``training_rows`` gives.
 
     Inverse document frequencies are counted over all of ``docs``. The sample bounds what comes to the
-    driver (sample_rows x 2048 counts) and what is broadcast (sample_rows x 48 numbers).
+    driver (rows x 2048 counts) and what is broadcast (rows x 48 numbers).
     """
     frequency = document_frequencies(docs, text)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
@@ -146,13 +147,9 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text", sample_rows: i
                 label = batch.column(1).slice(chunk.first, len(chunk))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), label], ["counts", "quality"])
 
-    chosen = (
-        labelled.where(F.col("quality").isin(0, 1))
-        .select(F.col(text).alias("text"), F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("text", F.lit(SEED)), "text", "quality")
-        .limit(sample_rows)
-    )
+    chosen = labelled.select(F.col(text).alias("text"), F.col("quality").cast("int").alias("quality"))
     rows = chosen.mapInArrow(count, "counts binary, quality int").collect()
+    rows.sort(key=lambda r: (r.counts, r.quality))  # the same model whatever the order of the rows
     votes = np.array([r.quality for r in rows], np.float64)
     if not len(rows):
         return Model(np.zeros((TERMS, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32), votes, 0.5)
@@ -205,10 +202,18 @@ def held_out(key) -> F.Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, quality) of labelled documents that are not held out."""
-    known = labels.select("doc_id", "quality").where(~held_out(F.col("doc_id")))
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality")
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text, quality) of at most ``sample_rows`` labelled documents that are not held out.
+
+    Chosen by hash of the text, equal texts of equal label once. Only hashes are joined with the labels;
+    the hashes chosen, at most ``sample_rows``, are broadcast to the texts.
+    """
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality"))
+    known = known.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text", F.lit(SEED)).alias("key"))
+    keys = kept(keyed.select("doc_id", "key").join(known, "doc_id").select("key", "quality").distinct(), "labelled")
+    chosen = kept(least_keys(keys, keys.count(), sample_rows), "labelled-sample")
+    return keyed.join(F.broadcast(chosen), "key").dropDuplicates(["key", "quality"]).select("text", "quality")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwatch.llm.scratch import kept
+from driftwatch.llm.scratch import kept, least_keys
 
 # The word before, what stands between, and a run of at least 16 characters that keys are made of.
 # It starts where a run starts, and all quantifiers are possessive: the time is linear in the text.
@@ -89,16 +89,18 @@ def _tree_sql(lines: list[tuple[int, str]], names: Sequence[str]) -> str:
 def fit(findings: DataFrame, sample_rows: int = SAMPLE_ROWS) -> str | None:
     """A random forest over labelled findings as a SQL expression over ``f``; None with one label only.
 
-    At most ``sample_rows`` findings, half of each label, chosen by hash of the finding: the documented
-    bound of what the forest is grown from.
+    At most ``sample_rows`` different findings, half of each label, those of least hash: the documented
+    bound of what the forest is grown from. Repeated findings count once, so no frequent one fills it.
     """
-    findings = kept(findings, "labelled-findings")
-    order = [F.xxhash64("value", "word", "between", F.lit(SEED)), F.col("value"), F.col("word"), F.col("between")]
-    half = lambda label: findings.where(F.col("label") == label).orderBy(*order).limit(sample_rows // 2)
-    sample = half(1.0).unionByName(half(0.0)).withColumn("f", features(F.struct("value", "word", "between")))
-    sample = kept(sample.select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)]), "findings")
-    if sample.select("label").distinct().count() < 2:
+    key = F.xxhash64("value", "word", "between", F.lit(SEED)).alias("key")
+    findings = kept(findings.distinct().select("*", key), "labelled-findings")
+    half = sample_rows // 2
+    totals = {r.label: r.n for r in findings.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    parts = [least_keys(findings.where(F.col("label") == label), n, half) for label, n in totals.items()]
+    if len(parts) < 2:
         return None
+    sample = parts[0].unionByName(parts[1]).withColumn("f", features(F.struct("value", "word", "between")))
+    sample = kept(sample.select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)]), "findings")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
     trees: list[list[tuple[int, str]]] = []
