@@ -344,6 +344,16 @@ class Encoder:
         return text[1:] if self.model.dummy_prefix and text[:1] == " " else text
 
 
+_HELD: list[Encoder] = []
+
+
+def held_encoder(model: Model) -> Encoder:
+    """The encoder of a broadcast model, held with its cached segments for the next tasks of this Python worker."""
+    if not _HELD or _HELD[0].model is not model:
+        _HELD[:] = [Encoder(model)]
+    return _HELD[0]
+
+
 def _slices(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
@@ -367,7 +377,7 @@ def encoded(docs: DataFrame, model: Model, text: str = "text", name: str = "ids"
     schema = docs.select("*", F.array().cast("array<int>").alias(name)).schema
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = held_encoder(shared.value)
         for batch in batches:
             done = 0
             for texts in _slices([t or "" for t in batch.column(at).to_pylist()]):
@@ -389,7 +399,7 @@ def decoded(tokens: DataFrame, model: Model, ids: str = "ids", name: str = "text
     schema = tokens.select("*", F.lit("").alias(name)).schema
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = held_encoder(shared.value)
         for batch in batches:
             column = batch.column(at)
             ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype("<i4")
@@ -410,7 +420,7 @@ def round_trips(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     schema = source.select(key, F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"), F.lit(True).alias("round_trip")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
+        encoder = held_encoder(shared.value)
         for batch in batches:
             done = 0
             for texts in _slices(batch.column(1).to_pylist()):
