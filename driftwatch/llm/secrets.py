@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import json
+import random
 import re
+import string
 from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftwatch.llm.scratch import kept, least_keys
 
-# The word before, what stands between, and a run of at least 16 characters that keys are made of.
-# It starts where a run starts, and all quantifiers are possessive: the time is linear in the text.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?:([A-Za-z_]{1,24}+)([^A-Za-z0-9+/_\-]{1,8}+))?+([A-Za-z0-9+/_\-]{16,}+)"
-KEY_WORDS = ("token", "password", "passwd", "secret", "key", "apikey", "api_key", "auth", "bearer", "credential", "pwd")
+KEY_WORDS = ("token", "password", "passwd", "secret", "key", "apikey", "api_key", "auth", "authorization", "bearer", "credential", "pwd")
 KNOWN_FORMATS = (r"AKIA[0-9A-Z]{16}", r"gh[pousr]_[A-Za-z0-9]{36}", r"xox[abp]-[0-9A-Za-z\-]{10,}", r"sk_live_[0-9A-Za-z]{24,}")
+KNOWN = "(?=[Agxs])(?:" + "|".join(KNOWN_FORMATS) + ")"
+# All three patterns have the groups word before, what stands between, and value. Words and gaps are
+# possessive and start where a run starts: the time is linear in the text.
+# What follows a word is looked at before its key words, since few words have an assignment after them.
+# 1. What is assigned to a word that ends in a key word: a quoted run, or one without spaces, of 8 characters or more.
+_WORD = r"""(?<![A-Za-z0-9_\-])([A-Za-z0-9_\-]++)(?=["'`\\)\]}]*+\s*+[=:]|(?<=[aA][rR][eE][rR])\s)(?<=(?:(?<![A-Za-z])|(?<=[a-z0-9])(?=[A-Z]))(?i:""" + "|".join(KEY_WORDS) + "))"
+_ASSIGN = r"""["'`\\)\]}]*+\s*+(?::\s*+[A-Za-z][\w.\[\]|]{0,30}+\s++=|[=:]++>?+)\s*+(?:(?i:bearer|basic|token)\s++)?+"""
+_GIVEN = (
+    r"""(?<=\\")[^"\\\n]{8,}+(?=\\")|(?<=(?<!\\)")(?:[^"\\\n]|\\.){8,}+(?=")|(?<=')(?:[^'\\\n]|\\.){8,}+(?=')|(?<=`)[^`\n]{8,}+(?=`)"""
+    r"""|[^\s"'`<>][^\s"<>]{6,}[^\s"'`<>.,;)\]}]"""
+)
+ASSIGNED = _WORD + r"((?:(?<=(?i:bearer))\s++|" + _ASSIGN + r""")(?:\\?["'`])?+)(""" + _GIVEN + r""")(?:\\?["'`])?+"""
+# 2. A known format anywhere, also inside a run.
+FORMAT = f"()()({KNOWN})"
+# 3. Any other run of at least 16 characters that keys are made of, up to a known format.
+RUN = r"(?<![A-Za-z0-9+/_\-])(?:([A-Za-z_]{1,24}+)([^A-Za-z0-9+/_\-]{1,8}+))?+([A-Za-z0-9+/_\-]{16,}+)"
 # Frequent words and word parts of the languages in the documents.
 DICTIONARY = (
     "the", "and", "that", "this", "with", "for", "was", "are", "have", "from", "you", "not", "tion", "ing", "ment", "able", "ness", "over", "under",
@@ -28,16 +44,41 @@ DICTIONARY = (
 )
 REDACTED = "[SECRET]"
 SAMPLE_ROWS = 20_000
+PLANTED = 100
+PLANTED_FORMS = (
+    'token = "VALUE"', "password = 'VALUE'", "api_key: VALUE", "Authorization: Bearer VALUE", "X-API-Key: VALUE",
+    'db_password = "VALUE"', '"access_token": "VALUE",', "aws_secret_access_key=VALUE",
+)
 TREES, DEPTH, SEED = 20, 5, 7
 THRESHOLD = 0.5
 FEATURES = ("length", "transitions", "digits", "upper", "lower", "hex", "coverage", "slashes", "dashes", "key_word", "assigned", "quoted", "known_format")
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<value, word, between>> of a text's candidates, in order; empty for null."""
-    whole = F.coalesce(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.array().cast("array<string>"))
-    part = lambda m, i: F.regexp_extract(m, f"^{CANDIDATE}$", i)
-    return F.transform(whole, lambda m: F.struct(part(m, 3).alias("value"), F.lower(part(m, 1)).alias("word"), part(m, 2).alias("between")))
+    """array<struct<value, word, between>> of a text's candidates; empty for null.
+
+    Assigned values come first, then known formats in what they leave, then other runs, each in order.
+    Words are in lower case with ``_`` where the case of a name changes (apiKey).
+    """
+
+    def found(where: Column, pattern: str) -> Column:
+        whole = F.coalesce(F.regexp_extract_all(where, F.lit(pattern), F.lit(0)), F.array().cast("array<string>"))
+        part = lambda m, i: F.regexp_extract(m, f"^{pattern}$", i)
+        word = lambda m: F.lower(F.regexp_replace(part(m, 1), "(?<=[a-z0-9])(?=[A-Z])", "_"))
+        return F.transform(whole, lambda m: F.struct(part(m, 3).alias("value"), word(m).alias("word"), part(m, 2).alias("between")))
+
+    others = F.regexp_replace(text, ASSIGNED, "\n")
+    return F.concat(found(text, ASSIGNED), found(others, FORMAT), found(F.regexp_replace(others, KNOWN, "\n"), RUN))
+
+
+def key_word(c: Column) -> Column:
+    """The word before ends in a key word."""
+    return c["word"].rlike("(^|[^a-z])(" + "|".join(KEY_WORDS) + ")$")
+
+
+def assigned(c: Column) -> Column:
+    """An ``=`` or ``:`` stands between, or the word is ``Bearer`` and a space follows."""
+    return c["between"].rlike("[=:]") | (c["word"].rlike("(^|[^a-z])bearer$") & c["between"].rlike(r"^\s"))
 
 
 def features(c: Column) -> Column:
@@ -45,7 +86,6 @@ def features(c: Column) -> Column:
     value, size = c["value"], F.length(c["value"])
     share = lambda pattern: F.regexp_count(value, F.lit(pattern)) / size
     flag = lambda test: F.when(test, 1.0).otherwise(0.0)
-    known = "^(" + "|".join(KNOWN_FORMATS) + ")$"
     uncovered = F.length(F.regexp_replace(F.lower(value), "(?:" + "|".join(DICTIONARY) + ")", ""))
     return F.array(
         size.cast("double"),
@@ -57,22 +97,43 @@ def features(c: Column) -> Column:
         1 - uncovered / size,
         share("/"),
         share("[_-]"),
-        flag(c["word"].rlike("(^|_)(" + "|".join(KEY_WORDS) + ")$")),
-        flag(c["between"].rlike("[=:]")),
+        flag(key_word(c)),
+        flag(assigned(c)),
         flag(c["between"].rlike("[\"'`]")),
-        flag(value.rlike(known)),
+        flag(value.rlike(KNOWN)),
     )
 
 
 def labelled_findings(docs: DataFrame, text: str = "text") -> DataFrame:
     """(value, word, between, label) of all candidates, labelled by format and assignment.
 
-    1: a published key format, or a value with digits that is assigned to a key word; 0: all others.
+    1: holds a published key format, or a value with digits that is assigned to a key word; 0: all others.
     """
-    found = docs.select(F.explode(candidates(F.col(text))).alias("c")).select("c.*")
-    known = F.col("value").rlike("^(" + "|".join(KNOWN_FORMATS) + ")$")
-    given = F.col("word").isin(*KEY_WORDS) & F.col("between").rlike("[=:]") & F.col("value").rlike("[0-9]")
-    return found.withColumn("label", (known | given).cast("double"))
+    found = docs.select(F.explode(candidates(F.col(text))).alias("c"))
+    c = F.col("c")
+    given = key_word(c) & assigned(c) & c["value"].rlike("[0-9]")
+    return found.select("c.*", (c["value"].rlike(KNOWN) | given).cast("double").alias("label"))
+
+
+def planted_texts() -> list[tuple[str, float]]:
+    """(text, label): fixed texts with one secret each, of every form, so that a forest knows forms its corpus lacks."""
+    draw = random.Random(SEED)
+    some = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
+    alphabet = string.ascii_letters + string.digits
+    out = []
+    for i in range(PLANTED):
+        values = (some("0123456789abcdef", 40), some(alphabet, 8 + i % 40), some(string.ascii_lowercase, 6) + some(string.digits, 1 + i % 4) + some("!?#%&*.@-", 1 + i % 3) + some(alphabet, 3), some(alphabet + "+/", 40))
+        value = values[i % len(values)][:-1] + some(string.digits, 1)
+        for form in PLANTED_FORMS:
+            out.append((form.replace("VALUE", value), 1.0))
+    return out
+
+
+def planted(spark: SparkSession) -> DataFrame:
+    """(value, word, between, label) of the planted texts."""
+    rows = json.dumps([{"text": t, "label": y} for t, y in planted_texts()])
+    texts = spark.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<text: string, label: double>>")))
+    return texts.select(F.explode(candidates(F.col("text"))).alias("c"), "label").select("c.*", "label")
 
 
 def _tree_sql(lines: list[tuple[int, str]], names: Sequence[str]) -> str:
@@ -91,6 +152,7 @@ def fit(findings: DataFrame, sample_rows: int = SAMPLE_ROWS) -> str | None:
 
     At most ``sample_rows`` different findings, half of each label, those of least hash: the documented
     bound of what the forest is grown from. Repeated findings count once, so no frequent one fills it.
+    The planted findings come on top, if the corpus has both labels.
     """
     key = F.xxhash64("value", "word", "between", F.lit(SEED)).alias("key")
     findings = kept(findings.distinct().select("*", key), "labelled-findings")
@@ -99,7 +161,8 @@ def fit(findings: DataFrame, sample_rows: int = SAMPLE_ROWS) -> str | None:
     parts = [least_keys(findings.where(F.col("label") == label), n, half) for label, n in totals.items()]
     if len(parts) < 2:
         return None
-    sample = parts[0].unionByName(parts[1]).withColumn("f", features(F.struct("value", "word", "between")))
+    both = parts[0].unionByName(parts[1]).drop("key").unionByName(planted(findings.sparkSession))
+    sample = both.withColumn("f", features(F.struct("value", "word", "between")))
     sample = kept(sample.select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)]), "findings")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
@@ -117,7 +180,7 @@ def scanned(docs: DataFrame, forest: str | None, text: str = "text", threshold:
     """Add ``findings``: array<struct<value, word, between, score, secret>> of every row's whole text.
 
     A row is judged on its own, without a shuffle. Without a forest (only one label was seen) every
-    candidate that the labelling rules call a secret is one. Null and empty texts have no findings; a
+    candidate that the labelling rules call a secret is one. A known format is one always. Null and empty texts have no findings; a
     column of that name is replaced.
     """
     docs = docs.drop("findings")
@@ -126,7 +189,7 @@ def scanned(docs: DataFrame, forest: str | None, text: str = "text", threshold:
     )
     if forest is None:
         forest = "CASE WHEN f[12] > 0 OR (f[9] > 0 AND f[10] > 0 AND f[2] > 0) THEN 1.0D ELSE 0.0D END"
-    score = re.sub(r"\bf\[", "c.f[", forest)
+    score = "CASE WHEN c.f[12] > 0 THEN 1.0D ELSE " + re.sub(r"\bf\[", "c.f[", forest) + " END"
     found = F.expr(f"transform(_c, c -> struct(c.value AS value, c.word AS word, c.between AS between, {score} AS score))")
     judged = F.transform(found, lambda c: F.struct(c["value"], c["word"], c["between"], c["score"], (c["score"] >= threshold).alias("secret")))
     return with_features.withColumn("findings", judged).drop("_c")

@@ -326,6 +326,28 @@ def test_secrets_are_found_and_cut(spark):
     assert secrets.scan(frame(spark, [(1, "nothing here")])).select(F.size("findings")).first()[0] == 0
 
 
+HEX = "3f786850e387550fdab836ed7e6dc881de23001b"
+GHP = "ghp_" + "a1B2c3D4e5F6" * 3
+FORMS = [
+    ('password = "hunter2-9x!Q"', "hunter2-9x!Q"), (f"Authorization: Bearer {HEX}", HEX), (f"X-API-Key: {HEX}", HEX), (f'db_password = "{HEX}"', HEX),
+    (f'access_token: "{HEX}"', HEX), (f'{{"access_token": "{HEX}", "n": 1}}', HEX), (f'export aws_secret_access_key = "{HEX}"', HEX), (f"git clone https://{GHP}@github.com/a/b", GHP),
+    ("DB_PASSWORD=s3cr.t$9 next", "s3cr.t$9"), ('"clientSecret": "Zk4.9_xQ77"', "Zk4.9_xQ77"), (f"my_very_long_service_account_access_token_key: {HEX}", HEX),
+    ('password: str = "p4ss w0rd, 77"', "p4ss w0rd, 77"), (f"curl /api/v1/users/login?access_token={HEX}&x", HEX), ('\\"pwd\\": \\"a.B-c7!d9\\"', "a.B-c7!d9"),
+]
+
+
+@pytest.mark.parametrize("both_labels", [True, False])
+def test_every_form_of_secret_is_cut(spark, both_labels):
+    rows = [(i, f"some words before\n{text}\nand after it") for i, (text, _) in enumerate(FORMS)]
+    if both_labels:
+        rows += [(100 + i, f"monkey: {'walking' * 3}{i} the tokens and keyboard = {i}, longwordswithoutanykey") for i in range(20)]
+    got = secrets.scan(frame(spark, rows)).withColumn("text", secrets.redacted(F.col("text"), F.col("findings"))).collect()
+    texts = {r.doc_id: r.text for r in got}
+    for i, (_, value) in enumerate(FORMS):
+        assert value not in texts[i] and "[SECRET]" in texts[i] and texts[i].startswith("some words before\n") and texts[i].endswith("\nand after it"), texts[i]
+    assert all(texts[i] == t for i, t in rows if i >= 100)
+
+
 # top-k
 
 
