@@ -7,6 +7,7 @@ import random
 import re
 import string
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -43,6 +44,10 @@ DICTIONARY = (
     "he", "in", "er", "an", "re", "on", "at", "en", "nd", "ti", "es", "or", "te", "of", "ed", "is", "it", "al", "ar", "st", "to", "nt", "ng", "se", "ha", "as", "ou", "io", "le", "ve",
 )
 REDACTED = "[SECRET]"
+PASSWORD_WORD = "(password|passwd|secret|credential|pwd)$"
+PLACEHOLDER = r"(?i)^(<.*>|\$\{.*|\{\{.*|%.*%|your[_-].*|.*(example|placeholder|changeme|xxxx).*)$"
+REPEATED = r"^(.{1,4})\1{2,}+.{0,3}$"
+WORDS = r"^[/.]?(?:[A-Za-z][a-z]*+|[0-9]{1,4}+)(?:[/_. \-]++(?:[A-Za-z][a-z]*+|[0-9]{1,4}+))++/?$"
 SAMPLE_ROWS = 20_000
 PLANTED = 100
 PLANTED_FORMS = (
@@ -51,7 +56,9 @@ PLANTED_FORMS = (
 )
 TREES, DEPTH, SEED = 20, 5, 7
 THRESHOLD = 0.5
-FEATURES = ("length", "transitions", "digits", "upper", "lower", "hex", "coverage", "slashes", "dashes", "key_word", "assigned", "quoted", "known_format")
+FEATURES = ("length", "transitions", "digits", "upper", "lower", "hex", "coverage", "slashes", "dashes", "key_word", "assigned", "quoted", "known_format", "password_word", "placeholder", "repeated")
+# The features that decide which findings are judged at all (key_word, assigned, known_format) are not the forest's.
+JUDGED_BY = tuple(i for i, n in enumerate(FEATURES) if n not in ("key_word", "assigned", "known_format"))
 
 
 def candidates(text: Column) -> Column:
@@ -101,22 +108,44 @@ def features(c: Column) -> Column:
         flag(assigned(c)),
         flag(c["between"].rlike("[\"'`]")),
         flag(value.rlike(KNOWN)),
+        flag(c["word"].rlike(PASSWORD_WORD)),
+        flag(value.rlike(PLACEHOLDER)),
+        flag(value.rlike(REPEATED)),
     )
 
 
+def nominated(c: Column) -> Column:
+    """A value with digits that is assigned to a key word."""
+    return key_word(c) & assigned(c) & c["value"].rlike("[0-9]")
+
+
+def ordinary(c: Column) -> Column:
+    """Shapes of values that are no secrets: placeholders, repeated patterns, paths, dictionary words with numbers.
+
+    Passwords may be words, so the last two do not count after a word for one.
+    """
+    f = features(c)
+    words = c["value"].rlike(WORDS) & (c["value"].contains("/") | (f[FEATURES.index("coverage")] >= 0.5)) & ~c["word"].rlike(PASSWORD_WORD)
+    return c["value"].rlike(PLACEHOLDER) | c["value"].rlike(REPEATED) | words
+
+
 def labelled_findings(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(value, word, between, label) of all candidates, labelled by format and assignment.
+    """(value, word, between, label) of the candidates that have a label.
 
-    1: holds a published key format, or a value with digits that is assigned to a key word; 0: all others.
+    1: holds a published key format, or is nominated by its key word and not of an ordinary shape; 0: an
+    ordinary shape, nominated or not. Other candidates without a key word may be keys or not: no label.
     """
     found = docs.select(F.explode(candidates(F.col(text))).alias("c"))
     c = F.col("c")
-    given = key_word(c) & assigned(c) & c["value"].rlike("[0-9]")
-    return found.select("c.*", (c["value"].rlike(KNOWN) | given).cast("double").alias("label"))
+    label = F.when(c["value"].rlike(KNOWN), 1.0).when(ordinary(c), 0.0).when(nominated(c), 1.0)
+    return found.select("c.*", label.alias("label")).where("label is not null")
 
 
 def planted_texts() -> list[tuple[str, float]]:
-    """(text, label): fixed texts with one secret each, of every form, so that a forest knows forms its corpus lacks."""
+    """(text, label): fixed texts with one assigned value each, secret or not, so that a forest knows forms its corpus lacks.
+
+    Their labels follow from how the value was made, not from a rule over its features.
+    """
     draw = random.Random(SEED)
     some = lambda letters, n: "".join(draw.choice(letters) for _ in range(n))
     alphabet = string.ascii_letters + string.digits
@@ -126,6 +155,14 @@ def planted_texts() -> list[tuple[str, float]]:
         value = values[i % len(values)][:-1] + some(string.digits, 1)
         for form in PLANTED_FORMS:
             out.append((form.replace("VALUE", value), 1.0))
+        word = lambda: draw.choice([w for w in DICTIONARY if len(w) > 3])
+        number = str(i % 50)
+        path = "/".join(word() for _ in range(2 + i % 3)) + f"/{word()}_{number}"
+        plain = (path, f"/{path}/", f"{word()}-{word()}-{word()}-{number}", f"{word()}_{number}_{word()}_{word()}", some("ab01xyz", 2 + i % 2) * (4 + i % 3))
+        empty = (f"<your-{word()}-{number}>", f"${{KEY_{number}_{word()}}}", f"your_{word()}_key_{number}", "xxxxxxxx" + number, f"example-{word()}-{number}")
+        for form in PLANTED_FORMS:
+            password = re.search("password", form)
+            out.append((form.replace("VALUE", draw.choice(empty if password else plain + empty)), 0.0))
     return out
 
 
@@ -144,27 +181,27 @@ def _tree_sql(lines: list[tuple[int, str]], names: Sequence[str]) -> str:
     feature, bound = re.match(r"If \(feature (\d+) <= ([^)]+)\)", line).groups()
     other = next(i for i in range(1, len(lines)) if lines[i][0] == depth)
     yes, no = _tree_sql(lines[1:other], names), _tree_sql(lines[other + 1 :], names)
-    return yes if yes == no else f"CASE WHEN f[{feature}] <= {float(bound)!r}D THEN {yes} ELSE {no} END"
+    return yes if yes == no else f"CASE WHEN f[{JUDGED_BY[int(feature)]}] <= {float(bound)!r}D THEN {yes} ELSE {no} END"
 
 
 def fit(findings: DataFrame, sample_rows: int = SAMPLE_ROWS) -> str | None:
-    """A random forest over labelled findings as a SQL expression over ``f``; None with one label only.
+    """A random forest over labelled findings as a SQL expression over ``f``; None without any.
 
     At most ``sample_rows`` different findings, half of each label, those of least hash: the documented
     bound of what the forest is grown from. Repeated findings count once, so no frequent one fills it.
-    The planted findings come on top, if the corpus has both labels.
+    The planted findings come on top.
     """
     key = F.xxhash64("value", "word", "between", F.lit(SEED)).alias("key")
     findings = kept(findings.distinct().select("*", key), "labelled-findings")
     half = sample_rows // 2
     totals = {r.label: r.n for r in findings.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = [least_keys(findings.where(F.col("label") == label), n, half) for label, n in totals.items()]
-    if len(parts) < 2:
+    if not parts:
         return None
-    both = parts[0].unionByName(parts[1]).drop("key").unionByName(planted(findings.sparkSession))
+    both = reduce(DataFrame.unionByName, parts).drop("key").unionByName(planted(findings.sparkSession))
     sample = both.withColumn("f", features(F.struct("value", "word", "between")))
     sample = kept(sample.select("label", *[F.col("f")[i].alias(n) for i, n in enumerate(FEATURES)]), "findings")
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(sample)
+    rows = VectorAssembler(inputCols=[FEATURES[i] for i in JUDGED_BY], outputCol="features").transform(sample)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED).fit(rows)
     trees: list[list[tuple[int, str]]] = []
     for line in forest.toDebugString.split("\n")[1:]:
@@ -179,17 +216,16 @@ def fit(findings: DataFrame, sample_rows: int = SAMPLE_ROWS) -> str | None:
 def scanned(docs: DataFrame, forest: str | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``findings``: array<struct<value, word, between, score, secret>> of every row's whole text.
 
-    A row is judged on its own, without a shuffle. Without a forest (only one label was seen) every
-    candidate that the labelling rules call a secret is one. A known format is one always. Null and empty texts have no findings; a
+    A row is judged on its own, without a shuffle. Known formats are secrets always; of
+    the values with digits assigned to a key word those that the forest keeps (all without a forest). Null and empty texts have no findings; a
     column of that name is replaced.
     """
     docs = docs.drop("findings")
     with_features = docs.withColumn(
         "_c", F.transform(candidates(F.col(text)), lambda c: F.struct(c["value"], c["word"], c["between"], features(c).alias("f")))
     )
-    if forest is None:
-        forest = "CASE WHEN f[12] > 0 OR (f[9] > 0 AND f[10] > 0 AND f[2] > 0) THEN 1.0D ELSE 0.0D END"
-    score = "CASE WHEN c.f[12] > 0 THEN 1.0D ELSE " + re.sub(r"\bf\[", "c.f[", forest) + " END"
+    own = re.sub(r"\bf\[", "c.f[", forest or "1.0D")
+    score = f"CASE WHEN c.f[12] > 0 THEN 1.0D WHEN c.f[9] > 0 AND c.f[10] > 0 AND c.f[2] > 0 THEN {own} ELSE 0.0D END"
     found = F.expr(f"transform(_c, c -> struct(c.value AS value, c.word AS word, c.between AS between, {score} AS score))")
     judged = F.transform(found, lambda c: F.struct(c["value"], c["word"], c["between"], c["score"], (c["score"] >= threshold).alias("secret")))
     return with_features.withColumn("findings", judged).drop("_c")
