@@ -14,12 +14,14 @@ SCALE = 64
 QUERY_EVERY = 20
 BLOCK_ROWS = 65_536
 SHARE_ROWS = 512
-LIMIT = 1 << 27  # components are held within +-LIMIT, so that scores fit into 64 bits
+LIMIT = 1 << 61  # differences of components within +-LIMIT fit into 64 bits; others are refused
 
 
 def quantised(vector: str = "embedding", scale: int = SCALE):
-    """floor(scale * x) of each component as a double first, as an array of longs."""
-    held = lambda x: F.greatest(F.least(F.floor(F.lit(float(scale)) * x.cast("double")), F.lit(LIMIT)), F.lit(-LIMIT))
+    """floor(scale * x) of each component as a double first, as an array of longs; fails beyond +-LIMIT."""
+    scaled = lambda x: F.lit(float(scale)) * x.cast("double")
+    refused = F.raise_error(F.lit(f"a component is beyond {LIMIT // scale} and cannot be quantised exactly")).cast("long")
+    held = lambda x: F.when(F.abs(scaled(x)) <= float(LIMIT), F.floor(scaled(x))).otherwise(refused)
     return F.transform(F.col(vector), held)
 
 
@@ -127,7 +129,10 @@ def best_in_block(block: Slices, ids: np.ndarray, query: np.ndarray, own: int, k
     rows = block.rows_of(sure)
     # rows left at the border have equal scores, and the smallest ids come first
     rows = np.concatenate([rows, block.rows_of(tied)[: max(0, k - len(rows))]])
-    return rows, [x + constant for x in block.values(slices, rows)]
+    scores = [x + constant for x in block.values(slices, rows)]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in scores):
+        raise OverflowError(f"a score of query {own} does not fit into 64 bits")
+    return rows, scores
 
 
 def _matrix(column: pd.Series, width: int | None = None) -> np.ndarray:
@@ -154,14 +159,14 @@ def top_k(
     Rows with the query's own id are no candidates; ties go to smaller ids; fewer candidates give
     fewer rows. Null ids, and vectors that are null, empty or hold null or non-finite components, take
     no part; a shorter vector counts as padded with zeros. Of repeated ids each row is a candidate, and
-    equal queries are asked once. No rows or no queries give no rows.
+    equal queries are asked once. Components beyond LIMIT and scores beyond 64 bits are errors. No rows or no queries give no rows.
 
     Rows are dealt by hash into blocks of about ``block_rows`` and queries into shares of about
     ``share_rows``; every share meets every block once, by their numbers. A block answers with k rows a
     query, and a query's answers are merged by a window.
     """
     vectors = lambda df: df.where(usable(vector) & F.col(key).isNotNull()).select(
-        F.col(key).cast("long").alias("id"), quantised(vector, scale).cast("array<int>").alias("v")
+        F.col(key).cast("long").alias("id"), quantised(vector, scale).alias("v")
     )
     indexed, asked = vectors(rows), vectors(queries).distinct()
     blocks = max(1, -(-indexed.count() // block_rows))
