@@ -103,3 +103,36 @@ SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
 """
 ORACLES["op3_jaccard"] = OP3
+
+OP12 = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT doc_id, part, text, regexp_extract_all(text, '{WORD}') AS ws,
+                  min(doc_id) OVER (PARTITION BY text) AS first FROM d),
+     l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+     f AS (SELECT part, concat(CASE WHEN len(ws) < 100 THEN 'A' END,
+                               CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' END,
+                               CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) THEN 'C' END,
+                               CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' END,
+                               CASE WHEN w.doc_id > first THEN 'E' END) AS fails, good, toxic
+           FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+     c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+     x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+     o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+     s AS (SELECT filter_order, step, filter_order[step] AS own, filter_order[1:step - 1] AS before
+           FROM o, (SELECT unnest(range(1, 6)) AS step)),
+     r AS (SELECT part, filter_order, step, own,
+                  sum(n) FILTER (translate(fails, before || own, '') = fails) AS kept,
+                  sum(n) FILTER (translate(fails, before, '') = fails AND contains(fails, own)) AS removed,
+                  sum(n) FILTER (translate(fails, before, '') <> fails AND contains(fails, own)) AS redundant,
+                  sum(n) FILTER (fails = own) AS unique_fails,
+                  sum(good) FILTER (translate(fails, before, '') = fails AND contains(fails, own)) AS good_lost,
+                  sum(toxic) FILTER (translate(fails, before, '') = fails AND contains(fails, own)) AS toxic_lost
+           FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley
+FROM r
+"""
+ORACLES["op12_audit"] = OP12

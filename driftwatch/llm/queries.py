@@ -7,9 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwatch.llm import jaccard, mixing, pieces, quality, repeats, rules, secrets, topk, urls, warc
+from driftwatch.llm import (
+    audit,
+    jaccard,
+    mixing,
+    packing,
+    periods,
+    pieces,
+    quality,
+    repeats,
+    rules,
+    secrets,
+    topk,
+    urls,
+    warc,
+)
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+WORD_TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+PLANTED_EVERY = 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +93,46 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where(F.col("vec_id") % topk.QUERY_EVERY == 0))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces_ = packing.packed(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+    crc = F.crc32("ids").alias("ids_crc32")
+    return pieces_.select(F.col("id").alias("doc_id"), "start", "length", crc, "doc_tokens", "sequence_id", "offset")
+
+
+def op12_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with a periodic tail in the texts of one document in ten, chosen by its id's CRC."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(1))
+    hit = h % PLANTED_EVERY == 0
+    parts = docs.select("doc_id", "text", h.alias("h"), F.when(hit, F.regexp_extract_all("text", F.lit(audit.WORD), F.lit(0))).alias("words"))
+    g, n = F.floor(F.col("h") / PLANTED_EVERY), F.coalesce(F.size("words"), F.lit(0))
+    placed = parts.withColumn("n", n).withColumn("a", F.when(n > 0, g % n).cast("int"))
+    rest = F.col("n") - F.col("a")
+    placed = placed.withColumn("p", (1 + F.floor(rest / (3 + g % 8))).cast("int"))
+    times = F.ceil(rest / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times)), F.lit(1), rest)
+    made = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("a")), tail)
+    return placed.select("doc_id", F.when(F.col("n") > 0, made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.periodic_runs(planted(table(spark, sf_dir, "documents"))).withColumn("best", periods.longest())
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_quality": op2_quality,
@@ -88,4 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rules": op8_rules,
     "op9_secrets": op9_secrets,
     "op10_topk": op10_topk,
+    "op11_packing": op11_packing,
+    "op12_audit": op12_audit,
+    "op13_runs": op13_runs,
 }
