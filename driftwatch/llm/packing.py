@@ -11,7 +11,10 @@ needed and memory does not grow with the input or with the share of one source.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+import re
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ SLICE_BYTES = 4 << 20
 CACHE_WORDS = 400_000
 CACHED_BYTES = 64  # longer words are encoded each time
 SEQUENCE_BITS = 40  # sequences a task may number
+WORD = re.compile("[^ \\t-\\r]+")
+OTHER = re.compile("[^ \\t-\\r!-~\u00c0-\u00ff]")  # beyond the characters that lower case and composition leave one each
 
 _SCHEMA = pa.schema(
     [
@@ -40,34 +45,82 @@ _SCHEMA = pa.schema(
 )
 
 
-class WordIds(dict):
-    """The ids of a word as bytes (little-endian 32-bit), encoded when first asked for.
+class Held(dict):
+    """Values by key, made when first asked for, in two generations.
 
-    No token of these vocabularies holds white space, and the ASCII spaces part words before anything
-    else looks at the text, so a text's ids are those of its words in turn. Words are held in two
-    generations: when the young one is full it becomes the old one, and words still in use move back.
+    When the young generation is full it becomes the old one; keys still in use move back.
     """
 
-    def __init__(self, path: str, most: int = CACHE_WORDS):
-        from tokenizers import Tokenizer
-
-        self.path, self.most, self.old = path, most, {}
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, make: Callable, most: int):
+        self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            found = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-            ids = np.array(found, "<u4").tobytes()
-        if len(word) <= CACHED_BYTES:
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= CACHED_BYTES:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
-            self[word] = ids
-        return ids
+            self[key] = value
+        return value
+
+
+class WordIds:
+    """The ids of texts as bytes (little-endian 32-bit), by a tokenizer file.
+
+    A tokenizer that rewrites white space to spaces, lowers case and drops the spaces gives a text the
+    ids of its words in turn. Text of ASCII and Latin-1 letters is lowered and split here by the file's
+    own pattern, and the parts, which are held, go to the file's merges; words with other characters go
+    through the whole tokenizer, and so do whole texts if the file works in another way.
+    """
+
+    def __init__(self, path: str, most: int = CACHE_WORDS):
+        from tokenizers import Tokenizer
+
+        self.path = path
+        self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec["normalizer"] or {}).get("normalizers") or []
+        cuts = (spec["pre_tokenizer"] or {}).get("pretokenizers") or []
+        self.by_words = (
+            [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]
+            and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+            and [x["type"] for x in cuts] == ["Split", "ByteLevel"]
+            and (cuts[0]["behavior"], cuts[0]["invert"]) == ("Removed", True)
+            and (cuts[1]["add_prefix_space"], cuts[1]["use_regex"]) == (False, False)
+            and not any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"])
+        )
+        if self.by_words:
+            # of the characters met here, these are all letters and all digits
+            pattern = cuts[0]["pattern"]["Regex"].replace(r"\p{L}", "a-z\u00df-\u00f6\u00f8-\u00ff").replace(r"\p{N}", "0-9")
+            self.split = re.compile(pattern).findall
+            shown = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.bytes_shown = {c: "".join(x for x, _ in shown(chr(c))) for c in range(0xC0, 0x100)}
+            self.special = [x["content"] for x in spec["added_tokens"]]
+            self.parts, self.others = Held(self._part, most), Held(self._whole, most // 8)
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.translate(self.bytes_shown)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        if not self.by_words:
+            return self._whole(text)
+        special = any(x in text for x in self.special)
+        if not special and not OTHER.search(text):
+            return b"".join(map(self.parts.__getitem__, self.split(text.lower())))
+        out: list[bytes] = []
+        for word in WORD.findall(text):
+            if OTHER.search(word) or special and any(x in word for x in self.special):
+                out.append(self.others[word])
+            else:
+                out += map(self.parts.__getitem__, self.split(word.lower()))
+        return b"".join(out)
 
 
 _HELD: list[WordIds] = []
@@ -179,8 +232,7 @@ def packed(
     A document's tokens are the ids of its text and then ``end``; every token lies in one piece. ``ids``
     holds a piece's tokens as little-endian 32-bit numbers. Pieces of a sequence lie side by side from
     offset 0 and fill at most ``window``; a sequence has at most ``room`` places left, or a power of two
-    of tokens. ``tokenizer`` names a tokenizer file whose tokens hold no ASCII white space, at the
-    same place on every executor.
+    of tokens. ``tokenizer`` names a tokenizer file, at the same place on every executor.
 
     Null and empty texts are one token, ``end``. Null keys stay null and repeated rows are documents of
     their own. Other columns are left out, whatever their names. No rows give no rows. Texts are never

@@ -124,6 +124,25 @@ def test_words_pass_through_both_generations():
     assert [small.encode(text) + np.array([1], "<u4").tobytes()] == ids_of([text])
 
 
+def test_ids_of_every_kind_of_character():
+    rng = random.Random(6)
+    words = packing.WordIds(WORD_TOKENIZER, most=500)
+    assert words.by_words
+    plain = [chr(c) for c in [*range(0x20, 0x7F), *range(0xC0, 0x100)]]
+    wild = [*map(chr, range(0x80, 0x180)), *"\x1c\x1d\x85\xa0\u0301\u0307\u2003\u2028\u3000ΑΣσςİıﬁ한글漢字🙂\u200b"]
+    texts = ["".join(rng.choice(plain) for _ in range(60)) for _ in range(300)]
+    texts += ["".join(rng.choice(plain + wild) for _ in range(40)) for _ in range(300)]
+    texts += ["a<|endoftext|>B", "<|startoftext|>", "<|endoftext|", "don't we'LL I'M", "x\u0301 \u0301y", "1234abc56"]
+    assert [words.encode(t) + np.array([1], "<u4").tobytes() for t in texts] == ids_of(texts)
+
+
+def test_a_tokenizer_that_works_otherwise_gets_whole_texts():
+    path = WORD_TOKENIZER.replace("word_bpe_49k", "byte_bpe_50k")
+    words = packing.WordIds(path)
+    assert not words.by_words
+    assert words.encode("a  b\n c") == np.array(Tokenizer.from_file(path).encode("a  b\n c", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_query_over_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     want = dict(zip([r.doc_id for r in docs], ids_of([r.text for r in docs])))
