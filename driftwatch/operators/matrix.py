@@ -39,7 +39,11 @@ def feature_matrix(
             raise ValueError("no events to build features for: the table is empty")
         statistics = baseline.statistics if isinstance(baseline, Baseline) else baseline
         require_known(events, statistics)
-    rows = window_features(events, history, mode=mode)
+    return matrix_of_windows(window_features(events, history, mode=mode), baseline)
+
+
+def matrix_of_windows(rows: DataFrame, baseline: Baseline | DataFrame) -> DataFrame:
+    """The matrix of flat events that have their window columns already."""
     if isinstance(baseline, Baseline):
         rows = deviation_features(rows, baseline)
     else:

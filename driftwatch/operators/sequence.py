@@ -211,12 +211,15 @@ def window_features(
         found = _follow(found, ADDRESS_TRAIL, history_only)
     elif found is rows:
         found = rows.filter("wanted")
+    return with_derived(found, flat.columns, columns)
+
+
+def with_derived(found: DataFrame, keep: Sequence[str], columns: Sequence[str] = WINDOW_COLUMNS) -> DataFrame:
+    """The wanted window columns, from counts and the place of the previous event."""
     distance = haversine_km("previous.latitude", "previous.longitude", "latitude", "longitude")
     texts = {
         "resource_access_velocity_30m": "unique_resources_30m / 30D",
         "distance_from_previous_km": f"coalesce({distance}, 0D)",
         "implied_speed_kmh": speed_kmh(f"coalesce({distance}, 0D)", "(ts_us - previous.ts_us)"),
     }
-    return found.selectExpr(
-        *flat.columns, *[f"{texts.get(c, c)} AS {c}" for c in WINDOW_COLUMNS if c in columns]
-    )
+    return found.selectExpr(*keep, *[f"{texts.get(c, c)} AS {c}" for c in WINDOW_COLUMNS if c in columns])

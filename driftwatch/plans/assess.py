@@ -58,7 +58,11 @@ def score_events(
     mode: str = "joint",
 ) -> DataFrame:
     """Features, forest score, risk and attack type of every event of a known entity."""
-    matrix = feature_matrix(events, model.baseline, history=history, mode=mode)
+    return judge_matrix(feature_matrix(events, model.baseline, history=history, mode=mode), model)
+
+
+def judge_matrix(matrix: DataFrame, model: Model) -> DataFrame:
+    """Forest score (if the model has a forest), risk and attack type of feature rows."""
     if model.forest is None:
         return judge(without_forest(matrix))
     return judge(score_forest(matrix, model.forest))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftwatch.functions.clock import DAY_US
 from driftwatch.functions.geo import haversine_km, speed_kmh
 from driftwatch.operators.budget import alert_budget, top_alerts
 from driftwatch.operators.classify import classify
@@ -38,11 +39,12 @@ from driftwatch.plans.assess import (
     unassessed,
     without_forest,
 )
-from driftwatch.schema import MODEL_FEATURES
+from driftwatch.schema import FLAT_COLUMNS, MODEL_FEATURES, flat_events
 from driftwatch.session import shared_folder, stored
 from driftwatch.sources.models import load_model, save_model
 from driftwatch.sources.payloads import raw_payloads
 from driftwatch.sources.telemetry import (
+    EPOCH_US,
     SCORE_DAYS,
     profile_events,
     scoring_events,
@@ -50,7 +52,14 @@ from driftwatch.sources.telemetry import (
     telemetry,
     training_events,
 )
-from driftwatch.streaming.scoring import flush, results, score_stream
+from driftwatch.streaming.scoring import (
+    close_input,
+    outputs,
+    results,
+    run_available,
+    score_stream,
+    window_stream,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -481,20 +490,78 @@ def q_assess_full(spark, d):
 # --- streaming --------------------------------------------------------------------------
 
 
-def q_stream_assessments(spark, d):
-    """The rule assessment of the scoring days, computed from a stream of the event table."""
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+def _stream(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
+    """A folder for a stream's tables, and the event table as a stream."""
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     # a glob, since a streaming source takes a plain path for a folder; the table may be a file
     source = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
-    events = split(telemetry(spark, d, source), SCORE_DAYS)
-    model = Model(_baseline(spark, d))
-    query = score_stream(events, model, folder, f"{folder}/checkpoint")
-    query.trigger(availableNow=True).start().awaitTermination()
-    flush(spark, model, folder)
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", telemetry(spark, d, source)
+
+
+def q_stream_assessments(spark, d):
+    """The rule assessment of the scoring days, computed from a stream of the event table."""
+    folder, events = _stream(spark, d)
+    save_model(Model(_baseline(spark, d)), f"{folder}/model")
+    model = load_model(spark, f"{folder}/model")
+    for closed in (False, True):
+        if closed:
+            close_input(spark, folder)
+        run_available(score_stream(split(events, SCORE_DAYS), model, folder, f"{folder}/checkpoint"))
     return _assessment_out(results(spark, folder))
 
 
+def _fed(spark: SparkSession, parts: list[DataFrame]) -> str:
+    """Feed parts of the events to a stream one after another; the folder of its tables.
+
+    Each part is a run of its own that goes on from the checkpoint; the last run finds nothing new.
+    """
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    schema = parts[0].schema
+    for step in range(len(parts) + 2):
+        if step < len(parts):
+            parts[step].write.parquet(f"{folder}/in/{step}")
+        elif step == len(parts):
+            close_input(spark, folder)
+        source = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        run_available(window_stream(source, folder, f"{folder}/checkpoint"))
+    return folder
+
+
+def q_stream_windows(spark, d):
+    """Window columns of all events, which arrive in five parts of two days."""
+    events = flat_events(telemetry(spark, d).drop("day", "user_id")).select(*FLAT_COLUMNS)
+    bounds = [day * DAY_US + EPOCH_US for day in (2, 4, 6, 8)]
+    cuts = [-(2**62), *bounds, 2**62]
+    parts = [events.filter(f"ts_us >= {a} AND ts_us < {b}") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return outputs(spark, _fed(spark, parts), "windows").selectExpr(
+        "event_id",
+        "events_10m",
+        "failed_logins_10m",
+        "unique_resources_30m",
+        "source_ip_entity_fanout_10m",
+        "round(distance_from_previous_km, 4) AS distance_from_previous_km",
+        "round(implied_speed_kmh, 3) AS implied_speed_kmh",
+    )
+
+
+def q_stream_late(spark, d):
+    """Every fiftieth event of the first six days comes after the others, every seventh later one twice."""
+    events = flat_events(telemetry(spark, d)).select(*FLAT_COLUMNS)
+    held, start = "seq % 50 = 0", EPOCH_US + 6 * DAY_US
+    early, rest = events.filter(f"ts_us < {start}"), events.filter(f"ts_us >= {start}")
+    folder = _fed(
+        spark,
+        [
+            early.filter(f"NOT ({held})"),
+            rest.unionByName(early.filter(held)).unionByName(rest.filter("seq % 7 = 0")),
+        ],
+    )
+    counted = ("event_id", "events_10m", "unique_resources_30m", "source_ip_entity_fanout_10m")
+    nothing = [f"cast(NULL AS bigint) AS {c}" for c in counted[1:]]
+    late = outputs(spark, folder, "late").selectExpr("event_id", *nothing, "true AS late")
+    return outputs(spark, folder, "windows").selectExpr(*counted, "false AS late").unionByName(late)
+
+
 QUERIES: dict[str, Query] = {
     name.removeprefix("q_"): query for name, query in list(globals().items()) if name.startswith("q_")
 }

@@ -552,3 +552,17 @@ SELECT q, round(risk_score, 6) AS risk_score FROM (
   UNION ALL SELECT 0.99::DOUBLE, quantile_cont(risk_score, 0.99) FROM r)
 """
 ORACLES["stream_assessments"] = ORACLES["rule_assessments"]
+ORACLES["stream_windows"] = T + windows("t") + """
+SELECT event_id, events_10m, failed_logins_10m, unique_resources_30m, source_ip_entity_fanout_10m,
+  round(distance_from_previous_km, 4) AS distance_from_previous_km, round(implied_speed_kmh, 3) AS implied_speed_kmh
+FROM win
+"""
+# late: held back beyond the watermark (milliseconds) that the other events of the first six days set
+ORACLES["stream_late"] = T + """,
+x AS (SELECT *, ts_us < 1704067200000000 + 6 * 86400000000 AS early, seq % 50 = 0 AS held FROM t),
+m AS (SELECT max(ts_us) // 1000 - 600000 AS passed FROM x WHERE early AND NOT held),
+y AS (SELECT x.*, coalesce(early AND held AND ts_us // 1000 + 1 <= passed, false) AS late FROM x, m),
+k AS (SELECT * FROM y WHERE NOT late)""" + windows("k") + """
+SELECT event_id, events_10m, unique_resources_30m, source_ip_entity_fanout_10m, false AS late FROM win
+UNION ALL SELECT event_id, NULL, NULL, NULL, true FROM y WHERE late
+"""

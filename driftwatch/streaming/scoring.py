@@ -1,18 +1,14 @@
-"""Continuous scoring: the batch plan over micro-batches, with tables as state.
-
-Events wait until the watermark (latest event time minus the allowed lateness) has passed
-them and are then scored in event-time order, so a late but allowed event never changes a
-result that is already out. Each micro-batch scores the events the watermark has just
-passed, against the half hour before them and the last event of each entity. State lives in
-tables under one folder, so keys are cut into blocks as in batch, nothing has to fit a state store
-row, and a lost executor or driver only repeats a micro-batch: every output of a batch is
-its own folder, replaced when the batch runs again.
-
-    events/batch=N/day=D    accepted events as they arrived
-    last_seen/batch=N       last scored event per entity
-    assessments/batch=N     results
-    late/batch=N            events behind the watermark
-    progress/batch=N        the watermark, written last
+"""Continuous scoring: windows from the engine's keyed state, then the batch plan per micro-batch.
+
+The engine keeps watermark, offsets and state in its checkpoint. An event is scored once the
+watermark (latest event time minus the allowed lateness) has passed it, so a late but allowed event
+never changes a result that is already out. Every output of a micro-batch is its own folder and is
+replaced when the batch runs again, so a restart adds nothing twice.
+
+    parts/batch=N         what the keyed state gave out
+    assessments/batch=N   results
+    unknown/batch=N       events whose entity has no baseline
+    late/batch=N          events behind the watermark when their micro-batch began
 """
 
 from __future__ import annotations
@@ -21,109 +17,81 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from driftwatch.functions.clock import DAY_US, MINUTE_US
+from driftwatch.operators.deviation import unknown_entities
 from driftwatch.operators.explain import assessments
-from driftwatch.operators.ingest import deduplicate
-from driftwatch.operators.sequence import THIRTY_MINUTES
-from driftwatch.plans.assess import Model, score_events
+from driftwatch.operators.matrix import matrix_of_windows
+from driftwatch.operators.sequence import with_derived
+from driftwatch.plans.assess import Model, judge_matrix
 from driftwatch.schema import FLAT_COLUMNS, flat_events
+from driftwatch.streaming.windows import LATE, merged_parts, payload_of, window_parts
+
+CLOSING_US = 253_402_300_000_000_000  # the end of year 9999: a marker at this time lets every event out
+
+
+def _write(df: DataFrame, folder: str, table: str, batch_id: int) -> DataFrame:
+    path = f"{folder}/{table}/batch={batch_id}"
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _markers(spark: SparkSession, schema, folder: str) -> DataFrame:
+    """A stream of rows that carry nothing but a time; its folder is made on first use."""
+    path = f"{folder}/markers"
+    spark.createDataFrame([], schema).write.mode("append").parquet(path)
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def _parts(events: DataFrame, folder: str, lateness_minutes: int) -> tuple[DataFrame, object]:
+    flat = flat_events(events).select(*FLAT_COLUMNS)
+    together = flat.unionByName(_markers(events.sparkSession, flat.schema, folder))
+    return window_parts(together, lateness_minutes), flat.schema
+
+
+def window_stream(events: DataFrame, folder: str, checkpoint: str, *, lateness_minutes: int = 10) -> DataStreamWriter:
+    """Writer of the window columns of a stream of events, to `windows` and `late` under `folder`."""
+    parts, flat = _parts(events, folder, lateness_minutes)
 
-FLUSH = 2**62  # batch number of the final flush
-
-
-def _progress(spark: SparkSession, folder: str, batch_id: int) -> tuple[int | None, int | None]:
-    """(last batch, watermark) before this batch; None at the start."""
-    try:
-        done = spark.read.parquet(f"{folder}/progress")
-    except Exception as error:  # nothing written yet
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        return None, None
-    row = done.filter(f"batch < {batch_id}").agg(F.max("batch"), F.max("watermark")).first()
-    return row[0], row[1]
-
-
-def _write(df: DataFrame, folder: str, table: str, batch_id: int, *partition: str) -> None:
-    writer = df.write.mode("overwrite")
-    if partition:
-        writer = writer.partitionBy(*partition)
-    writer.parquet(f"{folder}/{table}/batch={batch_id}")
-
-
-def _between(events: DataFrame, low: int | None, high: int) -> DataFrame:
-    """Events in (low, high]; the day bounds prune partitions."""
-    events = events.filter(f"ts_us <= {high} AND day <= {high // DAY_US}")
-    return events if low is None else events.filter(f"ts_us > {low} AND day >= {low // DAY_US}")
-
-
-def _last_events(events: DataFrame) -> DataFrame:
-    """Last event per entity; of timestamp peers the first in arrival order."""
-    row = f"struct({', '.join(FLAT_COLUMNS)})"
-    latest = events.groupBy("entity_id").agg(
-        F.expr(f"min(struct(-ts_us AS age, seq AS order, {row} AS row))").alias("latest")
-    )
-    return latest.select("latest.row.*")
-
-
-def _score_up_to(
-    spark: SparkSession, folder: str, model: Model, batch_id: int, high: int
-) -> None:
-    """Score what lies between the previous watermark and `high`."""
-    last, low = _progress(spark, folder, batch_id)
-    seen = spark.read.parquet(f"{folder}/events").filter(f"batch <= {batch_id}")
-    ready = deduplicate(_between(seen, low, high).select(*FLAT_COLUMNS, "batch"), "batch").drop("batch")
-    known = ready
-    history = None
-    if last is not None:
-        recent = _between(seen, low - THIRTY_MINUTES, low).select(*FLAT_COLUMNS)
-        before = spark.read.parquet(f"{folder}/last_seen/batch={last}")
-        known = ready.unionByName(before)
-        # a re-delivered event that was already scored counts once
-        history = deduplicate(
-            recent.unionByName(before.filter(f"ts_us <= {low - THIRTY_MINUTES}")), "seq"
-        )
-    scored = assessments(score_events(ready, model, history=history, mode="joint"))
-    _write(scored, folder, "assessments", batch_id)
-    _write(_last_events(known), folder, "last_seen", batch_id)
-
-
-def _step(model: Model, folder: str, lateness_us: int):
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        flat = flat_events(batch).selectExpr(*FLAT_COLUMNS, f"cast(ts_us div {DAY_US} AS int) AS day")
-        _, low = _progress(spark, folder, batch_id)
-        late = flat.filter("false") if low is None else flat.filter(f"ts_us <= {low}")
-        on_time = flat if low is None else flat.filter(f"ts_us > {low}")
-        _write(on_time, folder, "events", batch_id, "day")
-        _write(late, folder, "late", batch_id)
-        latest = (
-            spark.read.schema(on_time.schema)
-            .parquet(f"{folder}/events/batch={batch_id}")
-            .agg(F.max("ts_us"))
-            .first()[0]
-        )
-        if latest is None:
-            return
-        high = max(low if low is not None else latest - lateness_us, latest - lateness_us)
-        _score_up_to(spark, folder, model, batch_id, high)
-        _write(spark.createDataFrame([(high,)], "watermark bigint"), folder, "progress", batch_id)
-
-    return step
-
-
-def score_stream(
-    events: DataFrame, model: Model, folder: str, checkpoint: str, *, lateness_minutes: int = 10
-) -> DataStreamWriter:
+        stored = _write(batch, folder, "parts", batch_id)
+        _write(with_derived(merged_parts(stored, flat), FLAT_COLUMNS), folder, "windows", batch_id)
+        _write(payload_of(stored, LATE, flat), folder, "late", batch_id)
+
+    return parts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def score_stream(events: DataFrame, model: Model, folder: str, checkpoint: str, *, lateness_minutes: int = 10) -> DataStreamWriter:
     """Writer that scores a stream of events into tables under `folder` (shared storage)."""
-    step = _step(model, folder, lateness_minutes * MINUTE_US)
-    return events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    parts, flat = _parts(events, folder, lateness_minutes)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        stored = _write(batch, folder, "parts", batch_id)
+        rows = with_derived(merged_parts(stored, flat), FLAT_COLUMNS)
+        scored = judge_matrix(matrix_of_windows(rows, model.baseline), model)
+        _write(assessments(scored), folder, "assessments", batch_id)
+        unknown = unknown_entities(rows.select(*FLAT_COLUMNS), model.baseline.statistics)
+        _write(unknown.select(*FLAT_COLUMNS), folder, "unknown", batch_id)
+        _write(payload_of(stored, LATE, flat), folder, "late", batch_id)
+
+    return parts.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+
+
+def run_available(writer: DataStreamWriter) -> None:
+    """Take all input there is, in micro-batches, and stop."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def close_input(spark: SparkSession, folder: str) -> None:
+    """Mark the input as closed: the next run lets every waiting event out, and later ones are late."""
+    path = f"{folder}/markers"
+    schema = spark.read.parquet(path).schema
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema if f.name != "ts_us"]
+    spark.range(1).select(F.lit(CLOSING_US).alias("ts_us"), *blank).select(*schema.names).write.mode("append").parquet(path)
 
 
-def flush(spark: SparkSession, model: Model, folder: str) -> None:
-    """Score the events still waiting, once the input is closed."""
-    latest = spark.read.parquet(f"{folder}/events").agg(F.max("ts_us")).first()[0]
-    _score_up_to(spark, folder, model, FLUSH, latest)
+def outputs(spark: SparkSession, folder: str, table: str) -> DataFrame:
+    """One output table of all micro-batches so far, without the batch column."""
+    return spark.read.parquet(f"{folder}/{table}").drop("batch")
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/assessments").drop("batch")
+    return outputs(spark, folder, "assessments")
