@@ -23,6 +23,7 @@ from driftwatch.operators.rank import quantile
 from driftwatch.schema import MODEL_FEATURES
 
 MAX_SAMPLE = 256
+MAX_TREES = 10_000  # nodes of all trees come to the driver and go to every task: 5 million at most
 MARGIN = 1.5
 CONSTANT = 1e-7  # a feature that varies less than this within a node is not split on
 _EULER = 0.5772156649
@@ -55,6 +56,8 @@ def check_parameters(contamination: float, n_estimators: int) -> None:
         raise ValueError("the share of outliers has to lie above 0 and not above 0.5")
     if n_estimators <= 0:
         raise ValueError("a forest needs one tree at least")
+    if n_estimators > MAX_TREES:
+        raise ValueError(f"a forest of more than {MAX_TREES} trees does not fit into a task")
 
 
 @dataclass(frozen=True)
@@ -237,6 +240,55 @@ def raw_scores(matrix: DataFrame, forest: Forest) -> DataFrame:
     return matrix.withColumn("raw_score", score(columns))
 
 
+def walked_paths(matrix: DataFrame, feature: list[list[int]], cut: list[list[float]], path: list[list[float]], height: int) -> DataFrame:
+    """Add `mean_path`, walking the trees in expressions alone, without a Python worker.
+
+    Trees are complete heaps as `_tables` makes them, held as arrays in one broadcast row: slot 0 is the root, a value
+    above the cut goes to slot 2 i + 2, any other to 2 i + 1, and after `height` steps `path` holds the length.
+    """
+    trees, slots = len(feature), len(feature[0])
+    flat = lambda rows: [x for row in rows for x in row]
+    held = matrix.sparkSession.createDataFrame(
+        [(flat(feature), flat(cut), flat(path))], "tree_feature array<int>, tree_cut array<double>, tree_path array<double>"
+    )
+    values = "array(" + ", ".join(f"cast({c} AS double)" for c in MODEL_FEATURES) + ")"
+    step = f"2 * slot + 1 + IF(tree_values[tree_feature[t * {slots} + slot]] > tree_cut[t * {slots} + slot], 1, 0)"
+    leaf = f"aggregate(sequence(1, {height}), 0, (slot, level) -> {step})"
+    total = f"aggregate(sequence(0, {trees - 1}), 0D, (sum, t) -> sum + tree_path[t * {slots} + {leaf}])"
+    return (
+        matrix.selectExpr("*", f"{values} AS tree_values")
+        .crossJoin(F.broadcast(held))  # one row, bounded by MAX_TREES
+        .selectExpr(*matrix.columns, f"{total} / {trees} AS mean_path")
+    )
+
+
+def walked_scores(matrix: DataFrame, forest: Forest) -> DataFrame:
+    """Add `raw_score` as `raw_scores` does, by `walked_paths`."""
+    feature, cut, path, height = _tables(forest.nodes.toPandas())
+    found = walked_paths(matrix, feature.tolist(), cut.tolist(), path.tolist(), height)
+    expected = average_path(forest.sample)
+    score = f"power(2D, -mean_path / {expected}D)" if expected > 0 else "0.5D"
+    return found.selectExpr(*matrix.columns, f"{score} AS raw_score")
+
+
+def tree_checks(nodes: DataFrame) -> DataFrame:
+    """(tree_id, roots, leaf_rows, deepest, unbalanced): what must hold of every tree.
+
+    One root that no node points to, leaf sizes that sum to the sample, a bounded depth, and no inner
+    node whose size differs from its children's together.
+    """
+    children = nodes.selectExpr("tree_id", "node_id AS parent", "size AS parent_size", "explode(array(left, right)) AS node_id").filter("node_id IS NOT NULL")
+    linked = nodes.join(children, ["tree_id", "node_id"], "left")
+    sums = linked.filter("parent IS NOT NULL").groupBy("tree_id", "parent").agg(F.expr("any_value(parent_size) <> sum(size)").alias("differs"))
+    wrong = sums.groupBy("tree_id").agg(F.expr("count_if(differs)").alias("unbalanced"))
+    per_tree = linked.groupBy("tree_id").agg(
+        F.expr("count_if(parent IS NULL)").alias("roots"),
+        F.expr("sum(IF(feature IS NULL, size, 0))").alias("leaf_rows"),
+        F.expr("max(depth)").alias("deepest"),
+    )
+    return per_tree.join(wrong, "tree_id", "left").selectExpr("tree_id", "roots", "leaf_rows", "deepest", "coalesce(unbalanced, 0) AS unbalanced")
+
+
 def score_forest(matrix: DataFrame, forest: Forest) -> DataFrame:
     """Add `ml_anomaly_score` (above 0 is anomalous) and `ml_flagged`."""
     if not forest.is_fitted:

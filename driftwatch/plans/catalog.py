@@ -21,7 +21,7 @@ from driftwatch.operators.evaluate import (
 )
 from driftwatch.operators.event_features import event_features, export_events
 from driftwatch.operators.explain import alerts, assessments, explain
-from driftwatch.operators.forest import score_forest
+from driftwatch.operators.forest import fit_forest, score_forest, tree_checks, walked_paths
 from driftwatch.operators.ingest import accepted, deduplicate, ingest, quarantined
 from driftwatch.operators.matrix import feature_matrix, missing_values
 from driftwatch.operators.profiles import learn_baseline, profile_sets, profile_statistics, set_sizes
@@ -33,7 +33,6 @@ from driftwatch.plans.assess import (
     Model,
     assess,
     judge,
-    learn,
     score_events,
     split_collisions,
     unassessed,
@@ -41,7 +40,7 @@ from driftwatch.plans.assess import (
 )
 from driftwatch.schema import FLAT_COLUMNS, MODEL_FEATURES, flat_events
 from driftwatch.session import shared_folder, stored
-from driftwatch.sources.models import load_model, save_model
+from driftwatch.sources.models import load_model, save_model, store_baseline
 from driftwatch.sources.payloads import raw_payloads
 from driftwatch.sources.telemetry import (
     EPOCH_US,
@@ -88,8 +87,10 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
     return classify(_rule_scores(spark, d))
 
 
-def _learned(spark: SparkSession, d: str):
-    return learn(profile_events(spark, d), training_events(spark, d))
+def _learned(spark: SparkSession, d: str) -> Model:
+    """A model whose baseline is stored, so that training and scoring both read what was learnt once."""
+    baseline = store_baseline(_baseline(spark, d), f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex}")
+    return Model(baseline, fit_forest(feature_matrix(training_events(spark, d), baseline)))
 
 
 # --- events and baselines ---------------------------------------------------------------
@@ -478,6 +479,43 @@ def q_forest_scores(spark, d):
     )
 
 
+# features whose values are whole or fixed numbers: a comparison with a cut is exact everywhere
+WALKED = (
+    "hour_of_day",
+    "day_of_week",
+    "session_duration_seconds",
+    "command_count",
+    "latitude",
+    "longitude",
+    "events_10m",
+    "failed_logins_10m",
+    "unique_resources_30m",
+    "source_ip_entity_fanout_10m",
+)
+
+
+def q_forest_walk(spark, d):
+    """Mean path of every scoring event through twelve trees whose cuts follow from the features' ranges."""
+    matrix = stored(_matrix(spark, d).select("event_id", *MODEL_FEATURES), "matrix")
+    ends = matrix.agg(*[F.struct(F.min(c), F.max(c)).alias(c) for c in WALKED]).first()
+    trees, height = 12, 5
+    slots = range(2 ** (height + 1) - 1)
+    at = [[(7 * t + 3 * i) % len(WALKED) for i in slots] for t in range(trees)]
+    share = [[(31 * t + 17 * i) % 101 / 101.0 for i in slots] for t in range(trees)]
+    low_high = [tuple(ends[c]) for c in WALKED]
+    cut = [[low_high[f][0] + (low_high[f][1] - low_high[f][0]) * s for f, s in zip(fs, ss, strict=True)] for fs, ss in zip(at, share, strict=True)]
+    feature = [[MODEL_FEATURES.index(WALKED[f]) for f in fs] for fs in at]
+    path = [[(i % 7 + t) / 2.0 for i in slots] for t in range(trees)]
+    return walked_paths(matrix, feature, cut, path, height).selectExpr("event_id", *_rounded("mean_path"))
+
+
+def q_forest_nodes(spark, d):
+    """Every tree of a fitted forest has one root, holds its whole sample, and is no deeper than allowed."""
+    return tree_checks(_learned(spark, d).forest.nodes).selectExpr(
+        "tree_id", "roots", "leaf_rows", "deepest <= 8 AS bounded", "unbalanced"
+    )
+
+
 def q_forest_metrics(spark, d):
     scored = score_events(scoring_events(spark, d), _learned(spark, d))
     return detector_metrics(scored, "ml_flagged")

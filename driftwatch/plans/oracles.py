@@ -566,3 +566,23 @@ k AS (SELECT * FROM y WHERE NOT late)""" + windows("k") + """
 SELECT event_id, events_10m, unique_resources_30m, source_ip_entity_fanout_10m, false AS late FROM win
 UNION ALL SELECT event_id, NULL, NULL, NULL, true FROM y WHERE late
 """
+_WALKED = (
+    "[hour_of_day, day_of_week, session_duration_seconds, command_count, latitude, longitude, events_10m, "
+    "failed_logins_10m, unique_resources_30m, source_ip_entity_fanout_10m]::DOUBLE[]"
+)
+ORACLES["forest_walk"] = FEATURES.replace("WITH src", "WITH RECURSIVE src", 1) + f""",
+v AS (SELECT event_id, {_WALKED} AS x FROM f),
+ends AS (SELECT i, min(x[i + 1]) AS low, max(x[i + 1]) AS high FROM v, (SELECT unnest(range(0, 10)) AS i) GROUP BY i),
+cuts AS (SELECT t, slot, (7 * t + 3 * slot) % 10 AS i, low + (high - low) * (((31 * t + 17 * slot) % 101) / 101.0::DOUBLE) AS cut
+         FROM (SELECT unnest(range(0, 12)) AS t), (SELECT unnest(range(0, 31)) AS slot), ends WHERE ends.i = (7 * t + 3 * slot) % 10),
+walk AS (SELECT event_id, x, t, 0 AS level, 0::BIGINT AS slot FROM v, (SELECT unnest(range(0, 12)) AS t)
+         UNION ALL
+         SELECT event_id, x, w.t, level + 1, 2 * w.slot + 1 + CASE WHEN x[i + 1] > cut THEN 1 ELSE 0 END
+         FROM walk w JOIN cuts c ON c.t = w.t AND c.slot = w.slot WHERE level < 5)
+SELECT event_id, round(sum((slot % 7 + t) / 2.0::DOUBLE) / 12, 6) AS mean_path FROM walk WHERE level = 5 GROUP BY event_id
+"""
+ORACLES["forest_nodes"] = T + """,
+m AS (SELECT count(*) AS n FROM t WHERE day BETWEEN 4 AND 6 AND entity_id IN (SELECT entity_id FROM p))
+SELECT tree_id::INT AS tree_id, 1::BIGINT AS roots, least(n, 256)::BIGINT AS leaf_rows, true AS bounded, 0::BIGINT AS unbalanced
+FROM m, (SELECT unnest(range(0, 200)) AS tree_id)
+"""

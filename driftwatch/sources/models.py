@@ -20,8 +20,7 @@ def save_model(model: Model, folder: str) -> None:
     ``forest`` holds the nodes and ``facts`` one row with sample and threshold; without a forest ``facts``
     has no rows. ``facts`` is written last, so a half-written model cannot be loaded.
     """
-    for field in fields(Baseline):
-        getattr(model.baseline, field.name).write.parquet(f"{folder}/{field.name}")
+    store_baseline(model.baseline, folder)
     forest = model.forest
     if forest is not None:
         forest.nodes.write.parquet(f"{folder}/forest")
@@ -37,6 +36,14 @@ def load_model(spark: SparkSession, folder: str) -> Model:
     return Model(Baseline(**tables), Forest(spark.read.parquet(f"{folder}/forest"), facts["sample"], facts["threshold"]))
 
 
+def store_baseline(baseline: Baseline, folder: str) -> Baseline:
+    """Write the baseline tables once and read them back, so that what uses them does not learn them again."""
+    spark = baseline.statistics.sparkSession
+    for field in fields(Baseline):
+        getattr(baseline, field.name).write.parquet(f"{folder}/{field.name}")
+    return Baseline(**{f.name: spark.read.parquet(f"{folder}/{f.name}") for f in fields(Baseline)})
+
+
 def read_events(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """A table of security events (``parquet`` or ``json`` lines) under the event schema."""
     return spark.read.schema(EVENT_SCHEMA).format(form).load(path)

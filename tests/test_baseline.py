@@ -11,6 +11,7 @@ from driftwatch.operators.deviation import (
 )
 from driftwatch.operators.matrix import check_columns, check_values, feature_matrix
 from driftwatch.operators.profiles import fits_arrays, learn_baseline, profiles_with_sets
+from driftwatch.sources.models import store_baseline
 from driftwatch.sources.telemetry import profile_events, scoring_events
 
 AT = {c.split()[0]: i for i, c in enumerate(SCHEMA.split(", "))}
@@ -117,3 +118,34 @@ def test_matrix_checks(spark):
         check_columns(matrix.withColumn("latitude", matrix["latitude"].cast("string")))
     with pytest.raises(ValueError, match="missing"):
         check_values(matrix.selectExpr(*[c if c != "latitude" else "double('NaN') AS latitude" for c in matrix.columns]))
+
+
+def rounded(df):
+    names = [f"round({c}, 6) AS {c}" if t == "double" else c for c, t in df.dtypes]
+    return df.selectExpr(*names)
+
+
+@pytest.mark.parametrize("share", [1, 3, 10**6])
+def test_busy_entities_are_dealt_into_shares(spark, sf_dir, tmp_path, share):
+    """However many shares an entity has, the result is that of the arrays; the events are exchanged once."""
+    period = profile_events(spark, sf_dir)
+    baseline = store_baseline(learn_baseline(period), str(tmp_path / "baseline"))
+    scoring_events(spark, sf_dir).write.parquet(str(tmp_path / "events"))
+    events = spark.read.parquet(str(tmp_path / "events"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = deviation_features(events, baseline, rows_per_share=share)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(str, rounded(found).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert got == sorted(map(str, rounded(deviation_features_from_arrays(events, profiles_with_sets(period))).collect()))
+
+
+def test_absent_values_are_new(spark):
+    known = event(1)
+    now = table(spark, [known]).selectExpr("* EXCEPT (source_ip, resource_accessed)", "cast(NULL AS string) AS source_ip", "cast(NULL AS string) AS resource_accessed")
+    found = deviation_features(now, learned(spark, [known])).first()
+    assert (found["is_new_ip"], found["is_new_resource"], found["is_new_device"]) == (1, 1, 0)

@@ -1,4 +1,4 @@
-"""Forest, ranking, budget, metrics, geometry and stream parity."""
+"""Forest, ranking, budget, metrics, geometry and trees as data."""
 
 import math
 import random
@@ -8,12 +8,22 @@ import pytest
 from driftwatch.functions.geo import haversine_km, speed_kmh
 from driftwatch.operators.budget import alert_budget, top_alerts
 from driftwatch.operators.evaluate import attack_metrics, classification_accuracy, detector_metrics, require_rows
-from driftwatch.operators.explain import assessments
-from driftwatch.operators.forest import Forest, average_path, fit_forest, score_forest
+from driftwatch.operators.forest import (
+    FOREST_SCHEMA,
+    MAX_TREES,
+    Forest,
+    average_path,
+    check_parameters,
+    fit_forest,
+    raw_scores,
+    score_forest,
+    tree_checks,
+    walked_scores,
+)
+from driftwatch.operators.matrix import feature_matrix
 from driftwatch.operators.profiles import learn_baseline
 from driftwatch.operators.rank import quantile, value_at
-from driftwatch.plans.assess import Model, score_events
-from driftwatch.schema import MODEL_FEATURES, flat_events
+from driftwatch.schema import MODEL_FEATURES
 from driftwatch.sources.telemetry import profile_events, scoring_events
 
 # --- forest -----------------------------------------------------------------------------
@@ -176,3 +186,25 @@ def test_distance_and_speed(spark):
     assert (row["none"], row["unknown"], row["speed"], row["still"]) == (0.0, None, 200.0, 0.0)
     with pytest.raises(Exception, match="positive"):
         spark.range(1).selectExpr(f"{speed_kmh('1D', '-id', strict=True)} AS s").collect()
+
+
+# --- trees as data ----------------------------------------------------------------------
+
+
+def test_expressions_walk_as_python_does(spark, sf_dir):
+    baseline = learn_baseline(profile_events(spark, sf_dir))
+    matrix = feature_matrix(scoring_events(spark, sf_dir), baseline)
+    forest = fit_forest(matrix, n_estimators=10)
+    got = {r["event_id"]: r["raw_score"] for r in walked_scores(matrix, forest).collect()}
+    want = {r["event_id"]: r["raw_score"] for r in raw_scores(matrix, forest).collect()}
+    assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_damaged_trees_are_found(spark):
+    rows = [(0, 0, "a", 1.0, 1, 2, 5, 0), (0, 1, None, None, None, None, 3, 1), (0, 2, None, None, None, None, 1, 1), (0, 7, None, None, None, None, 2, 3)]
+    assert tuple(tree_checks(spark.createDataFrame(rows, FOREST_SCHEMA)).first()) == (0, 2, 6, 3, 1)
+
+
+def test_forests_are_bounded():
+    with pytest.raises(ValueError, match="does not fit"):
+        check_parameters(0.1, MAX_TREES + 1)
