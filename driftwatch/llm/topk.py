@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -168,7 +166,9 @@ def top_k(
     vectors = lambda df: df.where(usable(vector) & F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("id"), quantised(vector, scale).alias("v")
     )
-    indexed, asked = vectors(rows), vectors(queries).distinct()
+    indexed = vectors(rows)
+    # a mark of the whole query, so that blocks of different widths answer the same one
+    asked = vectors(queries).distinct().withColumn("ask", F.xxhash64("v"))
     blocks = max(1, -(-indexed.count() // block_rows))
     shares = max(1, -(-asked.count() // share_rows))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -183,9 +183,8 @@ def top_k(
             ids = left["id"].to_numpy(np.int64)
             block = Slices(_matrix(left["v"]))
             weights = _matrix(right["v"], block.dimensions)
-            for own, query in zip(right["id"].tolist(), weights, strict=True):
+            for own, ask, query in zip(right["id"].tolist(), right["ask"].tolist(), weights, strict=True):
                 at, scores = best_in_block(block, ids, query, own, k)
-                ask = zlib.crc32(query.tobytes())
                 found += [(own, ask, int(ids[i]), s) for i, s in zip(at, scores, strict=True)]
         return pd.DataFrame(found, columns=["query_id", "ask", "vec_id", "score"])
 

@@ -19,3 +19,15 @@ def test_what_64_bits_cannot_hold_is_refused(spark, large):
     df = spark.createDataFrame([(20, [large]), (1, [large])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="cannot be quantised|64 bits"):
         topk.top_k(df, df.where("vec_id = 20")).collect()
+
+
+def test_ragged_vectors_get_k_rows_a_query(spark):
+    """Blocks of different widths cut a query differently, and still answer one query."""
+    rows = [(i, [float((i * 7 + j) % 5) for j in range(2 if i % 3 else 6)]) for i in range(40)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.top_k(frame, frame.where("vec_id % 4 = 0"), k=3, scale=1, block_rows=2).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for i, q in rows[::4]:
+        scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i)[:3]
+        assert sorted(got[i]) == [(n, j, int(-s)) for n, (s, j) in enumerate(scores, 1)]
