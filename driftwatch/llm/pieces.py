@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 SLICE_CHARS = 4 << 20
-CACHE_SEGMENTS = 400_000
+CACHE_SEGMENTS = 300_000  # in each of two generations
 LONG = 128  # characters from which a segment is contracted with a heap instead of in rounds
 OTHER = 0xFFFF
 NONE = -1e30
@@ -120,6 +120,7 @@ class Encoder:
         # a word can be encoded alone if no piece goes on beyond it into the next one's space
         self.split = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in found)
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         shown = [p.replace(SPACE, " ").encode() if ok else b"" for p, ok in zip(model.pieces, model.normal, strict=True)]
         for byte, i in enumerate(model.byte_ids):
             shown[i] = bytes([byte])
@@ -331,9 +332,15 @@ class Encoder:
         wanted = set()
         for p in parts:
             wanted.update(p)
-        new = [s for s in wanted if s not in self.cache]
-        if len(self.cache) + len(new) > CACHE_SEGMENTS:
-            self.cache, new = {}, list(wanted)
+        if len(self.cache) > CACHE_SEGMENTS:
+            self.cache, self.old = {}, self.cache
+        new = []
+        for s in wanted.difference(self.cache):
+            ids = self.old.get(s)
+            if ids is None:
+                new.append(s)
+            else:  # still in use: it lives on in the young generation
+                self.cache[s] = ids
         if new:
             self.learn(new)
         look = self.cache.__getitem__
