@@ -18,11 +18,10 @@ LEAST_WORDS = 20
 MOST_REPEATED_PERCENT = 30
 GUARD_WORDS = 50  # shorter texts have too rough a histogram to be judged by it
 COMMON_SHARE = 0.001  # a word is common from this share of its language's words on: 1,000 a language at most
-LANGUAGE_SHARE = 0.01  # a language has its own reference from this share of all words on: 100 at most
+MOST_LANGUAGES = 20_000  # more references than this are refused: they go to every task
 MOST_CLASS_DISTANCE = 0.27
 MOST_WORD_DISTANCE = 0.5
 CLASSES = ("lower", "upper", "digit", "space", "stop", "symbol", "other")
-ALL = "*"  # the reference of all languages together
 
 _CLASS = np.full(256, 6, np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = 0
@@ -147,27 +146,31 @@ def reference_counts(docs: DataFrame, text: str = "text", lang: str = "lang") ->
     return counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
 
 
-def references(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, dict[str, dict[int, float]]]:
-    """Shares of character classes and of common words, for every larger language and for all together.
+def references(
+    docs: DataFrame,
+    text: str = "text",
+    lang: str = "lang",
+    common_share: float = COMMON_SHARE,
+    least_words: int = GUARD_WORDS,
+) -> dict[str, dict[str, dict[int, float]]]:
+    """Shares of character classes and of common words, for every language of at least ``least_words`` words.
 
-    Counts cover all documents; what comes back is bounded by the two shares (100 languages, 1,000
-    common words each).
+    Counts cover all documents. A language brings back its common words alone, 1 / ``common_share``
+    at most. More than MOST_LANGUAGES languages are an error, since no language may be left out.
     """
     counts = kept(reference_counts(docs, text, lang), "word-counts")
     totals = counts.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
-    every = counts.groupBy("kind").agg(F.sum("n").alias("all"))
-    large = totals.join(F.broadcast(every), "kind").where(F.col("total") >= LANGUAGE_SHARE * F.col("all"))
+    named = totals.where((F.col("kind") == "word") & (F.col("total") >= least_words)).select("lang")
+    if named.limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages have references")
+    large = totals.join(F.broadcast(named), "lang")
     own = counts.join(F.broadcast(large), ["lang", "kind"]).where(
-        (F.col("kind") == "class") | (F.col("n") >= COMMON_SHARE * F.col("total"))
+        (F.col("kind") == "class") | (F.col("n") >= common_share * F.col("total"))
     )
-    own = own.select("lang", "kind", "item", "n", "total")
-    pooled = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).join(F.broadcast(every), "kind")
-    pooled = pooled.where((F.col("kind") == "class") | (F.col("n") >= COMMON_SHARE * F.col("all")))
-    pooled = pooled.select(F.lit(ALL).alias("lang"), "kind", "item", "n", F.col("all").alias("total"))
     out: dict[str, dict[str, dict[int, float]]] = {}
-    for row in own.unionByName(pooled).collect():
+    for row in own.collect():
         out.setdefault(row.lang, {"class": {}, "word": {}})[row.kind][row.item] = row.n / max(row.total, 1)
-    return {k: v for k, v in out.items() if v["class"] and v["word"]}
+    return out
 
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -179,24 +182,34 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((left + right) / 2, 0, 1))
 
 
-def distances(chunk: Chunk, words: Words, hashes: np.ndarray, refs: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Distances of every text's class and common-word histograms from the nearest reference of each kind."""
+def distances(
+    chunk: Chunk, words: Words, hashes: np.ndarray, langs: list[str], refs: dict
+) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of every text's class and common-word histograms from its language's; 0 without a reference."""
     n = len(chunk)
     classes = class_counts(chunk)
     classes = classes / np.maximum(classes.sum(axis=1, keepdims=True), 1)
-    by_class, by_word = np.ones(n), np.ones(n)
+    by_class, by_word = np.zeros(n), np.zeros(n)
     texts, total = words.texts(), np.maximum(np.diff(words.bounds), 1)
-    for ref in refs.values():
+    for name in sorted(set(langs) & set(refs)):
+        ref = refs[name]
+        own = np.array([x == name for x in langs])
         q = np.array([ref["class"].get(k, 0.0) for k in range(len(CLASSES))])
-        by_class = np.minimum(by_class, divergence(classes, q))
+        by_class[own] = divergence(classes[own], q)
         items = np.array(sorted(ref["word"]), np.int64)
+        if not len(items):  # no word is common: nothing to compare
+            continue
         share = np.array([ref["word"][k] for k in items])
-        slot = np.searchsorted(items, hashes.view(np.int64))
+        row = np.cumsum(own) - 1
+        mine = np.flatnonzero(own[texts])
+        found = hashes[mine].view(np.int64)
+        slot = np.searchsorted(items, found)
         slot[slot == len(items)] = 0
-        common = items[slot] == hashes.view(np.int64)
-        seen = np.bincount(texts[common] * len(items) + slot[common], minlength=n * len(items)).reshape(n, -1)
-        p = np.column_stack([seen, total - seen.sum(axis=1)]) / total[:, None]
-        by_word = np.minimum(by_word, divergence(p, np.append(share, 1 - share.sum())))
+        common = items[slot] == found
+        rows = int(own.sum())
+        seen = np.bincount(row[texts[mine[common]]] * len(items) + slot[common], minlength=rows * len(items)).reshape(rows, -1)
+        p = np.column_stack([seen, total[own] - seen.sum(axis=1)]) / total[own][:, None]
+        by_word[own] = divergence(p, np.append(share, max(0.0, 1 - share.sum())))
     return by_class, by_word
 
 
@@ -207,18 +220,20 @@ def judged(
     most_class_distance: float = MOST_CLASS_DISTANCE,
     most_word_distance: float = MOST_WORD_DISTANCE,
     guard_words: int = GUARD_WORDS,
+    common_share: float = COMMON_SHARE,
 ) -> DataFrame:
     """Every row, without its text, with its counts, ``base_failed``, both distances and ``kept``.
 
     A document is dropped when the base rules fail, or when it has at least ``guard_words`` words and a
-    histogram farther from every reference than allowed. Null and empty texts have no words and fail
-    the base rules. Rows without a language count towards the reference of no name and of all. Columns
-    named like the added ones are replaced. No rows give no rows.
+    histogram farther from that of its own language than allowed. A language has a reference from
+    ``guard_words`` words on, however small its share; without one the base rules decide. Null and
+    empty texts have no words and fail the base rules. Rows without a language are the language of no
+    name. Columns named like the added ones are replaced. No rows give no rows.
     """
     added = (*BASE_COLUMNS, "class_distance", "word_distance", "base_failed", "kept")
     docs = docs.drop(*added)
-    shared = docs.sparkSession.sparkContext.broadcast(references(docs, text, lang))
-    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(references(docs, text, lang, common_share, guard_words))
+    at, lang_at = docs.columns.index(text), docs.columns.index(lang)
     numbers = [F.lit(0).cast("long").alias(c) for c in BASE_COLUMNS]
     schema = docs.select("*", *numbers, F.lit(0.0).alias("class_distance"), F.lit(0.0).alias("word_distance")).schema
     out_columns = [c for c in docs.columns if c != text]
@@ -227,13 +242,16 @@ def judged(
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rest = [batch.column(i) for i in range(batch.num_columns) if i != at]
+            langs = [x or "" for x in batch.column(lang_at).to_pylist()]
             parts: dict[str, list[np.ndarray]] = {c: [] for c in (*BASE_COLUMNS, "class_distance", "word_distance")}
             for chunk in chunks(batch.column(at)):
                 words = words_of(chunk)
                 sums = prefix_sums(chunk.data)
                 hashes = span_hashes(sums, words.starts, words.ends)
                 found = base_counts(chunk, words, hashes, sums)
-                found["class_distance"], found["word_distance"] = distances(chunk, words, hashes, shared.value)
+                found["class_distance"], found["word_distance"] = distances(
+                    chunk, words, hashes, langs[chunk.first : chunk.first + len(chunk)], shared.value
+                )
                 for k, v in found.items():
                     parts[k].append(v)
             joined = [np.concatenate(v) if v else np.zeros(0) for v in parts.values()]
