@@ -32,7 +32,7 @@ _SETS = {
     "known_auth_methods": "sort_array(collect_set(auth_method))",
     "known_devices": f"sort_array(collect_set(struct({', '.join(DEVICE_KEY)})))",
 }
-_VALID = (
+VALID_PROFILE = (
     "mean_hour BETWEEN 0 AND 23 AND hour_std >= 0 AND mean_session_duration >= 0 "
     "AND session_duration_std >= 0 AND authentication_failure_rate BETWEEN 0 AND 1"
 )
@@ -41,7 +41,7 @@ _VALID = (
 def _profile(events: DataFrame, columns: dict[str, str]) -> DataFrame:
     flat = flat_events(normal_events(events))
     found = flat.groupBy("entity_id").agg(*[F.expr(c).alias(n) for n, c in columns.items()])
-    return found.selectExpr("*", f"{_VALID} AS profile_valid")
+    return found.selectExpr("*", f"{VALID_PROFILE} AS profile_valid")
 
 
 def profile_statistics(events: DataFrame) -> DataFrame:

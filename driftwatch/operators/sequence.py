@@ -6,8 +6,8 @@ running balance: an event adds at its own time and takes back one microsecond af
 leaves the window, so one ordered pass yields the exact count at every time. A distinct
 count works the same way on the stretches during which a value stays in the window.
 
-Every key is cut into time blocks as long as its longest window. An event is also shown to
-the next block, in a copy without payload, so a block holds all its windows need and a key
+Every key is cut into time blocks a dozen longest windows long. An event near the end of a block is
+also shown to the next, in a copy without payload, so a block holds all its windows need and a key
 of any size spreads over as many tasks as it has blocks. Only the previous event can lie
 further back: one row per key and block carries it, pre-aggregated.
 
@@ -34,6 +34,8 @@ FAN_OUT = "source_ip_entity_fanout_10m"
 TRAVEL = ("distance_from_previous_km", "implied_speed_kmh")
 WINDOW_COLUMNS = (*COUNTS, FAN_OUT, *TRAVEL)
 
+BLOCK_WINDOWS = 12  # the longest windows in a block: one event in so many is shown to the next block too
+
 _DELTAS = ("d_events", "d_failed", "d_unique")
 _FAILED = "cast(outcome = 'failure' AS bigint)"
 _PLACE = "struct(ts_us, latitude, longitude)"
@@ -48,11 +50,15 @@ class Trail:
 
     key: str
     value: str  # distinct values of this column are counted
-    block_us: int  # the longest window: also the width of a block
+    window_us: int  # the longest window
     result: str  # name of the distinct count
     full: bool = False  # also count events and failures
     travel: bool = False  # also find the previous event
 
+    @property
+    def block_us(self) -> int:
+        return BLOCK_WINDOWS * self.window_us
+
 
 ENTITY_TRAIL = Trail("entity_id", "resource_accessed", THIRTY_MINUTES, "unique_resources_30m", full=True)
 ADDRESS_TRAIL = Trail("source_ip", "entity_id", TEN_MINUTES, FAN_OUT)
@@ -80,7 +86,8 @@ def _in_blocks(rows: DataFrame, trail: Trail) -> DataFrame:
         place = f"IF(contributes, {_PLACE}, NULL)" if own == "true" and trail.travel else _NO_PLACE
         return f"struct({', '.join(kept)}, {block} AS block, {own} AS own, {place} AS place)"
 
-    again = f"IF(contributes, {part('false')}, NULL)"
+    reaches = f"{floor_div(f'ts_us + {trail.window_us}', trail.block_us)} > {floor_div('ts_us', trail.block_us)}"
+    again = f"IF(contributes AND {reaches}, {part('false')}, NULL)"
     return rows.selectExpr(f"inline(array_compact(array({part('true')}, {again})))")
 
 
@@ -107,7 +114,7 @@ def _carried(rows: DataFrame, trail: Trail) -> DataFrame:
 
 def _points(blocks: DataFrame, trail: Trail, history_only: bool) -> DataFrame:
     """Balance changes of every row, from marks that are local to the key and block."""
-    m = trail.block_us
+    m = trail.window_us
     group = f"{trail.key}, block"
     same_value = f"OVER (PARTITION BY {group}, contributes, {trail.value} ORDER BY ts_us)"
     marks = [
@@ -223,3 +230,22 @@ def with_derived(found: DataFrame, keep: Sequence[str], columns: Sequence[str] =
         "implied_speed_kmh": speed_kmh(f"coalesce({distance}, 0D)", "(ts_us - previous.ts_us)"),
     }
     return found.selectExpr(*keep, *[f"{texts.get(c, c)} AS {c}" for c in WINDOW_COLUMNS if c in columns])
+
+
+def sketched_fan_out(events: DataFrame, minutes: int = 10) -> DataFrame:
+    """(source_ip, minute, entities): about how many entities an address served in the minutes up to each of its own.
+
+    One mergeable sketch per address and minute, made before the shuffle; a minute's sketch is shown to
+    the minutes whose window holds it, and their sketches are united. Rows grow with busy minutes, not
+    with events, so a hot address costs one sketch a minute. Error: about 1.6 % (one sigma), none for few.
+    """
+    flat = flat_events(events)
+    minute = floor_div("ts_us", MINUTE_US)
+    each = flat.groupBy("source_ip", F.expr(minute).alias("minute")).agg(F.expr("hll_sketch_agg(entity_id)").alias("sketch"))
+    shown = each.selectExpr(
+        "source_ip", "sketch", "minute", f"explode(sequence(0, {minutes})) AS later"
+    ).selectExpr("source_ip", "sketch", "minute + later AS at", "later = 0 AS own")
+    united = shown.groupBy("source_ip", F.col("at").alias("minute")).agg(
+        F.expr("hll_sketch_estimate(hll_union_agg(sketch))").alias("entities"), F.expr("max(own)").alias("own")
+    )
+    return united.filter("own").drop("own")

@@ -22,13 +22,14 @@ from driftwatch.operators.evaluate import (
 from driftwatch.operators.event_features import event_features, export_events
 from driftwatch.operators.explain import alerts, assessments, explain
 from driftwatch.operators.forest import fit_forest, score_forest, tree_checks, walked_paths
+from driftwatch.operators.incremental import fold_day, merged_baseline
 from driftwatch.operators.ingest import accepted, deduplicate, ingest, quarantined
 from driftwatch.operators.matrix import feature_matrix, missing_values
 from driftwatch.operators.profiles import learn_baseline, profile_sets, profile_statistics, set_sizes
 from driftwatch.operators.records import alert_violations, entity_violations, risk_violations
 from driftwatch.operators.rank import quantile
 from driftwatch.operators.risk import risk_scores
-from driftwatch.operators.sequence import COUNTS, FAN_OUT, TRAVEL, window_features
+from driftwatch.operators.sequence import COUNTS, FAN_OUT, TRAVEL, sketched_fan_out, window_features
 from driftwatch.plans.assess import (
     Model,
     assess,
@@ -38,12 +39,15 @@ from driftwatch.plans.assess import (
     unassessed,
     without_forest,
 )
+from driftwatch.plans.views import register_views
 from driftwatch.schema import FLAT_COLUMNS, MODEL_FEATURES, flat_events
 from driftwatch.session import shared_folder, stored
+from driftwatch.sources.alerts import read_alerts, write_alerts
 from driftwatch.sources.models import load_model, save_model, store_baseline
 from driftwatch.sources.payloads import raw_payloads
 from driftwatch.sources.telemetry import (
     EPOCH_US,
+    PROFILE_DAYS,
     SCORE_DAYS,
     profile_events,
     scoring_events,
@@ -147,6 +151,28 @@ def q_unknown_entities(spark, d):
     return unassessed(scoring_events(spark, d), Model(learnt)).select("event_id", "entity_id")
 
 
+def _folded(spark: SparkSession, d: str):
+    """The baseline of the profile days, folded in one by one, the last of them twice."""
+    folder = f"{shared_folder(spark)}/folded-{uuid.uuid4().hex}"
+    first, last = PROFILE_DAYS
+    for version, day in enumerate((*range(first, last + 1), last)):
+        fold_day(spark, folder, split(telemetry(spark, d), (day, day)), min(version, last - first))
+    return merged_baseline(spark, folder, last - first)
+
+
+def q_baseline_merged(spark, d):
+    return _folded(spark, d).statistics.selectExpr(
+        "entity_id",
+        "event_count",
+        *_rounded("mean_hour", "hour_std", "mean_session_duration", "session_duration_std", "authentication_failure_rate"),
+        "profile_valid",
+    )
+
+
+def q_baseline_merged_sets(spark, d):
+    return profile_sets(_folded(spark, d))
+
+
 # --- windows ----------------------------------------------------------------------------
 
 
@@ -171,6 +197,10 @@ def q_travel_features(spark, d):
     )
 
 
+def q_fanout_sketch(spark, d):
+    return sketched_fan_out(telemetry(spark, d))
+
+
 def q_great_circle(spark, d):
     """Distance and speed between supplier and customer of every order line, by nation pair."""
 
@@ -348,6 +378,29 @@ def q_alerts_by_severity(spark, d):
     )
 
 
+def q_alerts_written(spark, d):
+    """Alerts of two runs, each written twice, the first at first with other rows; and one never finished."""
+    folder = f"{shared_folder(spark)}/alerts-{uuid.uuid4().hex}"
+    found = stored(alerts(_judged(spark, d)), "alerts")
+    halves = [found.filter("pmod(hash(event_id), 2) = 0"), found.filter("pmod(hash(event_id), 2) <> 0")]
+    write_alerts(found, folder, "even")
+    for run, rows in (("even", halves[0]), ("odd", halves[1]), ("odd", halves[1])):
+        write_alerts(rows, folder, run)
+    found.write.parquet(f"{folder}/alerts/run=broken")  # no manifest
+    return read_alerts(spark, folder).selectExpr("alert_id", "event_id", "risk.score AS score", "classification", "status")
+
+
+def q_sql_views(spark, d):
+    """Suspicious activity per day and attack type, asked in SQL alone."""
+    register_views(scoring_events(spark, d), Model(_baseline(spark, d)), "scored_")
+    return spark.sql("""
+        SELECT day, anomaly_type, count(*) AS n_events, count(DISTINCT a.entity_id) AS n_entities,
+               max(risk_score) AS max_risk, count_if(label <=> 'normal') AS labelled_normal
+        FROM scored_assessments a JOIN scored_events e USING (event_id)
+        WHERE is_suspicious GROUP BY ALL
+    """)
+
+
 # --- record checks ----------------------------------------------------------------------
 
 

@@ -586,3 +586,20 @@ m AS (SELECT count(*) AS n FROM t WHERE day BETWEEN 4 AND 6 AND entity_id IN (SE
 SELECT tree_id::INT AS tree_id, 1::BIGINT AS roots, least(n, 256)::BIGINT AS leaf_rows, true AS bounded, 0::BIGINT AS unbalanced
 FROM m, (SELECT unnest(range(0, 200)) AS tree_id)
 """
+ORACLES["baseline_merged"] = ORACLES["profile_stats"]
+ORACLES["baseline_merged_sets"] = ORACLES["profile_sets"]
+ORACLES["alerts_written"] = CLASS + """
+SELECT alert_id, event_id, risk_score AS score, anomaly_type AS classification, 'open' AS status FROM al
+"""
+ORACLES["sql_views"] = CLASS + """
+SELECT day::INT AS day, anomaly_type, count(*) AS n_events, count(DISTINCT entity_id) AS n_entities, max(risk_score) AS max_risk,
+  count(*) FILTER (WHERE label = 'normal') AS labelled_normal
+FROM c WHERE is_suspicious GROUP BY ALL
+"""
+# a sketch of so few values is exact; the bound of 3 % is checked by the estimates being equal
+ORACLES["fanout_sketch"] = T + """,
+q AS (SELECT DISTINCT source_ip, entity_id, ts_us // 60000000 AS minute FROM t),
+w AS (SELECT DISTINCT source_ip, minute FROM q)
+SELECT w.source_ip, w.minute, count(DISTINCT q.entity_id) AS entities
+FROM w JOIN q ON q.source_ip = w.source_ip AND q.minute BETWEEN w.minute - 10 AND w.minute GROUP BY ALL
+"""
