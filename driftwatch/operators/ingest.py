@@ -2,7 +2,8 @@
 
 Every row keeps the list of rules it breaks instead of raising on the first. Ordinary rows
 are checked by built-in expressions alone; only rows that might break a structural limit,
-hold text to sanitise or carry an unusual address are shown to Python, in Arrow batches.
+hold text that sanitising can change or carry an unusual address are shown to Python, in
+Arrow batches. Accented and other text that is normal already stays in the engine.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from typing import Any
 
 import pandas as pd
@@ -64,9 +66,36 @@ _ISO = (
 )
 # Fixed value: characters removed from every text; tab, line feed and return stay.
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]")
-# In JSON those characters, and all that normalisation can change, show up as one of these.
-_TO_SANITISE = r"[^\x00-\x7E]|\\[ubf]"
-_UNUSUAL_ADDRESS = r"\"source_ip\"\s*:\s*(\"[^\"]*:|[^\"\s])"
+# In JSON those characters show up escaped, or as the last one itself.
+_ESCAPED = r"\\[ubf]"
+_USUAL_ADDRESS = r"^\"source_ip\"\s*:\s*\"[^\":]*\""
+_ADDRESS_SPAN = 80
+
+
+@cache
+def _maybe_abnormal() -> str:
+    """Pattern of characters that NFKC may change, alone or beside others.
+
+    Left out are those that are their own NFKC form, combine with nothing before them and come
+    in runs of eight or more. What is in the pattern by mistake is only looked at once more.
+    """
+    second = {0x1161 + i for i in range(21)} | {0x11A8 + i for i in range(27)}  # conjoining vowels and finals
+    for code in range(0xD800):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and not parts[0].startswith("<"):
+            second.add(int(parts[1], 16))
+    spans: list[list[int]] = []
+    for code in range(0x7F, 0xD800):
+        c = chr(code)
+        stable = unicodedata.normalize("NFKC", c) == c and not unicodedata.combining(c)
+        if code == 0x7F or code in second or not stable:
+            continue
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    kept = "".join(f"\\u{low:04X}-\\u{high:04X}" for low, high in spans if high - low >= 7)
+    return rf"[^\x00-\x7E{kept}]"
 
 
 def _structure_problem(value: Any, limits: IngestLimits) -> str | None:
@@ -136,38 +165,52 @@ def _inspector(limits: IngestLimits):
     return inspect
 
 
-def guard(raw: DataFrame, limits: IngestLimits | None = None, column: str = "raw") -> DataFrame:
-    """Add `guard_problem` (null when within limits), `body`, the sanitised JSON text, and
-    `address`, the canonical form of an unusual source address."""
+def with_shown(raw: DataFrame, limits: IngestLimits | None = None, column: str = "raw") -> DataFrame:
+    """Add `shown`: the text of rows that cheap conditions cannot clear, else null."""
     limits = limits or IngestLimits()
-
-    def without(characters: str) -> str:
-        text = column
-        for character in characters:
-            text = f"replace({text}, '{character}', '')"
-        return f"(length({column}) - length({text}))"
-
-    # sufficient conditions, cheap to test, for the payload to be within every limit
+    half = limits.max_nesting_depth // 2  # of braces and of brackets
+    at = f"locate('\"source_ip\"', {column})"
+    # sufficient conditions for the payload to be within every limit and to need no change
     plain = (
         f"octet_length({column}) * {_WIDENING} <= {limits.max_payload_bytes} "
         f"AND length({column}) <= {limits.max_string_length} "
-        f"AND {without('{[')} <= {limits.max_nesting_depth} "
-        f"AND {without(',')} < {limits.max_collection_items}"
-    )
-    routed = raw.selectExpr(
-        "*",
-        f"IF(({plain}) AND NOT {column} RLIKE r'{_TO_SANITISE}|{_UNUSUAL_ADDRESS}', NULL, {column}) AS shown",
+        f"AND substring_index({column}, '{{', {half + 1}) = {column} "
+        f"AND substring_index({column}, '[', {half + 1}) = {column} "
+        f"AND substring_index({column}, ',', {limits.max_collection_items}) = {column} "
+        f"AND ((octet_length({column}) = length({column}) AND NOT contains({column}, chr(127))) "
+        f"OR NOT {column} RLIKE r'{_maybe_abnormal()}') "
+        f"AND (NOT contains({column}, chr(92)) OR NOT {column} RLIKE r'{_ESCAPED}') "
+        f"AND ({at} = 0 OR (substr({column}, {at}, {_ADDRESS_SPAN}) RLIKE r'{_USUAL_ADDRESS}' "
+        f"AND locate('\"source_ip\"', {column}, {at} + 1) = 0))"
     )
-    seen = routed.select("*", _inspector(limits)("shown").alias("seen"))
+    return raw.selectExpr("*", f"IF({plain}, NULL, {column}) AS shown")
+
+
+def _guarded(raw: DataFrame, limits: IngestLimits | None, column: str) -> DataFrame:
+    """`guard`, with the parsed body as `v`: null where a limit is broken."""
+    seen = with_shown(raw, limits, column).select("*", _inspector(limits or IngestLimits())("shown").alias("seen"))
     return seen.selectExpr(
         *raw.columns,
-        f"CASE WHEN seen.problem IS NOT NULL THEN seen.problem WHEN try_parse_json({column}) IS NULL "
-        "THEN 'not_serializable' END AS guard_problem",
+        "seen.problem AS problem",
         f"coalesce(seen.body, {column}) AS body",
         "seen.address AS address",
+        f"CASE WHEN shown IS NULL THEN try_parse_json({column}) "
+        f"WHEN seen.problem IS NULL AND try_parse_json({column}) IS NOT NULL THEN try_parse_json(seen.body) END AS v",
+    ).selectExpr(
+        *raw.columns,
+        "coalesce(problem, IF(v IS NULL, 'not_serializable', NULL)) AS guard_problem",
+        "body",
+        "address",
+        "v",
     )
 
 
+def guard(raw: DataFrame, limits: IngestLimits | None = None, column: str = "raw") -> DataFrame:
+    """Add `guard_problem` (null when within limits), `body`, the sanitised JSON text, and
+    `address`, the canonical form of an unusual source address."""
+    return _guarded(raw, limits, column).drop("v")
+
+
 # every field as text, whatever its JSON type
 _TEXT_SCHEMA = (
     ", ".join(f"{f} string" for f in EVENT_FIELDS)
@@ -212,21 +255,24 @@ def _clean(path: str) -> str:
     return f"IF(k_{a} = 'STRING', t_{a}, NULL)"
 
 
-def _fields_known(column: str, allowed: tuple[str, ...]) -> str:
-    names = ", ".join(quote(f) for f in allowed)
-    return f"size(array_except(json_object_keys({column}), array({names}))) = 0"
+def _names(path: str) -> str:
+    """Field names of the object at a path of the parsed body, null for anything else."""
+    return f"map_keys(try_variant_get(v, '{path}', 'map<string,variant>'))"
+
+
+def _fields_known(names: str, allowed: tuple[str, ...]) -> str:
+    known = ", ".join(quote(f) for f in allowed)
+    return f"size(array_except({names}, array({known}))) = 0"
 
 
 def _parsed(guarded: DataFrame, keep: list[str]) -> DataFrame:
     """Typed and cleaned fields of every body within limits."""
     typed = guarded.selectExpr(
         "*",
-        "IF(guard_problem IS NULL, try_parse_json(body), NULL) AS v",
         f"IF(guard_problem IS NULL, from_json(body, '{_TEXT_SCHEMA}'), NULL) AS t",
     ).selectExpr(
         *keep,
         "guard_problem",
-        "body",
         "address",
         "ltrim(body) LIKE '{%' AS is_object",
         *[f"t.{p} AS t_{_alias(p)}" for p in _PATHS],
@@ -234,8 +280,9 @@ def _parsed(guarded: DataFrame, keep: list[str]) -> DataFrame:
         f"{_kind('geo_location')} AS k_geo_location",
         f"{_kind('device_fingerprint')} AS k_device_fingerprint",
         f"{_kind('command_sequence')} AS k_command_sequence",
-        "get_json_object(body, '$.geo_location') AS geo_body",
-        "get_json_object(body, '$.device_fingerprint') AS device_body",
+        f"{_names('$')} AS names",
+        f"{_names('$.geo_location')} AS geo_names",
+        f"{_names('$.device_fingerprint')} AS device_names",
         "t.command_sequence AS t_commands",
     )
     stripped = ("event_id", "entity_id", "resource_accessed", *_PATHS[-8:-6], *_PATHS[-4:])
@@ -244,11 +291,11 @@ def _parsed(guarded: DataFrame, keep: list[str]) -> DataFrame:
     cleaned = typed.selectExpr(
         *keep,
         "guard_problem",
-        "body",
         "address",
         "is_object",
-        "geo_body",
-        "device_body",
+        "names",
+        "geo_names",
+        "device_names",
         "k_command_sequence",
         "k_geo_location",
         "k_device_fingerprint",
@@ -294,9 +341,9 @@ def _rules() -> dict[str, str]:
     rules = {"object": "is_object"}
     rules |= {f"missing_{_alias(f)}": f"k_{_alias(f)} IS NOT NULL" for f in required}
     rules |= {
-        "unknown_field": _fields_known("body", EVENT_FIELDS),
-        "unknown_geo_field": f"geo_body IS NULL OR {_fields_known('geo_body', GEO_FIELDS)}",
-        "unknown_device_field": f"device_body IS NULL OR {_fields_known('device_body', DEVICE_FIELDS)}",
+        "unknown_field": _fields_known("names", EVENT_FIELDS),
+        "unknown_geo_field": _optional("geo_location", _fields_known("geo_names", GEO_FIELDS)),
+        "unknown_device_field": _optional("device_fingerprint", _fields_known("device_names", DEVICE_FIELDS)),
         "event_id": "length(c_event_id) BETWEEN 8 AND 64",
         "entity_id": "length(c_entity_id) BETWEEN 3 AND 64",
         "entity_type": one_of("c_entity_type", ENTITY_TYPES),
@@ -346,7 +393,7 @@ def ingest(raw: DataFrame, limits: IngestLimits | None = None, column: str = "ra
     `reject_stage` is null for accepted rows, `guard` for structural limits and `schema` for
     field rules; `event` is null for rejected rows.
     """
-    parsed = _parsed(guard(raw, limits, column), raw.columns)
+    parsed = _parsed(_guarded(raw, limits, column), raw.columns)
     judged = parsed.selectExpr(
         *raw.columns,
         "guard_problem",

@@ -495,15 +495,17 @@ def q_ingest_accepted(spark, d):
     return accepted(ingest(raw_payloads(spark, d))).selectExpr(
         "event_id",
         "entity_id",
+        "entity_type",
         "unix_micros(timestamp) AS ts_us",
         "tz_offset_minutes",
         "source_ip",
-        "geo_location.latitude",
+        "geo_location.*",
         "resource_accessed",
+        "auth_method",
         "outcome",
         "session_duration_seconds",
         "concat_ws('|', command_sequence) AS commands",
-        "device_fingerprint.fingerprint_id",
+        "device_fingerprint.*",
         "label",
     )
 

@@ -265,16 +265,17 @@ FROM agg
 # Damaged payload fields; commands and labels as the JSON would carry them.
 PAYLOAD = T + r""",
 d AS (
-  SELECT *, seq % 23 AS damage FROM t),
+  SELECT *, CASE WHEN seq % 509 < 4 THEN 23 + seq % 509 ELSE seq % 23 END AS damage FROM t),
 j AS (
-  SELECT seq, damage, event_id, entity_id, ts_us - CASE WHEN damage = 16 THEN 19800000000 ELSE 0 END AS ts_us,
+  SELECT seq, damage, city, longitude, operating_system, browser, device_type,
+    event_id || CASE WHEN damage = 26 THEN repeat('x', 64) ELSE '' END AS event_id, entity_id, ts_us - CASE WHEN damage = 16 THEN 19800000000 ELSE 0 END AS ts_us,
     CASE WHEN damage = 16 THEN 330 ELSE 0 END AS tz_offset_minutes,
     damage <> 11 AS time_ok,
     CASE WHEN damage = 4 THEN 'robot' ELSE entity_type END AS entity_type,
     CASE damage WHEN 0 THEN 'not-an-ip' WHEN 14 THEN '2001:db8::' || (1 + seq % 9) ELSE source_ip END AS source_ip,
     CASE WHEN damage = 6 THEN lower(country_code) ELSE country_code END AS country_code,
     CASE WHEN damage = 1 THEN 200.0::DOUBLE ELSE latitude END AS latitude,
-    resource_accessed || CASE WHEN damage = 15 THEN '1' ELSE '' END AS resource_accessed,
+    resource_accessed || CASE damage WHEN 15 THEN '1' WHEN 17 THEN chr(233) ELSE '' END AS resource_accessed,
     auth_method, CASE WHEN damage = 2 THEN NULL ELSE outcome END AS outcome,
     CASE WHEN damage = 5 THEN -5 ELSE session_duration_seconds END AS session_duration_seconds,
     CASE WHEN damage = 10 THEN ['GET /profile', '']
@@ -282,7 +283,8 @@ j AS (
     fingerprint_id, CASE WHEN damage = 7 THEN 'zzz' ELSE label END AS label, damage = 3 AS extra
   FROM d),
 v AS (
-  SELECT *, CASE WHEN damage = 12 THEN 'not_serializable' WHEN damage = 13 THEN 'nesting_depth' END AS guard,
+  SELECT *, CASE WHEN damage = 12 THEN 'not_serializable' WHEN damage = 13 THEN 'nesting_depth'
+      WHEN damage = 23 THEN 'collection_items' WHEN damage = 24 THEN 'string_length' WHEN damage = 25 THEN 'payload_bytes' END AS guard,
     concat_ws('|',
       CASE WHEN outcome IS NULL THEN 'missing_outcome' END,
       CASE WHEN extra THEN 'unknown_field' END,
@@ -500,8 +502,9 @@ SELECT count(*) AS total_events, count(*) FILTER (WHERE {_TRUTH} <> 'normal') AS
     "alert_budget_wide": _budget("0.07"),
     "top_alerts": RISK + "SELECT event_id, risk_score, label FROM r ORDER BY risk_score DESC, event_id LIMIT 500",
     "ingest_accepted": PAYLOAD + """
-SELECT event_id, entity_id, ts_us, tz_offset_minutes, source_ip, latitude, resource_accessed, outcome,
-  session_duration_seconds, array_to_string(commands, '|') AS commands, fingerprint_id, label
+SELECT event_id, entity_id, entity_type, ts_us, tz_offset_minutes, source_ip, country_code, city, latitude, longitude,
+  resource_accessed, auth_method, outcome, session_duration_seconds, array_to_string(commands, '|') AS commands,
+  fingerprint_id, operating_system, browser, device_type, label
 FROM v WHERE guard IS NULL AND schema_reasons = ''
 """,
     "ingest_rejected": PAYLOAD + """

@@ -4,7 +4,7 @@ import json
 
 import pytest
 
-from driftwatch.operators.ingest import IngestLimits, accepted, deduplicate, guard, ingest, quarantined
+from driftwatch.operators.ingest import IngestLimits, accepted, deduplicate, guard, ingest, quarantined, with_shown
 
 
 def payload(**change):
@@ -144,6 +144,31 @@ def test_limits_are_parameters(spark):
     assert guard(deep, IngestLimits(max_nesting_depth=4)).first()["guard_problem"] is None
 
 
+def test_only_text_that_sanitising_can_change_leaves_the_engine(spark):
+    stay = ["Köln, naïve café", "Zürich", "Москва", "日本語", "a \\ b", "plain"]
+    go = ["\ufb01", "\u2460", "e\u0301", "a\u0007", "a\u007f", "\u1112\u1161", "\u212a"]
+    texts = {t: json.dumps(payload(resource_accessed=t), ensure_ascii=False) for t in stay + go}
+    shown = {r["name"]: r["shown"] for r in with_shown(raw(spark, texts)).collect()}
+    assert [t for t in stay if shown[t] is not None] == []
+    assert [t for t in go if shown[t] is None] == []
+    events = {r["name"]: r["resource_accessed"] for r in accepted(ingest(raw(spark, texts)), "name").collect()}
+    assert all(events[t] == t for t in stay) and events["e\u0301"] == "é" and events["\ufb01"] == "fi"
+
+
+def test_addresses_in_odd_places_are_looked_at(spark):
+    plain = json.dumps(payload())
+    texts = {
+        "plain": plain,
+        "second": plain[:-1] + ', "x": {"source_ip": "::1"}}',
+        "spaced": plain.replace('"source_ip": ', '"source_ip":' + " " * 100),
+        "number": json.dumps(payload(source_ip=5)),
+        "null": json.dumps(payload(source_ip=None)),
+        "six": json.dumps(payload(source_ip="::1")),
+    }
+    shown = {r["name"] for r in with_shown(raw(spark, texts)).where("shown IS NOT NULL").collect()}
+    assert shown == set(texts) - {"plain"}
+
+
 def test_deduplicate_keeps_the_first(spark):
     events = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, "z")], "event_id string, n int, v string")
     assert sorted(tuple(r) for r in deduplicate(events, "n").collect()) == [("a", 1, "y"), ("b", 3, "z")]
