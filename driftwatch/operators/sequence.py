@@ -221,6 +221,19 @@ def window_features(
     return with_derived(found, flat.columns, columns)
 
 
+def carried_history(history: DataFrame, start_us: int) -> DataFrame:
+    """The flat part of a history that events from ``start_us`` on can see in their windows or as previous place.
+
+    These are the events of the longest window before, and of older ones the last of each entity (of
+    equal times the first), found by one pre-aggregated pass. Results equal those with the whole history.
+    """
+    flat = flat_events(history)
+    since = start_us - max(ENTITY_TRAIL.window_us, ADDRESS_TRAIL.window_us)
+    row = f"struct({', '.join(flat.columns)})"
+    last = flat.filter(f"ts_us < {since}").groupBy("entity_id").agg(F.expr(f"min_by({row}, struct(-ts_us, seq))").alias("row"))
+    return flat.filter(f"ts_us >= {since}").unionByName(last.select("row.*"))
+
+
 def with_derived(found: DataFrame, keep: Sequence[str], columns: Sequence[str] = WINDOW_COLUMNS) -> DataFrame:
     """The wanted window columns, from counts and the place of the previous event."""
     distance = haversine_km("previous.latitude", "previous.longitude", "latitude", "longitude")

@@ -29,7 +29,14 @@ from driftwatch.operators.profiles import learn_baseline, profile_sets, profile_
 from driftwatch.operators.records import alert_violations, entity_violations, risk_violations
 from driftwatch.operators.rank import quantile
 from driftwatch.operators.risk import risk_scores
-from driftwatch.operators.sequence import COUNTS, FAN_OUT, TRAVEL, sketched_fan_out, window_features
+from driftwatch.operators.sequence import (
+    COUNTS,
+    FAN_OUT,
+    TRAVEL,
+    carried_history,
+    sketched_fan_out,
+    window_features,
+)
 from driftwatch.plans.assess import (
     Model,
     assess,
@@ -49,6 +56,7 @@ from driftwatch.sources.telemetry import (
     EPOCH_US,
     PROFILE_DAYS,
     SCORE_DAYS,
+    TRAIN_DAYS,
     profile_events,
     scoring_events,
     split,
@@ -79,8 +87,13 @@ def _baseline(spark: SparkSession, d: str):
     return learn_baseline(profile_events(spark, d))
 
 
+def _earlier(spark: SparkSession, d: str, first_day: int = SCORE_DAYS[0]) -> DataFrame:
+    """What the windows of a day's events can see of the days before."""
+    return carried_history(telemetry(spark, d).filter(f"day < {first_day}"), EPOCH_US + first_day * DAY_US)
+
+
 def _matrix(spark: SparkSession, d: str) -> DataFrame:
-    return feature_matrix(scoring_events(spark, d), _baseline(spark, d))
+    return feature_matrix(scoring_events(spark, d), _baseline(spark, d), history=_earlier(spark, d))
 
 
 def _rule_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -94,7 +107,8 @@ def _judged(spark: SparkSession, d: str) -> DataFrame:
 def _learned(spark: SparkSession, d: str) -> Model:
     """A model whose baseline is stored, so that training and scoring both read what was learnt once."""
     baseline = store_baseline(_baseline(spark, d), f"{shared_folder(spark)}/baseline-{uuid.uuid4().hex}")
-    return Model(baseline, fit_forest(feature_matrix(training_events(spark, d), baseline)))
+    training = feature_matrix(training_events(spark, d), baseline, history=_earlier(spark, d, TRAIN_DAYS[0]))
+    return Model(baseline, fit_forest(training))
 
 
 # --- events and baselines ---------------------------------------------------------------
@@ -392,7 +406,7 @@ def q_alerts_written(spark, d):
 
 def q_sql_views(spark, d):
     """Suspicious activity per day and attack type, asked in SQL alone."""
-    register_views(scoring_events(spark, d), Model(_baseline(spark, d)), "scored_")
+    register_views(scoring_events(spark, d), Model(_baseline(spark, d)), "scored_", history=_earlier(spark, d))
     return spark.sql("""
         SELECT day, anomaly_type, count(*) AS n_events, count(DISTINCT a.entity_id) AS n_entities,
                max(risk_score) AS max_risk, count_if(label <=> 'normal') AS labelled_normal
@@ -528,7 +542,7 @@ def q_deduplicate(spark, d):
 
 def q_forest_scores(spark, d):
     model = _learned(spark, d)
-    matrix = feature_matrix(scoring_events(spark, d), model.baseline)
+    matrix = feature_matrix(scoring_events(spark, d), model.baseline, history=_earlier(spark, d))
     return score_forest(matrix, model.forest).selectExpr(
         "event_id", *_rounded("ml_anomaly_score"), "ml_flagged"
     )
@@ -572,12 +586,12 @@ def q_forest_nodes(spark, d):
 
 
 def q_forest_metrics(spark, d):
-    scored = score_events(scoring_events(spark, d), _learned(spark, d))
+    scored = score_events(scoring_events(spark, d), _learned(spark, d), history=_earlier(spark, d))
     return detector_metrics(scored, "ml_flagged")
 
 
 def q_assess_full(spark, d):
-    return assess(scoring_events(spark, d), _learned(spark, d))
+    return assess(scoring_events(spark, d), _learned(spark, d), history=_earlier(spark, d))
 
 
 # --- streaming --------------------------------------------------------------------------

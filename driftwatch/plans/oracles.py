@@ -44,7 +44,7 @@ t AS (
       + ((w // 60000000) % 60) / 60.0::DOUBLE AS fhour
   FROM b2 LEFT JOIN nation ON n_nationkey = nk),
 p AS (SELECT * FROM t WHERE day BETWEEN 0 AND 3 AND coalesce(label, 'normal') = 'normal'),
-s AS (SELECT * FROM t WHERE day BETWEEN 7 AND 9),
+s AS (SELECT * FROM t WHERE day >= 7),
 st AS (
   SELECT entity_id, count(*) AS event_count, avg(fhour) AS mean_hour, stddev_pop(fhour) AS hour_std,
     avg(CAST(session_duration_seconds AS DOUBLE)) AS mean_session_duration,
@@ -109,7 +109,11 @@ win AS (
 """
 
 
-FEATURES = T + windows("s") + DEV.replace("{rows}", "win") + """,
+# the scoring days: their windows see the days before, or only each other
+_AFTER_ALL = windows("t") + DEV.replace("{rows}", "(SELECT * FROM win WHERE day >= 7)")
+_ALONE = windows("s") + DEV.replace("{rows}", "win")
+
+FEATURES = T + _AFTER_ALL + """,
 f AS (SELECT *, CASE WHEN day_of_week >= 5 THEN 1 ELSE 0 END AS is_weekend,
         CASE WHEN outcome = 'failure' THEN 1 ELSE 0 END AS auth_failed FROM dev)
 """
@@ -554,7 +558,7 @@ SELECT q, round(risk_score, 6) AS risk_score FROM (
   UNION ALL SELECT 0.9::DOUBLE, quantile_cont(risk_score, 0.9) FROM r
   UNION ALL SELECT 0.99::DOUBLE, quantile_cont(risk_score, 0.99) FROM r)
 """
-ORACLES["stream_assessments"] = ORACLES["rule_assessments"]
+ORACLES["stream_assessments"] = ORACLES["rule_assessments"].replace(_AFTER_ALL, _ALONE)
 ORACLES["stream_windows"] = T + windows("t") + """
 SELECT event_id, events_10m, failed_logins_10m, unique_resources_30m, source_ip_entity_fanout_10m,
   round(distance_from_previous_km, 4) AS distance_from_previous_km, round(implied_speed_kmh, 3) AS implied_speed_kmh

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from driftwatch.operators.sequence import window_features
+from driftwatch.operators.sequence import carried_history, window_features
 from driftwatch.schema import FLAT_COLUMNS
 
 MINUTE = 60_000_000
@@ -174,3 +174,20 @@ def test_counts_need_one_shuffle(spark):
     plan = window_features(table(spark, random_events(9, 5)), columns=("events_10m",))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1
+
+
+def test_carried_history_gives_what_the_whole_history_gives(spark):
+    rows = random_events(17, 160)
+    start = sorted(r[2] for r in rows)[90]
+    events = [r for r in rows if r[2] >= start]
+    history = [r for r in rows if r[2] < start]
+    carried = carried_history(table(spark, history), start)
+    assert 0 < carried.count() < len(history)
+    for mode in ("joint", "history_only"):
+        found = window_features(table(spark, events), carried, mode=mode).collect()
+        assert measured({r["event_id"]: r for r in found}) == brute(events, history, joint=mode == "joint")
+
+
+def test_carried_history_of_nothing(spark):
+    empty = table(spark, [event(1)]).limit(0)
+    assert carried_history(empty, 0).count() == 0
