@@ -59,20 +59,20 @@ WITH u AS (SELECT page_id,
            FROM parts),
      dm AS (SELECT suffix, domain, sum(good) AS good, sum(n) AS n FROM h GROUP BY ALL),
      sx AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM dm GROUP BY ALL),
-     g AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS mean FROM sx),
-     s1 AS (SELECT sx.*, mean FROM sx, g),
-     k1 AS (SELECT greatest(1.0, least(1000.0, coalesce(CASE WHEN sum(n * (good / n - mean) ** 2) > 0
-              THEN round(sum(n * mean * (1 - mean)) / sum(n * (good / n - mean) ** 2) - 1, 6) ELSE CASE WHEN count(*) > 0 THEN 1000.0 END END, 1000.0))) AS k FROM s1 WHERE n > 0),
-     p1 AS (SELECT suffix, (good + k * mean) / (n + k) AS mean FROM s1, k1),
-     s2 AS (SELECT dm.*, mean FROM dm JOIN p1 USING (suffix)),
-     k2 AS (SELECT greatest(1.0, least(1000.0, coalesce(CASE WHEN sum(n * (good / n - mean) ** 2) > 0
-              THEN round(sum(n * mean * (1 - mean)) / sum(n * (good / n - mean) ** 2) - 1, 6) ELSE CASE WHEN count(*) > 0 THEN 1000.0 END END, 1000.0))) AS k FROM s2 WHERE n > 0),
-     p2 AS (SELECT suffix, domain, (good + k * mean) / (n + k) AS mean FROM s2, k2),
-     s3 AS (SELECT h.*, mean FROM h JOIN p2 USING (suffix, domain)),
-     k3 AS (SELECT greatest(1.0, least(1000.0, coalesce(CASE WHEN sum(n * (good / n - mean) ** 2) > 0
-              THEN round(sum(n * mean * (1 - mean)) / sum(n * (good / n - mean) ** 2) - 1, 6) ELSE CASE WHEN count(*) > 0 THEN 1000.0 END END, 1000.0))) AS k FROM s3 WHERE n > 0),
-     p3 AS (SELECT host, n + k AS weight, (good + k * mean) / (n + k) AS mean FROM s3, k3),
-     b AS (SELECT host, round(mean + 1.64 * sqrt(mean * (1 - mean) / (weight + 1)), 9) AS bound FROM p3)
+     g AS (SELECT (sum(good) + 1) / (sum(n) + 2) AS mean, sum(n) + 2.0::DOUBLE AS held FROM sx),
+     s1 AS (SELECT sx.*, mean, held FROM sx, g),
+     k1 AS (SELECT CASE WHEN rho >= 1 THEN 0.0::DOUBLE WHEN rho > 0 THEN 1 / rho - 1 END AS k FROM (SELECT CASE WHEN sum((n - 1) * mean * (1 - mean)) > 0
+              THEN round(sum(n * (good / n - mean) ** 2 - mean * (1 - mean)) / sum((n - 1) * mean * (1 - mean)), 9) END AS rho FROM s1 WHERE n > 0)),
+     p1 AS (SELECT suffix, CASE WHEN n + k > 0 THEN (good + k * mean) / (n + k) ELSE mean END AS mean, coalesce(n + k, held) AS held FROM s1, k1),
+     s2 AS (SELECT dm.*, mean, held FROM dm JOIN p1 USING (suffix)),
+     k2 AS (SELECT CASE WHEN rho >= 1 THEN 0.0::DOUBLE WHEN rho > 0 THEN 1 / rho - 1 END AS k FROM (SELECT CASE WHEN sum((n - 1) * mean * (1 - mean)) > 0
+              THEN round(sum(n * (good / n - mean) ** 2 - mean * (1 - mean)) / sum((n - 1) * mean * (1 - mean)), 9) END AS rho FROM s2 WHERE n > 0)),
+     p2 AS (SELECT suffix, domain, CASE WHEN n + k > 0 THEN (good + k * mean) / (n + k) ELSE mean END AS mean, coalesce(n + k, held) AS held FROM s2, k2),
+     s3 AS (SELECT h.*, mean, held FROM h JOIN p2 USING (suffix, domain)),
+     k3 AS (SELECT CASE WHEN rho >= 1 THEN 0.0::DOUBLE WHEN rho > 0 THEN 1 / rho - 1 END AS k FROM (SELECT CASE WHEN sum((n - 1) * mean * (1 - mean)) > 0
+              THEN round(sum(n * (good / n - mean) ** 2 - mean * (1 - mean)) / sum((n - 1) * mean * (1 - mean)), 9) END AS rho FROM s3 WHERE n > 0)),
+     p3 AS (SELECT host, coalesce(n + k, held) AS weight, CASE WHEN n + k > 0 THEN (good + k * mean) / (n + k) ELSE mean END AS mean FROM s3, k3),
+     b AS (SELECT host, round(least(1.0, mean + 1.64 * sqrt(mean * (1 - mean) / (weight + 1))), 9) AS bound FROM p3)
 SELECT page_id, v.host, path, rule, coalesce(said, CASE WHEN bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict
 FROM v JOIN b ON v.host = b.host
 """

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +18,6 @@ RULES = (
 # Suffixes of two labels below which names are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.kr", "com.cn", "com.mx", "co.za")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PRIOR_STRENGTH = (1.0, 1000.0)
 BOUND_Z = 1.64
 LEAST_GOOD = 0.5
 
@@ -64,46 +64,51 @@ def registered_domain(host: Column) -> Column:
 
 
 def _strength(children: DataFrame, parent: str) -> DataFrame:
-    """Beta strength a + b by the method of moments over the children's good shares, per parent level.
+    """Beta strength a + b of a level by beta-binomial moments, in one row.
 
-    One number for the level: within-parent variance of the shares against the mean's own variance.
+    A child of n outcomes with share s of good ones under a parent of mean m has
+    E[n (s - m)^2] = m (1 - m) (1 + (n - 1) rho), so rho = sum(n (s - m)^2 - m (1 - m)) / sum((n - 1) m (1 - m)),
+    and the strength is 1 / rho - 1. Spread no larger than that of sampling (rho <= 0, or no child of two
+    outcomes to tell) pools the level: null, for a strength without end. Spread beyond the largest possible
+    (rho >= 1) is strength 0.
     """
+    m = F.col("mean")
+    spread = m * (1 - m)
     share = F.col("good") / F.col("n")
-    spread = F.col("mean") * (1 - F.col("mean"))
-    low, high = PRIOR_STRENGTH
-    seen = children.where(F.col("n") > 0)
-    moments = seen.agg(
-        F.sum(F.col("n") * spread).alias("s"), F.sum(F.col("n") * (share - F.col("mean")) ** 2).alias("v")
+    moments = children.where(F.col("n") > 0).agg(
+        F.sum(F.col("n") * (share - m) ** 2 - spread).alias("v"), F.sum((F.col("n") - 1) * spread).alias("s")
     )
-    raw = F.when(F.col("v") > 0, F.round(F.col("s") / F.col("v") - 1, 6)).otherwise(F.lit(high))
-    return moments.select(F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(raw, F.lit(low)))).alias(parent))
+    rho = F.when(F.col("s") > 0, F.round(F.col("v") / F.col("s"), 9))
+    return moments.select(F.when(rho >= 1, 0.0).when(rho > 0, 1 / rho - 1).alias(parent))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
-    """(host, good, n) to posterior (host, mean, bound), shrunk host -> domain -> suffix -> all.
+    """(host, good, n) to posterior (host, reputation, bound), shrunk host -> domain -> suffix -> all.
 
     ``outcomes`` has one row a host, hosts without labelled pages included (n = 0). Every level's mean
     is (good + strength * parent's mean) / (n + strength); the strength comes from the spread of the
-    children's shares around it. ``bound`` is mean + z * sd of the host's beta posterior: how good the
-    host may still be.
+    children's shares around it beyond that of sampling. A pooled level has its parent's posterior.
+    ``bound``, at most 1, is mean + z * sd of the host's beta posterior: how good the host may still be.
     """
     hosts = outcomes.select("host", host_suffix(F.col("host")).alias("suffix"), registered_domain(F.col("host")).alias("domain"), "good", "n")
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
     suffixes = domains.groupBy("suffix").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    whole = suffixes.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("mean"))
+    whole = suffixes.agg(((F.sum("good") + 1) / (F.sum("n") + 2)).alias("mean"), (F.sum("n") + 2.0).alias("held"))
 
     def shrunk(children: DataFrame, parents: DataFrame, on: list[str]) -> DataFrame:
         joined = children.join(parents, on) if on else children.join(F.broadcast(parents))  # one row
         strength = _strength(joined, "strength")
-        posterior = (F.col("good") + F.col("strength") * F.col("mean")) / (F.col("n") + F.col("strength"))
-        return joined.join(F.broadcast(strength)).withColumn("posterior", posterior)  # one row
+        own = F.col("n") + F.col("strength")  # null where the level is pooled: it is as its parent
+        posterior = F.when(own > 0, (F.col("good") + F.col("strength") * F.col("mean")) / own).otherwise(F.col("mean"))
+        found = joined.join(F.broadcast(strength))  # one row
+        return found.withColumns({"posterior": posterior, "weight": F.coalesce(own, F.col("held"))})
 
-    keys = lambda df, *names: df.select(*names, F.col("posterior").alias("mean"))
+    keys = lambda df, *names: df.select(*names, F.col("posterior").alias("mean"), F.col("weight").alias("held"))
     by_suffix = shrunk(suffixes, whole, [])
     by_domain = shrunk(domains, keys(by_suffix, "suffix"), ["suffix"])
     by_host = shrunk(hosts, keys(by_domain, "suffix", "domain"), ["suffix", "domain"])
     m = F.col("posterior")
-    bound = m + BOUND_Z * F.sqrt(m * (1 - m) / (F.col("n") + F.col("strength") + 1))
+    bound = F.least(F.lit(1.0), m + BOUND_Z * F.sqrt(m * (1 - m) / (F.col("weight") + 1)))
     return by_host.select("host", F.round(m, 9).alias("reputation"), F.round(bound, 9).alias("bound"))
 
 
@@ -124,17 +129,18 @@ def judged_urls(
     found = pages.drop(*added).select(
         "*", url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path")
     )
-    found = found.withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
+    fitting = f"_rule_{uuid.uuid4().hex}"  # no column of the input has this name
+    found = found.withColumn(fitting, matching_rule(F.col("host"), F.col("path"), rules))
     outcomes = found.groupBy("host").agg(
-        F.sum(F.when(F.col("_rule.verdict") == "allow", 1).otherwise(0)).alias("good"), F.count("_rule").alias("n")
+        F.sum(F.when(F.col(f"{fitting}.verdict") == "allow", 1).otherwise(0)).alias("good"), F.count(fitting).alias("n")
     )
-    known = host_reputation(outcomes).withColumnRenamed("host", "_host")
-    judged = found.join(known, F.col("host") == F.col("_host"), "left").drop("_host")
+    known = host_reputation(outcomes)
+    judged = found.join(known, "host", "left")
     by_method = F.when(F.col("bound") >= least_good, "allow").otherwise("block")
     return judged.select(
-        *[c for c in found.columns if c != "_rule"],
-        F.col("_rule.rule").alias("rule"),
-        F.coalesce(F.col("_rule.verdict"), by_method).alias("verdict"),
+        *[c for c in found.columns if c != fitting],
+        F.col(f"{fitting}.rule").alias("rule"),
+        F.coalesce(F.col(f"{fitting}.verdict"), by_method).alias("verdict"),
         "reputation",
         "bound",
     )
