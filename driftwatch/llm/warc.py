@@ -209,14 +209,15 @@ def with_references(rows: DataFrame, key: str, payload: str) -> DataFrame:
     """Add ``_refers_to``: the largest key with an equal payload, where that is another row's.
 
     Only digests that occur more than once are joined back, so a hot payload is a join key of small
-    rows that adaptive execution can split.
+    rows that adaptive execution can split. Rows that can be no revisit have join keys of their own,
+    which match nothing and spread them over all tasks.
     """
     digest = F.sha1(F.coalesce(F.col(payload), F.lit("")).cast("binary"))
-    marked = rows.withColumn(
-        "_digest", F.when((F.octet_length(payload) >= LEAST_REVISIT_BYTES) & F.col(key).isNotNull(), digest)
-    )
+    alone = F.concat(F.lit("-"), F.xxhash64(*rows.columns).cast("string"))
+    long = (F.octet_length(payload) >= LEAST_REVISIT_BYTES) & F.col(key).isNotNull()
+    marked = rows.withColumn("_digest", F.when(long, digest).otherwise(alone))
     shared = (
-        marked.where(F.col("_digest").isNotNull())
+        marked.where(~F.col("_digest").startswith("-"))
         .groupBy("_digest")
         .agg(F.max(key).alias("_largest"), F.count(F.lit(1)).alias("_n"))
         .where(F.col("_n") > 1)
@@ -233,7 +234,8 @@ def write_archives(rows: DataFrame, folder: str, key: str = "page_id", uri: str
     the attempts that count, so lost executors and repeated tasks leave no double records. A file is
     closed at about 512 MB.
     """
-    source = with_references(rows, key, payload).select(F.col(key).cast("long"), uri, payload, "_refers_to")
+    named = rows.select(F.col(key).cast("long").alias("key"), F.col(uri).alias("uri"), F.col(payload).alias("payload"))
+    source = with_references(named, "key", "payload").select("key", "uri", "payload", "_refers_to")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = opened(folder)
