@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,12 +99,13 @@ def mix_counts(
     sized = docs.withColumn("size", word_count(F.col(text)))
     sizes = sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size"))
     sizes = kept(sizes, "mix-sizes")  # one row a source; read several times
-    targets = source_targets(sizes, weights, most_repeats).withColumnRenamed("source", "_source")
+    of = f"source_{uuid.uuid4().hex}"  # no column of the input has this name
+    targets = source_targets(sizes, weights, most_repeats).withColumnRenamed("source", of)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     extra = (unit_hash(F.col(key), seed) < rate - F.floor(rate)).cast("long")
     return (
-        sized.join(targets, F.col(source).eqNullSafe(F.col("_source")), "left")
-        .drop("_source")
+        sized.join(targets, F.col(source).eqNullSafe(F.col(of)), "left")
+        .drop(of)
         .withColumn("copies", F.floor(rate) + extra)
     )
 
@@ -112,5 +114,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document repeated ``copies`` times, with the columns of ``docs``."""
     columns = docs.columns
     taken = mix_counts(docs, **options).where(F.col("copies") > 0)
-    repeated = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select(*columns)
+    copy = f"copy_{uuid.uuid4().hex}"
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*columns)
