@@ -364,7 +364,7 @@ def test_top_k_equals_brute_force(spark, block_rows):
     bad = [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (504, []), (None, [1.0] * 6)]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>")
     got = {}
-    for r in topk.top_k(df, df.where("vec_id % 20 = 0"), block_rows=block_rows, share_rows=4).orderBy("query_id", "rank").collect():
+    for r in topk.top_k(df, df.where("vec_id % 20 = 0"), block_rows=block_rows, lane_rows=4).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     whole = [(i, [int(np.floor(64 * np.float64(np.float32(x)))) for x in v]) for i, v in rows]
     vectors = dict(whole)

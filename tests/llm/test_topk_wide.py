@@ -31,3 +31,17 @@ def test_ragged_vectors_get_k_rows_a_query(spark):
     for i, q in rows[::4]:
         scores = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in rows if j != i)[:3]
         assert sorted(got[i]) == [(n, j, int(-s)) for n, (s, j) in enumerate(scores, 1)]
+
+
+def test_repeated_rows_and_many_blocks(spark):
+    """A row that is there 300 times fills the ranks of its queries; blocks and lanes change nothing."""
+    rows = [(7, [2.0, -1.0])] * 300 + [(i, [float(i % 9), float(i % 4)]) for i in range(8, 60)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    answers = []
+    for block_rows, lane_rows in ((1 << 16, 512), (16, 1), (64, 3)):
+        found = topk.top_k(frame, frame.where("vec_id % 20 = 0 or vec_id = 7"), k=5, block_rows=block_rows, lane_rows=lane_rows)
+        answers.append(sorted(map(tuple, found.collect())))
+    assert answers[0] == answers[1] == answers[2]
+    for q, v in {i: v for i, v in rows if i % 20 == 0 or i == 7}.items():
+        scored = sorted((-sum(int(64 * a) * int(64 * b) for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)[:5]
+        assert [(r, i, s) for x, r, i, s in answers[0] if x == q] == [(n, i, -s) for n, (s, i) in enumerate(scored, 1)]
