@@ -9,7 +9,11 @@
 4. A representative looks up its prefix tokens and gets the groups that share enough of them to hold a
    partner. In these, the union of the members' whole sets bounds the overlap with any member; only
    groups whose bound suffices are opened, and their members compared exactly.
-5. Links between representatives become components.
+5. This is done twice. First inside each group, and for a few hubs of every large crowd with a common
+   seed in all groups that may hold a partner; links found make components. Then for what can still join two components:
+   a query is left out if its group lies wholly in the component of the one who asks. So a cluster of
+   many near copies costs about one query a member, and no link between components is lost.
+6. Links of both rounds become the components of the result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ PERCENT = 80
 ORDER_BUCKETS = 1 << 16
 GROUP_ROWS = 64
 QUERY_ROWS = 256
+HUBS = 4
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -110,31 +115,82 @@ def representative_sets(texts: DataFrame, size: int, ranks, percent: int | None
     return texts.mapInArrow(pack, f"id long, n long, tokens {kind}")
 
 
-def candidates(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, gid) of members, and of representatives with the groups that may hold a partner.
+def _least_common(percent: int, n: str = "n", least: str = "least") -> F.Column:
+    """Prefix tokens that partners share: the smaller margin, or the whole overlap needed where a set is smaller than that."""
+    smaller = F.least(F.col(n), F.col(least))
+    return F.least(F.expr(f"{n} div 20 + 1"), F.expr(f"{least} div 20 + 1"), F.ceil(smaller * percent / 100))
 
-    A pair is looked for from one side only: by the group of higher number, or within the own group.
+
+def _matrix(placed: DataFrame, *more: str) -> DataFrame:
+    """The groups that hold a token, with the least and largest size of the members that do."""
+    return placed.groupBy("token", "gid", *more).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+
+
+def _enough(asks: DataFrame, crowded: DataFrame, percent: int) -> DataFrame:
+    """(id, gid) of the groups that hold enough of a representative's prefix tokens; one row of ``asks`` a token."""
+    common = asks.groupBy("id", "gid", "n").agg(F.count(F.lit(1)).alias("common"))
+    return common.join(crowded, "gid").where(F.col("common") >= _least_common(percent)).select("id", "gid")
+
+
+def _sizes_fit(percent: int) -> F.Column:
+    return (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
+
+
+def grouped(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members (id, n, gid, hub, tokens) and their shared prefix tokens (id, token, n, gid, hub).
+
+    A chunk is the crowd of members with one seed and size step, a group about 64 of them. Hubs are about
+    HUBS members of a chunk of several groups, by hash.
     """
     tasks = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = prefixes.select("id", "n", F.explode("tokens").alias("token")).repartition(tasks, "token")
     frequent = entries.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = kept(entries.join(frequent, "token"), "shared-tokens")
-    seeds = shared.groupBy("id", "n").agg(F.max(F.struct("df", "token")).alias("seed"))
-    seeds = seeds.select("id", "n", F.col("seed.token").alias("seed"), F.floor(F.log("n") / F.log(F.lit(100 / percent))).alias("step"))
-    crowd = seeds.groupBy("seed", "step").agg(F.count(F.lit(1)).alias("rows"))
+    seeds = shared.groupBy("id", "n").agg(F.max(F.struct("df", "token")).alias("seed"), F.count(F.lit(1)).alias("tokens"))
+    step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
+    seeds = seeds.select("id", "n", "tokens", F.xxhash64("seed.token", step).alias("chunk"))
+    crowd = seeds.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / GROUP_ROWS))
-    members = kept(seeds.join(crowd, ["seed", "step"]).select("id", "n", F.xxhash64("seed", "step", part).alias("gid")), "groups")
-    placed = shared.select("id", "token").join(members, "id")
-    matrix = placed.groupBy("token", "gid").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    sizes_fit = (F.col("high") * 100 >= F.col("n") * percent) & (F.col("low") * percent <= F.col("n") * 100)
-    asks = placed.withColumnRenamed("gid", "own").join(matrix, "token").where((F.col("gid") >= F.col("own")) & sizes_fit)
+    hub = (F.col("rows") > GROUP_ROWS) & (F.pmod(F.xxhash64("id", F.lit(HUBS)), F.col("rows")) < HUBS)
+    members = seeds.join(crowd, "chunk").select("id", "n", F.xxhash64("chunk", part).alias("gid"), hub.alias("hub"), "tokens")
+    members = kept(members, "groups")
+    return members, shared.select("id", "token").join(members.drop("tokens"), "id")
+
+
+def first_queries(members: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """(id, gid): members ask their own groups, hubs all groups that may hold a partner."""
     crowded = members.groupBy("gid").agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("least"))
-    shares = asks.groupBy("id", "gid", "n", (F.col("own") == F.col("gid")).alias("inside")).agg(F.count(F.lit(1)).alias("common"))
-    # at least the smaller margin in common, or the whole overlap needed where a set is smaller than that
-    smaller = F.least(F.col("n"), F.col("least"))
-    least = F.least(F.expr("n div 20 + 1"), F.expr("least div 20 + 1"), F.ceil(smaller * percent / 100))
-    queries = shares.join(crowded, "gid").where((~F.col("inside") | (F.col("rows") > 1)) & (F.col("common") >= least)).select("id", "gid")
-    return members.select("id", "gid"), queries
+    inside = members.join(crowded, "gid").where((F.col("rows") > 1) & (F.col("tokens") >= _least_common(percent)))
+    hubs = placed.where("hub").select("id", "token", "n", F.col("gid").alias("own"))
+    asks = hubs.join(_matrix(placed), "token").where((F.col("gid") != F.col("own")) & _sizes_fit(percent))
+    return inside.select("id", "gid").unionByName(_enough(asks, crowded, percent))
+
+
+def open_queries(members: DataFrame, placed: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """(id, gid) of the queries between groups that can still join two components of ``joined``.
+
+    A pair is looked for by its group of higher number. Two that share a token and are of different
+    components: either the one who asks is not of the token's main component, or the group is not
+    wholly of it. So a token all of whose holders are of one component is left out.
+    """
+    nodes = joined.select(F.col("node").alias("id"), "component")
+    labelled = members.join(nodes, "id", "left").select("id", "n", "gid", F.coalesce("component", "id").alias("component"))
+    labelled = kept(labelled, "labelled-members")
+    crowded = labelled.groupBy("gid").agg(
+        F.min("n").alias("least"),
+        F.when(F.min("component") == F.max("component"), F.min("component")).alias("whole"),
+    )
+    holders = placed.select("id", "token").join(labelled, "id")
+    several = holders.groupBy("token", "component").agg(F.count(F.lit(1)).alias("rows")).groupBy("token")
+    several = several.agg(F.max(F.struct("rows", "component"))["component"].alias("main"), F.count(F.lit(1)).alias("parts"))
+    live = kept(holders.join(several.where("parts > 1").drop("parts"), "token"), "open-tokens")
+    matrix = _matrix(live, "main").join(crowded.select("gid", "whole"), "gid")
+    asking = live.select("id", "n", "token", "component", "main", F.col("gid").alias("own"))
+    other = (F.col("gid") > F.col("own")) & _sizes_fit(percent) & ~F.col("whole").eqNullSafe(F.col("component"))
+    strays = asking.where("component != main").drop("main").join(matrix.drop("main"), "token").where(other)
+    mixed_groups = matrix.where(~F.col("whole").eqNullSafe(F.col("main"))).drop("main")
+    mains = asking.where("component = main").drop("main").join(mixed_groups, "token").where(other)
+    return _enough(strays.unionByName(mains).select("id", "n", "gid"), crowded.select("gid", "least"), percent)
 
 
 class Group:
@@ -230,9 +286,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, k
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     prefixes = kept(representative_sets(named, size, ranks, percent), "prefixes")  # small, so joined instead of the texts
     reps = classes.where("rep is not null").select(F.col("rep").alias("id")).distinct()
-    members, queries = candidates(prefixes.where("n > 0").join(reps, "id"), percent)
-    found = kept(links(named, members, queries, size, ranks, percent), "links")
-    joined = components(found)
+    members, placed = grouped(prefixes.where("n > 0").join(reps, "id"), percent)
+    own = members.select("id", "gid")
+    found = kept(links(named, own, first_queries(members, placed, percent), size, ranks, percent), "links")
+    queries = open_queries(members, placed, components(found), percent)
+    between = kept(links(named, own, queries, size, ranks, percent), "links-between")
+    joined = components(found.unionByName(between))
     labels = classes.join(joined, classes["rep"] == joined["node"], "left").select(
         "n", "fp1", "fp2", F.coalesce("component", "rep").alias("component_id")
     )
