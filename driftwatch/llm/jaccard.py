@@ -4,8 +4,10 @@
 2. By a common order of tokens, rare ones first, two sets at or above the threshold share at least
    ``margin`` tokens among the first n - needed + margin of each (their prefixes). Only tokens in
    several prefixes go on.
-3. Representatives are partitioned into groups of at most about 64 by the prefix token they share with
-   most others and by size. The matrix lists, by token, the groups whose prefixes hold it.
+3. Representatives are partitioned into crowds by the prefix token they share with most others and by
+   size, and a crowd of N into groups of about sqrt(64 N), so that the queries between N sets that
+   never link grow with sqrt(N) each, while no group has over about 4 million tokens. The matrix
+   lists, by token, the groups whose prefixes hold it.
 4. A representative looks up its prefix tokens and gets the groups that share enough of them to hold a
    partner. In these, the union of the members' whole sets bounds the overlap with any member; only
    groups whose bound suffices are opened, and their members compared exactly.
@@ -34,6 +36,7 @@ SIZE = 5
 PERCENT = 80
 ORDER_BUCKETS = 1 << 16
 GROUP_ROWS = 64
+GROUP_TOKENS = 1 << 22
 QUERY_ROWS = 256
 HUBS = 4
 SECOND = np.uint64(0xD6E8FEB86659FD93)
@@ -139,8 +142,8 @@ def _sizes_fit(percent: int) -> F.Column:
 def grouped(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Members (id, n, gid, hub, tokens) and their shared prefix tokens (id, token, n, gid, hub).
 
-    A chunk is the crowd of members with one seed and size step, a group about 64 of them. Hubs are about
-    HUBS members of a chunk of several groups, by hash.
+    A chunk is the crowd of members with one seed and size step. Hubs are about HUBS members of a chunk
+    of several groups, by hash.
     """
     tasks = int(prefixes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     entries = prefixes.select("id", "n", F.explode("tokens").alias("token")).repartition(tasks, "token")
@@ -149,9 +152,11 @@ def grouped(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     seeds = shared.groupBy("id", "n").agg(F.max(F.struct("df", "token")).alias("seed"), F.count(F.lit(1)).alias("tokens"))
     step = F.floor(F.log("n") / F.log(F.lit(100 / percent)))
     seeds = seeds.select("id", "n", "tokens", F.xxhash64("seed.token", step).alias("chunk"))
-    crowd = seeds.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("rows") / GROUP_ROWS))
-    hub = (F.col("rows") > GROUP_ROWS) & (F.pmod(F.xxhash64("id", F.lit(HUBS)), F.col("rows")) < HUBS)
+    crowd = seeds.groupBy("chunk").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("all"))
+    by_rows = F.least(F.sqrt(F.col("rows") / GROUP_ROWS), F.col("rows") / GROUP_ROWS)
+    crowd = crowd.select("chunk", "rows", F.ceil(F.greatest(by_rows, F.col("all") / GROUP_TOKENS)).alias("parts"))
+    part = F.pmod(F.xxhash64("id"), "parts")
+    hub = (F.col("parts") > 1) & (F.pmod(F.xxhash64("id", F.lit(HUBS)), F.col("rows")) < HUBS)
     members = seeds.join(crowd, "chunk").select("id", "n", F.xxhash64("chunk", part).alias("gid"), hub.alias("hub"), "tokens")
     members = kept(members, "groups")
     return members, shared.select("id", "token").join(members.drop("tokens"), "id")
