@@ -78,6 +78,7 @@ def _maybe_abnormal() -> str:
 
     Left out are those that are their own NFKC form, combine with nothing before them and come
     in runs of eight or more. What is in the pattern by mistake is only looked at once more.
+    ASCII is passed by before the class is asked: that tries its hundreds of ranges one by one.
     """
     second = {0x1161 + i for i in range(21)} | {0x11A8 + i for i in range(27)}  # conjoining vowels and finals
     for code in range(0xD800):
@@ -95,7 +96,7 @@ def _maybe_abnormal() -> str:
         else:
             spans.append([code, code])
     kept = "".join(f"\\u{low:04X}-\\u{high:04X}" for low, high in spans if high - low >= 7)
-    return rf"[^\x00-\x7E{kept}]"
+    return rf"(?=[^\x00-\x7E])[^\x00-\x7E{kept}]"
 
 
 def _structure_problem(value: Any, limits: IngestLimits) -> str | None:
