@@ -53,12 +53,17 @@ def _in_top(ranked: DataFrame, k: int, total: int, pivots: int) -> Column:
 
 
 def top_alerts(scored: DataFrame, k: int, *, pivots: int = PIVOTS) -> DataFrame:
-    """The k highest-ranked rows (score descending, then event id ascending), in no order."""
-    keys = _ranked(stored(scored.select("event_id", "risk_score"), "ranking"))
-    total = keys.count()
+    """The k highest-ranked rows (score descending, then event id ascending), in no order.
+
+    The rows are computed once, into a table that counting, the search for the cut and the result read:
+    give only the columns that are wanted.
+    """
+    kept = stored(scored, "ranking")
+    total = kept.count()
     if k >= total:
-        return scored
-    top = _ranked(scored).filter(_in_top(keys, k, total, pivots))
+        return kept
+    ranked = _ranked(kept)
+    top = ranked.filter(_in_top(ranked, k, total, pivots))
     return top.drop("unusable", "descending")
 
 

@@ -149,3 +149,21 @@ def test_absent_values_are_new(spark):
     now = table(spark, [known]).selectExpr("* EXCEPT (source_ip, resource_accessed)", "cast(NULL AS string) AS source_ip", "cast(NULL AS string) AS resource_accessed")
     found = deviation_features(now, learned(spark, [known])).first()
     assert (found["is_new_ip"], found["is_new_resource"], found["is_new_device"]) == (1, 1, 0)
+
+
+def test_top_alerts_compute_the_scores_once(spark):
+    """Ranking, cut and result read one stored table; the scores were computed again for the result."""
+    from pyspark.sql import functions as F
+
+    from driftwatch.operators.budget import top_alerts
+
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("double", useArrow=False)
+    def score(i):
+        reads.add(1)
+        return float(i % 7)
+
+    scored = spark.range(50).select(F.col("id").cast("string").alias("event_id"), score.asNondeterministic()("id").alias("risk_score"), F.lit("normal").alias("label"))
+    got = {r["event_id"] for r in top_alerts(scored, 5).collect()}
+    assert got == {"13", "20", "27", "34", "41"} and reads.value == 50
