@@ -191,3 +191,12 @@ def test_carried_history_gives_what_the_whole_history_gives(spark):
 def test_carried_history_of_nothing(spark):
     empty = table(spark, [event(1)]).limit(0)
     assert carried_history(empty, 0).count() == 0
+
+
+def test_carried_history_ranks_rows_before_the_shuffle(spark):
+    """The last event of an entity, of tied ones the first to arrive, is left by task: no aggregate that sorts whole rows."""
+    rows = [event(5, minute=1), event(3, minute=1, place=(0.0, 9.0)), event(7), event(9, entity=None), event(8, entity=None, minute=2)]
+    carried = carried_history(table(spark, rows), event(0, minute=500)[2])
+    plan = carried._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "SortAggregate" not in plan
+    assert sorted(r["event_id"] for r in carried.collect()) == ["EVENT_0003", "EVENT_0008"]
