@@ -96,6 +96,11 @@ def runs(sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]]))
 
 
+def shards_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The shard of each anchor: by a scrambled hash, since anchors are least hashes and so mostly small numbers."""
+    return (mixed(h) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+
+
 def shared_anchors(docs: DataFrame, parts: int, each: int) -> DataFrame:
     """(bucket, hashes): the anchors of each bucket's documents that occur in two documents or more.
 
@@ -118,8 +123,7 @@ def shared_anchors(docs: DataFrame, parts: int, each: int) -> DataFrame:
         for group, own in split(bucket[direct] // each, np.arange(len(own_h))):
             rows.append((1, group, packed(own_h[own]), packed(own_b[own])))
         single = np.where(many, MANY, bucket[first]).astype(np.uint32)
-        shard = (h[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        for shard_id, own in split(shard, np.arange(len(first))):
+        for shard_id, own in split(shards_of(h[first], parts), np.arange(len(first))):
             rows.append((0, shard_id, packed(h[first][own]), packed(single[own])))
         return table(rows)
 
@@ -221,7 +225,7 @@ def contexts(texts: pa.Table, hashes: np.ndarray, shards: int) -> list[tuple]:
     fresh = np.ones(len(order), bool)
     fresh[1:] = (key[order][1:] != key[order][:-1]) | (h[order][1:] != h[order][:-1])
     order = order[fresh]
-    shard = ((h[order] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    shard = shards_of(h[order], shards).astype(np.int64)
     by = np.lexsort((h[order], shard))  # sorted anchors pack well
     order, shard = order[by], shard[by]
     at = runs(shard)
