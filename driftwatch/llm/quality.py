@@ -88,7 +88,8 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
 
 def weighted_terms(counts: np.ndarray) -> np.ndarray:
     """Square roots of the shares: term weight before idf, independent of length."""
-    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+    shares = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1)
+    return np.sqrt(shares, out=shares)
 
 
 def latent(counts: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -131,11 +132,26 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return found
 
 
+def collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and votes of all rows, in an order that does not depend on theirs."""
+
+    def read() -> tuple[np.ndarray, np.ndarray]:
+        table = rows.toArrow()
+        counts = np.empty((table.num_rows, TERMS), np.float32)
+        for i, row in enumerate(table.column("counts")):
+            counts[i] = np.frombuffer(row.as_buffer(), np.float32)
+        return counts, table.column("quality").to_numpy().astype(np.float64)
+
+    counts, votes = read()  # the table is let go before the rows are copied in order
+    order = np.lexsort((votes, counts.view(f"S{counts.itemsize * TERMS}").ravel()))
+    return counts[order], votes[order]
+
+
 def fit(docs: DataFrame, labelled: DataFrame, text: str = "text") -> Model:
     """Learn from all rows of ``labelled`` (text, quality), a bounded sample such as ``training_rows`` gives.
 
     Inverse document frequencies are counted over all of ``docs``. The sample bounds what comes to the
-    driver (rows x 2048 counts) and what is broadcast (rows x 48 numbers).
+    driver (rows x 2048 counts, held twice at most) and what is broadcast (rows x 48 numbers).
     """
     frequency = document_frequencies(docs, text)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
@@ -148,16 +164,14 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text") -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), label], ["counts", "quality"])
 
     chosen = labelled.select(F.col(text).alias("text"), F.col("quality").cast("int").alias("quality"))
-    rows = chosen.mapInArrow(count, "counts binary, quality int").collect()
-    rows.sort(key=lambda r: (r.counts, r.quality))  # the same model whatever the order of the rows
-    votes = np.array([r.quality for r in rows], np.float64)
-    if not len(rows):
+    counts, votes = collected(chosen.mapInArrow(count, "counts binary, quality int"))
+    if not len(votes):
         return Model(np.zeros((TERMS, DIMENSIONS), np.float32), np.zeros((0, DIMENSIONS), np.float32), votes, 0.5)
-    counts = np.stack([np.frombuffer(r.counts, np.float32) for r in rows])
-    matrix = weighted_terms(counts) * idf.astype(np.float32)
-    basis = principal_directions(matrix)
+    weights = weighted_terms(counts)
+    del counts
+    basis = principal_directions(weights * idf.astype(np.float32))
     projection = (idf[:, None] * basis).astype(np.float32)
-    return Model(projection, latent(counts, projection).astype(np.float32), votes, float(votes.mean()))
+    return Model(projection, unit_rows(weights @ projection).astype(np.float32), votes, float(votes.mean()))
 
 
 def principal_directions(matrix: np.ndarray) -> np.ndarray:
