@@ -18,19 +18,18 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     Large stars point all greater neighbours of a node at its least one, small stars the lesser ones;
     together they halve distances, so the number of rounds grows with the logarithm of the longest
     path. Each round is written to the shared folder and joins by sorting, so nothing of it passes through
-    the driver. Null ends and loops are ignored.
+    the driver. An edge (v, u) has v > u, so a node's least neighbour is found among its edges as v, and its
+    greater ones are its edges as u: no round reads the edges in both directions. Null ends and loops are ignored.
     """
     edges = edges.select(F.greatest(left, right).alias("v"), F.least(left, right).alias("u"))
     edges = kept(edges.where(F.col("v") != F.col("u")).distinct(), "edges")
     state = _state(edges)
     while True:
-        both = edges.select("v", "u").union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where(F.col("u") > F.col("v")).join(least.hint("merge"), "v").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        large = large.where(F.col("v") != F.col("u"))
+        least = edges.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "u")
+        large = edges.join(least.hint("merge"), "u", "left").select("v", F.coalesce("m", "u").alias("u"))
         first = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(first.hint("merge"), "v")
-        small = small.select(F.col("u").alias("v"), F.col("m").alias("u")).union(first.select("v", F.col("m").alias("u")))
+        small = small.select(F.explode(F.array("u", "v")).alias("v"), F.col("m").alias("u"))
         edges = kept(small.where(F.col("v") != F.col("u")).distinct(), "edges")
         last, state = state, _state(edges)
         if state == last:

@@ -70,9 +70,9 @@ def signatures(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
 
 def _bucket_ranks(signed: DataFrame) -> np.ndarray:
     """Rank of every token bucket by how often its tokens occur (65,536 numbers, whatever the input)."""
-    rows = signed.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("n")).toPandas()
+    rows = signed.where("bucket is not null").groupBy("bucket").agg(F.sum("count").alias("n")).toArrow()
     load = np.zeros(ORDER_BUCKETS, np.int64)
-    load[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    load[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     ranks = np.empty(ORDER_BUCKETS, np.uint64)
     ranks[np.argsort(load, kind="stable")] = np.arange(ORDER_BUCKETS, dtype=np.uint64)
     return ranks

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -133,13 +134,13 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def collected(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and votes of all rows, in an order that does not depend on theirs."""
+    """Counts (from their compressed bytes) and votes of all rows, in an order that does not depend on theirs."""
 
     def read() -> tuple[np.ndarray, np.ndarray]:
         table = rows.toArrow()
         counts = np.empty((table.num_rows, TERMS), np.float32)
         for i, row in enumerate(table.column("counts")):
-            counts[i] = np.frombuffer(row.as_buffer(), np.float32)
+            counts[i] = np.frombuffer(zlib.decompress(row.as_buffer()), np.float32)
         return counts, table.column("quality").to_numpy().astype(np.float64)
 
     counts, votes = read()  # the table is let go before the rows are copied in order
@@ -151,7 +152,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text") -> Model:
     """Learn from all rows of ``labelled`` (text, quality), a bounded sample such as ``training_rows`` gives.
 
     Inverse document frequencies are counted over all of ``docs``. The sample bounds what comes to the
-    driver (rows x 2048 counts, held twice at most) and what is broadcast (rows x 48 numbers).
+    driver (rows x 2048 counts, compressed on the way, held twice at most) and what is broadcast (rows x 48 numbers).
     """
     frequency = document_frequencies(docs, text)
     idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
@@ -159,7 +160,7 @@ def fit(docs: DataFrame, labelled: DataFrame, text: str = "text") -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                rows = [r.tobytes() for r in term_counts(chunk)]
+                rows = [zlib.compress(r.tobytes(), 1) for r in term_counts(chunk)]  # most counts are 0
                 label = batch.column(1).slice(chunk.first, len(chunk))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), label], ["counts", "quality"])
 

@@ -38,3 +38,30 @@ def test_rounds_of_components_broadcast_nothing(spark, monkeypatch):
     found = {r.node: r.component for r in components(edges).collect()}
     assert found == {**dict.fromkeys(range(21), 0), 30: 30, 31: 30}
     assert plans and not any("Broadcast" in p for p in plans)
+
+
+def test_a_round_of_components_reads_its_edges_four_times_at_most(spark, monkeypatch):
+    plans = []
+    kept = components.__globals__["kept"]
+    monkeypatch.setitem(components.__globals__, "kept", lambda df, name: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or kept(df, name))
+    rng = random.Random(5)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 330)] + [(400, i) for i in range(380, 420)]
+    found = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    least = {x: x for a, b in pairs if a != b for x in (a, b)}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert found == least
+    assert len(plans) > 2 and all(p.count("Join") <= 3 and p.count("FileScan parquet") <= 4 for p in plans)
+
+
+def test_counts_come_to_the_driver_compressed(spark, monkeypatch):
+    sent = []
+    collected = quality.collected
+    monkeypatch.setattr(quality, "collected", lambda rows: sent.extend(len(r.counts) for r in rows.collect()) or collected(rows))
+    rows = [(f"some words of a text {i} ünd", i % 2) for i in range(50)] + [(None, 1), ("", 0)]
+    docs = spark.createDataFrame(rows, "text string, quality int")
+    model = quality.fit(docs.select("text"), docs)
+    assert len(sent) == len(model.votes) == 52 and model.votes.sum() == 26
+    assert sum(sent) < 52 * quality.TERMS * 4 / 8
