@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 SLICE_CHARS = 4 << 20
+LEARN_CHARS = 1 << 16  # of new segments encoded together, one at least; about 200 bytes of work space a character
 CACHE_SEGMENTS = 300_000  # in each of two generations
 LONG = 128  # characters from which a segment is contracted with a heap instead of in rounds
 OTHER = 0xFFFF
@@ -341,8 +342,8 @@ class Encoder:
                 new.append(s)
             else:  # still in use: it lives on in the young generation
                 self.cache[s] = ids
-        if new:
-            self.learn(new)
+        for part in _learnt_together(new):
+            self.learn(part)
         look = self.cache.__getitem__
         return [b"".join(map(look, p)) for p in parts]
 
@@ -361,6 +362,17 @@ def held_encoder(model: Model) -> Encoder:
     return _HELD[0]
 
 
+def _learnt_together(segments: list[str]) -> Iterator[list[str]]:
+    """The segments in parts of about LEARN_CHARS characters, so that a part bounds the arrays of learning."""
+    ends = np.cumsum([len(s) for s in segments])
+    first = 0
+    while first < len(segments):
+        start = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, start + LEARN_CHARS, "right")))
+        yield segments[first:last]
+        first = last
+
+
 def _slices(texts: list[str]) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
