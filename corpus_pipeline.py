@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from driftwatch.llm import jaccard, mixing, pieces, quality, secrets
 from driftwatch.llm.queries import PIECE_MODEL, table
-from driftwatch.llm.scratch import kept
+from driftwatch.llm.scratch import SMALL_BATCHES, kept, settings
 
 ORACLE_SQL = None  # the vote of the neighbours, the forest and the encoding have no SQL form
 
@@ -62,9 +62,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, n_tokens, ids) of every row."""
+    """(doc_id, source, n_tokens, ids) of every row, written here, so that texts go to Python in small batches."""
     tokens = pieces.encoded(docs.select("doc_id", "source", "text"), pieces.read_model(PIECE_MODEL))
-    return tokens.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    counted = tokens.select("doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    with settings(spark, SMALL_BATCHES):
+        return kept(counted, "tokens")
 
 
 STAGES = [
@@ -80,5 +82,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = kept(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = stage(spark, docs, sf_dir)
+        docs = docs if stage is encoding_stage else kept(docs, name.replace(" ", "-"))
     return docs

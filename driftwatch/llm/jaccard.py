@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftwatch.llm.components import components
-from driftwatch.llm.scratch import kept
+from driftwatch.llm.scratch import SMALL_BATCHES, kept, settings
 from driftwatch.llm.words import chunks, mixed, shingle_sets
 
 SIZE = 5
@@ -284,19 +284,23 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, k
     rows that repeat an id are one node. No rows give no rows.
     """
     spark = docs.sparkSession
-    signed = kept(signatures(docs, size, key, text), "signatures")
+    with settings(spark, SMALL_BATCHES):
+        signed = kept(signatures(docs, size, key, text), "signatures")
     rows = signed.where("bucket is null").select("id", "n", "fp1", "fp2")
     ranks = spark.sparkContext.broadcast(_bucket_ranks(signed))
     classes = kept(rows.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("id").alias("rep")), "classes")
     named = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    prefixes = kept(representative_sets(named, size, ranks, percent), "prefixes")  # small, so joined instead of the texts
+    with settings(spark, SMALL_BATCHES):
+        prefixes = kept(representative_sets(named, size, ranks, percent), "prefixes")  # small, so joined instead of the texts
     reps = classes.where("rep is not null").select(F.col("rep").alias("id")).distinct()
     members, placed = grouped(prefixes.where("n > 0").join(reps, "id"), percent)
     own = members.select("id", "gid")
-    found = kept(links(named, own, first_queries(members, placed, percent), size, ranks, percent), "links")
+    with settings(spark, SMALL_BATCHES):
+        found = kept(links(named, own, first_queries(members, placed, percent), size, ranks, percent), "links")
     first = components(found)
     queries = open_queries(members, placed, first, percent)
-    between = kept(links(named, own, queries, size, ranks, percent), "links-between")
+    with settings(spark, SMALL_BATCHES):
+        between = kept(links(named, own, queries, size, ranks, percent), "links-between")
     # stars instead of the first links: fewer rows, and joined in fewer rounds
     joined = components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(between))
     labels = classes.join(joined, classes["rep"] == joined["node"], "left").select(

@@ -17,14 +17,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
-SLICE_CHARS = 4 << 20
+SLICE_BYTES = 1 << 20  # of texts encoded together, one at least
 LEARN_CHARS = 1 << 16  # of new segments encoded together, one at least; about 200 bytes of work space a character
-CACHE_SEGMENTS = 300_000  # in each of two generations
+CACHE_SEGMENTS = 150_000  # in each of two generations
 LONG = 128  # characters from which a segment is contracted with a heap instead of in rounds
 OTHER = 0xFFFF
 NONE = -1e30
@@ -134,11 +135,11 @@ class Encoder:
         return (c[:, 0] << np.uint64(48)) | (c[:, 1] << np.uint64(32)) | (c[:, 2] << np.uint64(16)) | c[:, 3]
 
     def segments(self, text: str) -> list[str]:
-        """Parts that no piece crosses, with spaces made visible."""
+        """Parts that no piece crosses. A visible space counts as a space, which takes half the memory."""
         if not text:
             return []
-        whole = (SPACE if self.model.dummy_prefix else "") + text.replace(" ", SPACE)
-        return re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", whole) if self.split else [whole]
+        whole = (" " if self.model.dummy_prefix else "") + text.replace(SPACE, " ")
+        return re.findall(" +[^ ]*|[^ ]+", whole) if self.split else [whole]
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, length, piece) of every occurrence of a piece, sorted by start and length."""
@@ -157,6 +158,9 @@ class Encoder:
         for k in range(self.quads):
             some = np.flatnonzero((self.lengths > 4 * k) & (low < high))
             keys = quads[suffixes + 4 * k]
+            if k == 0:  # every range is still the whole array
+                low[some], high[some] = np.searchsorted(keys, self.low[0][some]), np.searchsorted(keys, self.high[0][some], "right")
+                continue
             lo, hi = low[some], high[some]
             low[some] = self.bisect(keys, lo, hi, self.low[k][some], False)
             high[some] = self.bisect(keys, lo, hi, self.high[k][some], True)
@@ -190,7 +194,7 @@ class Encoder:
 
     def learn(self, segments: list[str]) -> None:
         """Encode new segments together and remember their ids."""
-        text = "\0".join(segments) + "\0"
+        text = "\0".join(segments).replace(" ", SPACE) + "\0"
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.array([len(s) for s in segments], np.int64)
         starts = np.cumsum(sizes + 1) - sizes - 1
@@ -210,9 +214,9 @@ class Encoder:
         raw = ids.astype("<i4").tobytes()
         unknown = np.add.reduceat(np.append(~known, False).astype(np.int64), bounds[:-1]) if len(ids) else np.zeros(len(segments))
         unknown[np.diff(bounds) == 0] = 0
-        for i, s in enumerate(segments):
-            a, b = bounds[i], bounds[i + 1]
-            if unknown[i]:
+        bounds = bounds.tolist()
+        for s, odd, a, b in zip(segments, unknown.tolist(), bounds[:-1], bounds[1:], strict=True):
+            if odd:
                 out: list[int] = []
                 for j in range(a, b):
                     if known[j]:
@@ -342,8 +346,8 @@ class Encoder:
                 new.append(s)
             else:  # still in use: it lives on in the young generation
                 self.cache[s] = ids
-        for part in _learnt_together(new):
-            self.learn(part)
+        for first, last in _cuts(np.array([len(s) for s in new], np.int64), LEARN_CHARS):
+            self.learn(new[first:last])
         look = self.cache.__getitem__
         return [b"".join(map(look, p)) for p in parts]
 
@@ -362,27 +366,22 @@ def held_encoder(model: Model) -> Encoder:
     return _HELD[0]
 
 
-def _learnt_together(segments: list[str]) -> Iterator[list[str]]:
-    """The segments in parts of about LEARN_CHARS characters, so that a part bounds the arrays of learning."""
-    ends = np.cumsum([len(s) for s in segments])
+def _cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of successive stretches that add up to ``most`` at most, or hold one item."""
+    ends = np.cumsum(sizes)
     first = 0
-    while first < len(segments):
+    while first < len(ends):
         start = ends[first - 1] if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, start + LEARN_CHARS, "right")))
-        yield segments[first:last]
+        last = max(first + 1, int(np.searchsorted(ends, start + most, "right")))
+        yield first, last
         first = last
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size > SLICE_CHARS:
-            yield held
-            held, size = [], 0
-    if held:
-        yield held
+def _slices(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch in parts with about SLICE_BYTES of text in column ``at``, and their texts, null as empty."""
+    for first, last in _cuts(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(), SLICE_BYTES):
+        rows = batch.slice(first, last - first)
+        yield rows, [t or "" for t in rows.column(at).to_pylist()]
 
 
 def encoded(docs: DataFrame, model: Model, text: str = "text", name: str = "ids") -> DataFrame:
@@ -398,13 +397,10 @@ def encoded(docs: DataFrame, model: Model, text: str = "text", name: str = "ids"
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held_encoder(shared.value)
         for batch in batches:
-            done = 0
-            for texts in _slices([t or "" for t in batch.column(at).to_pylist()]):
+            for rows, texts in _slices(batch, at):
                 raw = encoder.encode(texts)
                 ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-                rows = batch.slice(done, len(texts))
-                done += len(texts)
                 yield pa.RecordBatch.from_arrays([*rows.columns, ids], [*batch.schema.names, name])
 
     return docs.mapInArrow(encode, schema)
@@ -441,16 +437,14 @@ def round_trips(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = held_encoder(shared.value)
         for batch in batches:
-            done = 0
-            for texts in _slices(batch.column(1).to_pylist()):
+            for rows, texts in _slices(batch, 1):
                 raw = encoder.encode(texts)
                 columns = [
-                    batch.column(0).slice(done, len(texts)),
+                    rows.column(0),
                     pa.array([len(r) // 4 for r in raw], pa.int64()),
                     pa.array([hashlib.sha256(r).hexdigest() for r in raw], pa.string()),
                     pa.array([encoder.decode(r) == t for r, t in zip(raw, texts, strict=True)], pa.bool_()),
                 ]
-                done += len(texts)
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return source.mapInArrow(run, schema)
